@@ -15,12 +15,12 @@ SEPARATOR = " — "
 # --- chat clean-up --------------------------------------------------------
 # Opening and closing forms may differ, shortest match, any case.
 THINKING = r"(?is)<think(?:ing)?>.*?</think(?:ing)?>"
-# Every character Python's str.strip removes.
-SPACE_CLASS = (
-    r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Every character Python's str.strip removes.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-OUTER_SPACE = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
 
 # --- units ----------------------------------------------------------------
 BYTE_STEP = 1024

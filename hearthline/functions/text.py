@@ -10,7 +10,7 @@ from hearthline import fixed
 
 def strip_ws(c: Column) -> Column:
     """Cut outer whitespace of every Unicode kind (``F.trim`` takes only spaces)."""
-    return F.regexp_replace(c, fixed.OUTER_SPACE, "")
+    return F.btrim(c, F.lit(fixed.SPACES))
 
 
 def strip_thinking(c: Column) -> Column:
@@ -44,7 +44,8 @@ def kv_value(line: Column) -> Column:
 
 def try_int(c: Column) -> Column:
     """Whole number or null; ``12.5`` and ``n/a`` are null."""
-    return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), c.try_cast("bigint"))
+    # A failing try_cast costs an exception per row, so only digits get to it.
+    return F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), c.try_cast("bigint"))
 
 
 def json_field(c: Column, path: str, dtype: str = "string") -> Column:
@@ -115,12 +116,11 @@ def register_sql(spark: SparkSession) -> None:
     def sql_text(pattern: str) -> str:
         return pattern.replace("\\", "\\\\")
 
-    def without(of: str, pattern: str) -> str:
-        return f"regexp_replace({of}, '{sql_text(pattern)}', '')"
-
+    spaces = "".join(f"\\u{ord(char):04x}" for char in fixed.SPACES)
+    cleaned = f"regexp_replace(c, '{sql_text(fixed.THINKING)}', '')"
     for name, body in (
-        ("strip_ws", without("c", fixed.OUTER_SPACE)),
-        ("strip_thinking", without(without("c", fixed.THINKING), fixed.OUTER_SPACE)),
+        ("strip_ws", f"btrim(c, '{spaces}')"),
+        ("strip_thinking", f"btrim({cleaned}, '{spaces}')"),
     ):
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(c STRING) RETURNS STRING RETURN {body}"

@@ -71,14 +71,18 @@ def _grid(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int,
     """Both sides cut into bounded blocks by hash; one task per pair of blocks."""
     q_blocks = -(-n_queries // query_block)
     v_blocks = -(-corpus.count() // vector_block) or 1
+
+    def block_numbers(n: int):
+        return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
     left = queries.select(
         "query_id", "embedding",
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("bigint").alias("v_block"),
+        F.explode(block_numbers(v_blocks)).alias("v_block"),
     )
     right = corpus.select(
         "vec_id", "embedding",
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("q_block"),
+        F.explode(block_numbers(q_blocks)).alias("q_block"),
         F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)).alias("v_block"),
     )
 

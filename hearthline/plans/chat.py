@@ -10,7 +10,7 @@ from hearthline.operators.health import http_success
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
 
-SPACE = fixed.OUTER_SPACE
+SPACE = v.OUTER_SPACE
 CLEAN_SQL = (
     f"regexp_replace(regexp_replace(content, '{fixed.THINKING}', '', 'g'), '{SPACE}', '', 'g')"
 )

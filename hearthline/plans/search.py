@@ -18,7 +18,7 @@ NL = "chr(10)"
 # --- checks -------------------------------------------------------------------
 # The layout of one result per kind, as SQL.
 _TITLE = "'**' || coalesce(title, 'No title') || '**'"
-_CONTENT = f"nullif(regexp_replace(content, '{fixed.OUTER_SPACE}', '', 'g'), '')"
+_CONTENT = f"nullif(regexp_replace(content, '{v.OUTER_SPACE}', '', 'g'), '')"
 _SECOND = {
     "academic": "'*via ' || engine || '*'",
     "news": "CASE WHEN coalesce(published, '') <> '' THEN '*' || published || ' — via ' || engine || '*' END",

@@ -335,6 +335,13 @@ def engines(spark, sf_dir):
     )
 
 
+# Outer whitespace as the checks write it.
+SPACE_CLASS = (
+    r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+OUTER_SPACE = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
+
 SQL = {
     "probes": "SELECT event_id AS sample_id, user_id AS service_id, ts, event_type <> 'error' AS online,"
     " value AS latency_ms FROM events",

@@ -26,8 +26,7 @@ def lines_of(report: Column) -> Column:
 
 
 def without_header(report: Column) -> Column:
-    lines = lines_of(report)
-    return F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    return F.filter(lines_of(report), lambda line, at: at > 0)
 
 
 def skip_header(reports: DataFrame, column: str = "report") -> DataFrame:
@@ -55,7 +54,7 @@ def counter_entries(report: Column) -> Column:
 
     def entry(line: Column) -> Column:
         parts = F.split(line, ":")
-        number = F.regexp_replace(text.strip_ws(F.get(parts, F.lit(1))), r"[.]+$", "")
+        number = F.rtrim(text.strip_ws(F.get(parts, F.lit(1))), F.lit("."))
         return F.struct(
             text.strip_ws(F.get(parts, F.lit(0))).alias("key"),
             text.try_int(number).alias("value"),
@@ -66,14 +65,16 @@ def counter_entries(report: Column) -> Column:
         F.transform(without_header(report), entry),
         lambda e: (e["parts"] == 2) & e["value"].isNotNull(),
     )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"),
-        ),
-    )
+
+    def last_per_key(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)
+        return F.transform(
+            keys, lambda k: F.struct(k.alias("key"), last(k)["value"].alias("value"))
+        )
+
+    # Bound as a lambda variable, the entries are parsed once and not once per key.
+    return F.get(F.transform(F.array(entries), last_per_key), F.lit(0))
 
 
 def read_counters(reports: DataFrame, column: str = "report") -> DataFrame:
