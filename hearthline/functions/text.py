@@ -105,9 +105,7 @@ def html_language(html: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct lower-case a-z words of four letters or more."""
-    return F.array_distinct(
-        F.filter(F.split(F.lower(c), "[^a-z]+"), lambda t: F.length(t) > 3)
-    )
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
 
 
 def register_sql(spark: SparkSession) -> None:

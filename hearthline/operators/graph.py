@@ -13,8 +13,7 @@ def dependency_closure(edges: DataFrame) -> DataFrame:
 
     Known distances double each round: a shortest path longer than ``reach``
     starts with a shortest path of exactly ``reach`` steps. So a graph of depth d
-    takes log2(d) rounds, each is cut off by a reliable checkpoint, and cycles
-    end because a pair never gets a second row.
+    takes log2(d) rounds, each stored in the shared folder, and cycles end because a pair never gets a second row.
     """
     pairs = cut_lineage(
         edges.select("svc", "dep").distinct().withColumn("depth", F.lit(1))

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 
 from hearthline import fixed
 from hearthline.functions import text
-from hearthline.sources.payloads import read_search_results, search_array
+from hearthline.session import cut_lineage
+from hearthline.sources.payloads import search_array
 
 K = fixed.RESULTS_PER_ANSWER
+# Rows of (id, word) or (id, id, place): some tens of megabytes at most.
+BROADCAST_ROWS = 500_000
+
+
+def fits(rows: DataFrame, limit: int) -> bool:
+    """Whether there are at most ``limit`` rows, without reading many more."""
+    return rows.limit(limit + 1).count() <= limit
 
 
 def search_filter(results: DataFrame, category: str, language: str = fixed.LANGUAGE) -> DataFrame:
@@ -149,17 +157,27 @@ def distinct_engines(results: DataFrame, approximate: bool = False) -> DataFrame
     )
 
 
-def keyword_search(queries: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
+def keyword_search(
+    queries: DataFrame, docs: DataFrame, k: int = K, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Documents per query by shared distinct words, ties by id, best k.
 
-    ``queries`` has (query_id, q), ``docs`` has (doc_id, text). Equi-join of the
-    two word lists. Catalyst broadcasts the query words while they are below its
-    size limit; above it the join shuffles on the word and adaptive execution
-    splits frequent words. Pairs are counted in the map tasks before they move,
-    and the k best are cut in the map tasks before the last shuffle.
+    ``queries`` has (query_id, q), ``docs`` has (doc_id, text); an equi-join of
+    the two word lists, counted per pair.
+
+    Few query words (counted first) are broadcast. The word lists of the
+    documents are then spread by document, which is even, so that every pair is
+    counted and every query cut to its k best within the same task: the pairs
+    themselves never move. With more query words the join shuffles on the word,
+    adaptive execution splits frequent words, and pairs are counted in the map
+    tasks before they move.
     """
-    q_words = queries.select("query_id", F.explode(text.tokens(F.col("q"))).alias("word"))
-    d_words = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("word"))
+    # The outer form, because explode adds filters that parse every text again.
+    q_words = queries.select("query_id", F.explode_outer(text.tokens(F.col("q"))).alias("word"))
+    lists = docs.select("doc_id", text.tokens(F.col("text")).alias("words"))
+    if fits(q_words, broadcast_rows):
+        q_words, lists = F.broadcast(q_words), lists.repartition("doc_id")
+    d_words = lists.select("doc_id", F.explode_outer("words").alias("word"))
     scored = (
         d_words.join(q_words, "word")
         .groupBy("query_id", "doc_id")
@@ -180,16 +198,26 @@ def latest_user_turn(chat: DataFrame) -> DataFrame:
     )
 
 
-def web_grounding(chat: DataFrame, docs: DataFrame, kind: str = "academic", k: int = K) -> DataFrame:
+def web_grounding(
+    chat: DataFrame,
+    docs: DataFrame,
+    kind: str = "academic",
+    k: int = K,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Context block per conversation: the newest user turn and its best hits.
 
     ``docs`` has (doc_id, text, title, url, engine).
     """
     asked = latest_user_turn(chat).withColumnRenamed("conv_id", "query_id")
-    hits = keyword_search(asked, docs, k).select("query_id", "doc_id", "pos")
+    # At most k short rows per conversation; stored, so that they are counted and
+    # joined without searching twice. While they can be broadcast, no text moves.
+    hits = cut_lineage(keyword_search(asked, docs, k).select("query_id", "doc_id", "pos"))
+    if fits(hits, broadcast_rows):
+        hits = F.broadcast(hits)
     shown = docs.select("doc_id", "title", "url", "engine", F.col("text").alias("content"))
     blocks = (
-        hits.join(shown, "doc_id")
+        shown.join(hits, "doc_id")
         .withColumns({"published": F.lit(""), "length": F.lit("")})
         .select("query_id", F.struct("pos", row_block(kind).alias("block")).alias("entry"))
         .groupBy("query_id")
@@ -204,10 +232,3 @@ def web_grounding(chat: DataFrame, docs: DataFrame, kind: str = "academic", k: i
         .alias("context"),
     )
 
-
-__all__ = [
-    "answer_payload", "dedup_results", "distinct_engines", "empty_message", "keyword_search",
-    "latest_user_turn", "read_search_results", "render_results", "result_block", "row_block",
-    "search", "search_filter", "text_key", "top_results", "url_key", "web_grounding",
-    "with_empty_message",
-]

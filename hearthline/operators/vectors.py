@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2_000
-VECTOR_BLOCK = 50_000
+QUERY_BLOCK = 1_000
+VECTOR_BLOCK = 10_000
 PLACES = 9
 # Tasks get these functions with the job; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,14 +38,21 @@ def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _best(query_ids, queries, vec_ids, vectors, k: int) -> pa.Table:
     """The k best vectors of one block for each query; ties by id."""
     similarity = np.round(queries @ vectors.T, PLACES)
-    by_id = np.argsort(vec_ids, kind="stable")
-    order = np.argsort(-similarity[:, by_id], axis=1, kind="stable")[:, :k]
-    picked = by_id[order]
+    if len(vec_ids) > k:
+        least = np.partition(similarity, -k, axis=1)[:, -k]
+    else:
+        least = similarity.min(axis=1)
+    row, column = np.nonzero(similarity >= least[:, None])
+    found = similarity[row, column]
+    order = np.lexsort((vec_ids[column], -found, row))
+    row, column, found = row[order], column[order], found[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
     return pa.table(
         {
-            "query_id": np.repeat(query_ids, picked.shape[1]),
-            "vec_id": vec_ids[picked].ravel(),
-            "similarity": np.take_along_axis(similarity, picked, axis=1).ravel(),
+            "query_id": query_ids[row[kept]],
+            "vec_id": vec_ids[column[kept]],
+            "similarity": found[kept],
         }
     )
 

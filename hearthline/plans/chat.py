@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthline import fixed
 from hearthline.functions import text, units
+from hearthline.operators import chat
 from hearthline.operators.health import http_success
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
@@ -27,8 +28,7 @@ def strip_thinking_sql(spark, sf_dir):
 
 
 def assistant_filter(spark, sf_dir):
-    cleaned = F.when(C("role") == "assistant", text.strip_thinking(C("content"))).otherwise(C("content"))
-    return v.chat(spark, sf_dir).withColumn("content", cleaned)
+    return chat.clean(v.chat(spark, sf_dir))
 
 
 def strip_ws(spark, sf_dir):
@@ -151,12 +151,12 @@ def truthy_filter(spark, sf_dir):
 
 
 def default_projection(spark, sf_dir):
-    r = v.results(spark, sf_dir)
-    return r.select(
+    r = v.results(spark, sf_dir).select(
         "pos",
-        text.with_default(F.nullif("content", F.lit("")), fixed.NO_TITLE).alias("title"),
-        text.with_default(F.nullif("engine", F.lit("")), "").alias("engine"),
+        F.nullif("content", F.lit("")).alias("title"),
+        F.nullif("engine", F.lit("")).alias("engine"),
     )
+    return chat.with_defaults(r, {"title": fixed.NO_TITLE, "engine": ""})
 
 
 def json_property_scan(spark, sf_dir):

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hearthline import fixed
-from hearthline.functions.text import strip_thinking
 from hearthline.functions.units import micros
+from hearthline.operators.chat import clean
 from hearthline.operators.health import hundredths
 from hearthline.operators.registry import registry_lookup
 
@@ -83,12 +83,7 @@ def stream_enrich(ids: DataFrame, registry: DataFrame, key: str = "id") -> DataF
 
 def stream_clean(chat: DataFrame) -> DataFrame:
     """Clean assistant messages on arrival; a stateless projection."""
-    return chat.withColumn(
-        "content",
-        F.when(F.col("role") == "assistant", strip_thinking(F.col("content"))).otherwise(
-            F.col("content")
-        ),
-    )
+    return clean(chat)
 
 
 class ContainerHealth(StatefulProcessor):

@@ -31,7 +31,7 @@ def closure_by_hand(edges):
 
 
 @pytest.mark.parametrize("edges", [
-    [("webui", "search"), ("webui", "stt"), ("webui", "tts"), ("search", "proxy")],
+    [("chat", "search"), ("chat", "stt"), ("chat", "tts"), ("search", "proxy")],
     [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")],
     [("a", "a")],
     [(f"n{i:02}", f"n{i + 1:02}") for i in range(21)],

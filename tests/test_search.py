@@ -91,7 +91,7 @@ def test_keyword_search_without_broadcast_is_the_same(spark):
     want = {tuple(r) for r in s.keyword_search(q, d).collect()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = {tuple(r) for r in s.keyword_search(q, d).collect()}
+        got = {tuple(r) for r in s.keyword_search(q, d, broadcast_rows=3).collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == want
@@ -120,7 +120,9 @@ def test_grounding_takes_the_newest_user_turn(spark):
     docs = spark.createDataFrame(
         [(7, "beta text", "T7", "u7", "e"), (8, "alpha text", "T8", "u8", "e")],
         "doc_id bigint, text string, title string, url string, engine string")
-    got = {r[0]: r[1] for r in s.web_grounding(chat, docs).collect()}
-    assert got == {
+    want = {
         1: "## Academic results for: beta topic\n\n**T7**\n*via e*\nbeta text\nSource: u7\n",
         2: "No academic results found for: nothing"}
+    for broadcast_rows in (0, 1000):
+        got = s.web_grounding(chat, docs, broadcast_rows=broadcast_rows).collect()
+        assert {r[0]: r[1] for r in got} == want
