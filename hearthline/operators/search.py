@@ -209,7 +209,7 @@ def web_grounding(
 
     ``docs`` has (doc_id, text, title, url, engine).
     """
-    asked = latest_user_turn(chat).withColumnRenamed("conv_id", "query_id")
+    asked = cut_lineage(latest_user_turn(chat).withColumnRenamed("conv_id", "query_id"))
     # At most k short rows per conversation; stored, so that they are counted and
     # joined without searching twice. While they can be broadcast, no text moves.
     hits = cut_lineage(keyword_search(asked, docs, k).select("query_id", "doc_id", "pos"))

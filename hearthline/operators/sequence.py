@@ -1,14 +1,16 @@
 """Look-back windows and running counts that survive a hot key.
 
 A window partitioned by key puts all rows of one key in one task. Here a key
-with more than ``rows_per_chunk`` rows is first cut along its order into chunks
-of about that size, and the chunks are joined up again exactly:
+with more than ``rows_per_chunk`` rows is first cut along its order into chunks,
+finer where its rows are dense, and the chunks are joined up again exactly:
 
 * a look-back of n rows gets the last n rows before each chunk as extra rows;
 * a running count gets the sum over the earlier chunks as an offset.
 
-Keys below the limit stay whole. A table of N rows has at most N/rows_per_chunk
-hot keys and twice as many chunks, which bounds every broadcast below.
+Keys below the limit stay whole; where no key is hot, adaptive execution drops
+the extra branches and one shuffle is left. A table of N rows has at most
+N/rows_per_chunk hot keys and a few times as many chunks, which bounds every
+broadcast below.
 """
 
 from __future__ import annotations
@@ -41,25 +43,43 @@ def _same(keys: list[str], prefix: str) -> Column:
 def split_hot_keys(
     df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """Mark the rows of hot keys with a chunk number that rises along ``order``."""
+    """Mark the rows of hot keys with a chunk number that rises along ``order``.
+
+    The range of a hot key is cut into even bins, four per ``rows_per_chunk``
+    rows; a bin that still holds more rows is cut again in the same way. So a
+    burst of n rows is spread unless it fits into a (4n/rows_per_chunk)^2-th of
+    the key's range.
+    """
     at = _position(df, order[0])
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .where(F.col("_n") > rows_per_chunk)
-        .select(
-            *[F.col(k).alias("_k_" + k) for k in keys],
-            F.col("_lo"),
-            F.ceil(F.col("_n") / rows_per_chunk).alias(_SPLIT),
-            (F.col("_hi") - F.col("_lo") + 1).alias("_span"),
+
+    def ranges(rows: DataFrame, by: list[str], parts: str) -> DataFrame:
+        """Groups above the limit with their range and number of parts."""
+        groups = rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
         )
-    )
-    chunk = F.floor((at - F.col("_lo")).cast("double") * F.col(_SPLIT) / F.col("_span"))
-    return (
-        df.join(F.broadcast(hot), _same(keys, "_k_"), "left")
-        .withColumn(_CHUNK, chunk)
-        .drop("_lo", "_span", *["_k_" + k for k in keys])
-    )
+        return groups.where(F.col("_n") > rows_per_chunk).select(
+            *[F.col(k).alias("_k_" + k) for k in by],
+            (F.ceil(F.col("_n") / rows_per_chunk) * 4).alias(parts),
+            F.col("_lo").alias("_lo_" + parts),
+            (F.col("_hi") - F.col("_lo") + 1).alias("_span_" + parts),
+        )
+
+    def part(parts: str) -> Column:
+        offset = (at - F.col("_lo_" + parts)).cast("double")
+        return F.floor(offset * F.col(parts) / F.col("_span_" + parts))
+
+    def marked(rows: DataFrame, by: list[str], found: DataFrame, parts: str, name: str) -> DataFrame:
+        joined = rows.join(F.broadcast(found), _same(by, "_k_"), "left")
+        return joined.withColumn(name, part(parts)).drop(
+            "_lo_" + parts, "_span_" + parts, *["_k_" + k for k in by]
+        )
+
+    binned = marked(df, keys, ranges(df, keys, _SPLIT), _SPLIT, "_bin")
+    in_bin = [*keys, "_bin"]
+    dense = ranges(binned.where(F.col(_SPLIT).isNotNull()), in_bin, "_cuts")
+    cut = marked(binned, in_bin, dense, "_cuts", "_cut")
+    chunk = F.col("_bin") * F.lit(2**32) + F.coalesce("_cut", F.lit(0))
+    return cut.withColumn(_CHUNK, chunk).drop("_bin", "_cuts", "_cut")
 
 
 def unsplit(df: DataFrame) -> DataFrame:

@@ -71,10 +71,25 @@ def test_a_hot_key_is_spread(probes):
 
     split = split_hot_keys(probes, ["service_id"], ["ts", "sample_id"], 50)
     sizes = {(r[0], r[1]): r[2] for r in split.groupBy("service_id", "_chunk").count().collect()}
-    assert sum(1 for key in sizes if key[0] == 1) > 2
+    assert sum(1 for key in sizes if key[0] == 1) > 5
     assert split.count() == probes.count()
 
 
+def test_a_burst_is_spread(spark):
+    """Most rows of the hot key fall into one thousandth of its range."""
+    from hearthline.operators.sequence import split_hot_keys
+
+    df = spark.range(20_000).selectExpr(
+        "1 AS k", "IF(id % 20 = 0, id * 100000, 500000000 + id) AS place", "id")
+    split = split_hot_keys(df, ["k"], ["place", "id"], 20)
+    sizes = [r[1] for r in split.groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 20_000
+    assert max(sizes) <= 200
+    bounds = split.groupBy("_chunk").agg({"place": "max", "id": "count"}).orderBy("_chunk")
+    tops = [r["max(place)"] for r in bounds.collect()]
+    assert tops == sorted(tops)
+
+
 def test_runs_by_hand(spark):
     marks = "-++---+----+--"
     rows = [(i, 1, START + datetime.timedelta(seconds=i), m == "+", 1.0) for i, m in enumerate(marks)]
