@@ -1,8 +1,9 @@
 """Lookups, overlays and inventories over service, engine and model registries.
 
-None of these joins carries a broadcast hint: Catalyst broadcasts a registry
-while its measured size is below ``spark.sql.autoBroadcastJoinThreshold``, and
-above it shuffles, where adaptive execution splits skewed keys.
+A stored registry needs no broadcast hint: Catalyst broadcasts it while its
+measured size is below ``spark.sql.autoBroadcastJoinThreshold``, and above it
+shuffles, where adaptive execution splits skewed keys. A computed one is counted
+first (``sizes.small_side``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from hearthline import fixed
 from hearthline.functions.text import truthy
 from hearthline.operators import sequence
+from hearthline.operators.sizes import small_side
 
 
 def first_row(df: DataFrame, *order: str) -> DataFrame:
@@ -112,7 +114,7 @@ def results_in_category(results: DataFrame, engines: DataFrame, category: str) -
         .where(F.col("served") == category)
         .select(F.col("name").alias("engine"))
     )
-    return results.join(serving, "engine", "left_semi")
+    return results.join(small_side(serving), "engine", "left_semi")
 
 
 def with_position(

@@ -8,18 +8,11 @@ from pyspark.sql import functions as F
 
 from hearthline import fixed
 from hearthline.functions import text
+from hearthline.operators.sizes import BROADCAST_ROWS, fits, small_side
 from hearthline.session import cut_lineage
 from hearthline.sources.payloads import search_array
 
 K = fixed.RESULTS_PER_ANSWER
-# Rows of (id, word) or (id, id, place): some tens of megabytes at most.
-BROADCAST_ROWS = 500_000
-
-
-def fits(rows: DataFrame, limit: int) -> bool:
-    """Whether there are at most ``limit`` rows, without reading many more."""
-    return rows.limit(limit + 1).count() <= limit
-
 
 def search_filter(results: DataFrame, category: str, language: str = fixed.LANGUAGE) -> DataFrame:
     return results.where((F.col("category") == category) & (F.col("language") == language))
@@ -108,6 +101,16 @@ def search(kind: str, payloads: DataFrame, q: str = "q", k: int = K) -> DataFram
     )
 
 
+def search_table(kind: str, queries: DataFrame, results: DataFrame, k: int = K) -> DataFrame:
+    """Answers of one kind from flat results: filter, first k, layout, one text
+    per query, and the fixed message for a query without results."""
+    found = search_filter(results, fixed.KINDS[kind]["category"])
+    answers = render_results(top_results(found, k), kind)
+    return queries.join(answers, "query_id", "left").select(
+        "query_id", F.coalesce("answer", empty_message(kind, F.col("q"))).alias("answer")
+    )
+
+
 def with_empty_message(
     queries: DataFrame, hits: DataFrame, kind: str, query: str = "query_id", q: str = "q"
 ) -> DataFrame:
@@ -213,8 +216,7 @@ def web_grounding(
     # At most k short rows per conversation; stored, so that they are counted and
     # joined without searching twice. While they can be broadcast, no text moves.
     hits = cut_lineage(keyword_search(asked, docs, k).select("query_id", "doc_id", "pos"))
-    if fits(hits, broadcast_rows):
-        hits = F.broadcast(hits)
+    hits = small_side(hits, broadcast_rows)
     shown = docs.select("doc_id", "title", "url", "engine", F.col("text").alias("content"))
     blocks = (
         shown.join(hits, "doc_id")

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1_000
+# Large blocks keep the copies few; a task scores SLICE queries of a block at a time.
+QUERY_BLOCK = 10_000
 VECTOR_BLOCK = 10_000
+SLICE = 500
 PLACES = 9
 # Tasks get these functions with the job; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,7 +38,15 @@ def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _best(query_ids, queries, vec_ids, vectors, k: int) -> pa.Table:
-    """The k best vectors of one block for each query; ties by id."""
+    """The k best vectors of one block for each query of another."""
+    return pa.concat_tables(
+        _best_of_slice(query_ids[i : i + SLICE], queries[i : i + SLICE], vec_ids, vectors, k)
+        for i in range(0, len(query_ids), SLICE)
+    )
+
+
+def _best_of_slice(query_ids, queries, vec_ids, vectors, k: int) -> pa.Table:
+    """Scores at least the k-th best, ordered by score and id, cut at k."""
     similarity = np.round(queries @ vectors.T, PLACES)
     if len(vec_ids) > k:
         least = np.partition(similarity, -k, axis=1)[:, -k]

@@ -90,7 +90,7 @@ ORDERED = "PARTITION BY service_id ORDER BY ts, sample_id"
 GAP_SQL = f"date_diff('microsecond', lag(ts) OVER ({ORDERED}), ts)"
 READY_SQL = (
     "SELECT service_id, min(n) FILTER (online) AS tries, CASE WHEN min(n) FILTER (online) IS NOT NULL THEN 'ready'"
-    " ELSE 'not reachable' END AS state FROM (SELECT *, row_number() OVER (" + ORDERED + ") AS n FROM probes)"
+    " ELSE 'not reachable' END AS state FROM (SELECT *, cast(row_number() OVER (" + ORDERED + ") AS INTEGER) AS n FROM probes)"
     " WHERE n <= {} GROUP BY 1"
 )
 OUTCOME_SQL = (

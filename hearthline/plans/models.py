@@ -146,10 +146,10 @@ QUERIES = {
         " WHERE starts_with(line, 'API_KEY=')", "kv_lines")),
     "counter_report_scan": (counter_report_scan, check("SELECT * FROM counters", "counters")),
     "column_report_scan": (column_report_scan,
-        "SELECT p_partkey AS report_id, i + 1 AS line_no, replace(p_name, ' ', '-') || ':' || i AS name,"
+        "SELECT p_partkey AS report_id, cast(i + 1 AS INTEGER) AS line_no, replace(p_name, ' ', '-') || ':' || i AS name,"
         " p_size || ' GB' AS size FROM (SELECT *, unnest(generate_series(1, p_partkey % 4 + 1)) AS i FROM part)"),
     "skip_header": (skip_header,
-        "SELECT p_partkey AS report_id, i + 1 AS line_no, replace(p_name, ' ', '-') || ':' || i || '   id' ||"
+        "SELECT p_partkey AS report_id, cast(i + 1 AS INTEGER) AS line_no, replace(p_name, ' ', '-') || ':' || i || '   id' ||"
         " p_partkey || '   ' || p_size || ' GB   2 weeks ago' AS line"
         " FROM (SELECT *, unnest(generate_series(1, p_partkey % 4 + 1)) AS i FROM part)"),
     "memory_summary": (memory_summary, check(

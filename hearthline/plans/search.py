@@ -55,7 +55,7 @@ SCORED = (
     "qw AS (SELECT query_id, unnest(" + WORDS.format("q") + ") AS word FROM asked),"
     " dw AS (SELECT doc_id, unnest(" + WORDS.format("text") + ") AS word FROM documents),"
     " scored AS (SELECT query_id, doc_id, count(*) AS score FROM dw JOIN qw USING (word) GROUP BY 1, 2),"
-    " ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos"
+    " ranked AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS pos"
     f" FROM scored QUALIFY pos <= {K})"
 )
 
@@ -90,6 +90,11 @@ def render_results(spark, sf_dir):
     return s.render_results(s.top_results(found), "news")
 
 
+def search_table(spark, sf_dir):
+    found = v.results(spark, sf_dir)
+    return s.search_table("video", found.select("query_id", "q").distinct(), found)
+
+
 def search_answer(kind):
     return lambda spark, sf_dir: s.search(kind, v.search_payloads(spark, sf_dir))
 
@@ -170,8 +175,8 @@ def embedding_neighbours(spark, sf_dir):
 _RANK_VECTORS = (
     " pairs AS (SELECT query_id, vec_id, round(list_dot_product(q, x) / sqrt(list_dot_product(q, q))"
     " / sqrt(list_dot_product(x, x)), 9) AS similarity FROM asked, corpus),"
-    " ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)"
-    " AS pos, vec_id, similarity FROM pairs)"
+    " ranked AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)"
+    " AS INTEGER) AS pos, vec_id, similarity FROM pairs)"
     f" SELECT * FROM ranked WHERE pos <= {K}"
 )
 _CORPUS = "WITH corpus AS (SELECT vec_id, cast(label AS BIGINT) AS label, cast(embedding AS DOUBLE[]) AS x FROM embeddings),"
@@ -183,7 +188,7 @@ QUERIES = {
     "search_filter": (search_filter, check(
         "SELECT * FROM results WHERE category = 'news' AND language = 'en'", "results")),
     "top_results": (top_results, check(
-        "SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank, url"
+        "SELECT query_id, pos, cast(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS rank, url"
         f" FROM results QUALIFY rank <= {K}", "results")),
     "result_block": (result_block, check(
         "SELECT pos, " + ", ".join(f"{block_sql(k)} AS {k}" for k in fixed.KINDS) + " FROM results",
@@ -192,6 +197,12 @@ QUERIES = {
         ", top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM results"
         f" WHERE category = 'news' AND language = 'en' QUALIFY rank <= {K})"
         f" SELECT query_id, {answer_sql('news')} AS answer FROM top GROUP BY query_id, q", "results")),
+    "search_table": (search_table, check(
+        ", top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM results"
+        f" WHERE category = 'videos' AND language = 'en' QUALIFY rank <= {K}),"
+        f" a AS (SELECT query_id, {answer_sql('video')} AS answer FROM top GROUP BY query_id, q)"
+        " SELECT query_id, coalesce(answer, 'No video results found for: ' || query_id) AS answer"
+        " FROM (SELECT DISTINCT query_id FROM results) LEFT JOIN a USING (query_id)", "results")),
     "search_academic": (search_answer("academic"), check(answers_sql("academic"), "hits")),
     "search_news": (search_answer("news"), check(answers_sql("news"), "hits")),
     "search_videos": (search_answer("video"), check(answers_sql("video"), "hits")),

@@ -17,8 +17,8 @@ DELAY = "1 hour"
 GRACE = 6 * 3600
 
 
-def _events(spark, sf_dir):
-    e = v.stream_of(spark, sf_dir, "events")
+def _events(spark, sf_dir, bytes_per_batch=None):
+    e = v.stream_of(spark, sf_dir, "events", bytes_per_batch)
     return e.withColumn("ts", C("ts").cast("timestamp"))
 
 
@@ -47,7 +47,7 @@ def stream_residency(spark, sf_dir):
 
 def stream_container_health(spark, sf_dir):
     run.use_rocksdb(spark)
-    probes = v.as_probes(_events(spark, sf_dir))
+    probes = v.as_probes(_events(spark, sf_dir, bytes_per_batch="1g"))
     stream = st.stream_container_health(probes, start_period_seconds=GRACE)
     updates = run.drain_updates(stream, "container-health")
     return _naive(updates.drop("batch"), "ts")

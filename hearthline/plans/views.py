@@ -20,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream_of(
+    spark: SparkSession, sf_dir: str, name: str, bytes_per_batch: str | None = None
+) -> DataFrame:
     """A table as a file stream, with the schema from its parquet footer.
 
     A file stream takes a folder or a pattern but no single file, so the path is
     written as a pattern; it fits a table stored as one file or as a folder.
     """
     schema = table(spark, sf_dir, name).schema
-    return stream_files(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", schema)
+    return stream_files(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", schema,
+                        bytes_per_batch=bytes_per_batch)
 
 
 # --- health -----------------------------------------------------------------
@@ -363,7 +366,7 @@ SQL = {
     " CASE WHEN page_id % 6 < 3 THEN '' ELSE '3:20' END AS length,"
     " CASE (page_id % 7) % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'science' ELSE 'videos' END AS category,"
     " language FROM pages_parsed",
-    "hits": "SELECT page_id AS query_id, title AS q, i AS pos,"
+    "hits": "SELECT page_id AS query_id, title AS q, cast(i AS INTEGER) AS pos,"
     " CASE WHEN (page_id + i) % 5 <> 0 THEN title END AS title,"
     " CASE (page_id + i) % 4 WHEN 0 THEN '' WHEN 1 THEN concat('  ', title, ' ') ELSE title END AS content,"
     " concat(url, '#', i) AS url,"

@@ -20,9 +20,16 @@ def stream_probes(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 def stream_files(
-    spark: SparkSession, path: str, schema, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema,
+    files_per_batch: int | None = None,
+    bytes_per_batch: str | None = None,
 ) -> DataFrame:
+    """Newly landed files; either limit bounds what one micro-batch holds."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)

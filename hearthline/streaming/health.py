@@ -8,6 +8,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -103,23 +104,25 @@ class ContainerHealth(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts_us", "sample_id"])
+        at, online = batch["ts_us"].to_numpy(), batch["online"].to_numpy(dtype=bool)
         if self.memory.exists():
             state, streak, first_us, started = self.memory.get()
         else:
-            state, streak, first_us, started = "starting", 0, int(batch["ts_us"].iloc[0]), False
-        changes = []
-        for ts_us, online in zip(batch["ts_us"].tolist(), batch["online"].tolist()):
-            if online:
-                started, streak, new = True, 0, "healthy"
-            else:
-                streak += started or ts_us >= first_us + self.grace_us
-                new = "unhealthy" if streak >= self.retries else state
-            if new != state:
-                changes.append((key[0], ts_us, new))
-            state = new
-        self.memory.update((state, streak, first_us, started))
-        yield pd.DataFrame(changes, columns=["service_id", "ts_us", "state"]).astype(
-            {"service_id": "int64", "ts_us": "int64", "state": "object"}
+            state, streak, first_us, started = "starting", 0, int(at[0]), False
+        successes = np.cumsum(online)
+        counted = np.cumsum(~online & (started | (successes > 0) | (at >= first_us + self.grace_us)))
+        # Counted failures up to the latest success; -1 before any in this batch.
+        at_success = np.maximum.accumulate(np.where(online, counted, -1))
+        run = np.where(successes > 0, counted - at_success, streak + counted)
+        states = np.where(
+            run >= self.retries, "unhealthy", np.where(successes > 0, "healthy", state)
+        ).astype(object)
+        changed = states != np.concatenate([[state], states[:-1]])
+        self.memory.update(
+            (str(states[-1]), int(run[-1]), first_us, bool(started or successes[-1] > 0))
+        )
+        yield pd.DataFrame(
+            {"service_id": key[0], "ts_us": at[changed], "state": states[changed]}
         )
 
     def close(self) -> None:
@@ -130,7 +133,7 @@ def stream_container_health(
     probes: DataFrame, retries: int = fixed.RETRIES, start_period_seconds: int = 0
 ) -> DataFrame:
     """State changes per service. One key's rows of one micro-batch are ordered in
-    memory, so bound the batch with ``files_per_batch`` when catching up."""
+    memory, so bound the batch (``stream_files``) when catching up."""
     return (
         probes.select("service_id", "sample_id", micros(F.col("ts")).alias("ts_us"), "online")
         .groupBy("service_id")

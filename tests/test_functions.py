@@ -1,5 +1,9 @@
 """Literal cases of the column functions."""
 
+import random
+import re
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +57,28 @@ def test_strip_thinking_in_sql_is_the_same(spark):
     assert got == [want for _, want in THINKING]
 
 
+def test_strip_thinking_on_random_texts(spark):
+    rng = random.Random(5)
+    pieces = ["<think>", "</think>", "<THINKING>", "</Thinking>", "<think ", "a", "\n", " ", "é", "\u2003"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(500)]
+    want = [
+        re.sub("<think(?:ing)?>.*?</think(?:ing)?>", "", t, flags=re.S | re.I).strip() for t in texts
+    ]
+    assert values(spark, text.strip_thinking, texts) == want
+
+
+def test_format_bytes_on_random_sizes(spark):
+    rng = random.Random(6)
+    sizes = [int(2 ** rng.uniform(0, 52)) for _ in range(500)]
+
+    def shown(size):
+        power = max(p for p in range(5) if size >= 1024**p)
+        value = (Decimal(size) / 1024**power).quantize(Decimal("0.1"), ROUND_HALF_UP)
+        return f"{value:f}".removesuffix(".0") + " " + ["B", "KB", "MB", "GB", "TB"][power]
+
+    assert values(spark, units.format_bytes, sizes, "bigint") == [shown(s) for s in sizes]
+
+
 def test_strip_ws_takes_what_python_takes(spark):
     spaces = [chr(i) for i in range(0x3100) if chr(i).strip() == ""]
     inputs = [s + "a" + s + "b" + s for s in spaces] + ["​a​", "", "plain"]

@@ -1,6 +1,7 @@
 """Streams over several batches, restarts and late rows against their batch twins."""
 
 import datetime
+import random
 import tempfile
 
 import pytest
@@ -8,7 +9,7 @@ from compare import spark_table
 
 from hearthline.operators import health, models
 from hearthline.plans import views
-from hearthline.sources.probes import PROBE_SCHEMA, stream_files, stream_probes
+from hearthline.sources.probes import PROBE_SCHEMA, read_probes, stream_files, stream_probes
 from hearthline.streaming import health as st
 from hearthline.streaming import run
 
@@ -33,7 +34,7 @@ def landed(spark, sf_dir):
 def test_latest_status(spark, landed):
     stream = st.stream_latest(stream_probes(spark, landed, files_per_batch=1))
     got = run.newest_per_key(run.drain_updates(stream, "t-latest"), "service_id")
-    assert spark_table(got) == spark_table(health.latest_status(spark.read.parquet(landed)))
+    assert spark_table(got) == spark_table(health.latest_status(read_probes(spark, landed)))
 
 
 def test_container_health_counts_runs_across_batches(spark, landed):
@@ -68,6 +69,25 @@ def test_failures_in_the_start_period_do_not_count(spark):
         (0, "healthy"), (3, "unhealthy")]
 
 
+def test_container_states_against_a_plain_loop(spark):
+    """Random marks in two batches, with and without a start period."""
+    rng = random.Random(11)
+    for grace in (0, 7):
+        marks = "".join(rng.choice("+----") for _ in range(50))
+        state, streak, started, want = "starting", 0, False, []
+        for i, mark in enumerate(marks):
+            new = state
+            if mark == "+":
+                started, streak, new = True, 0, "healthy"
+            elif started or i >= grace:
+                streak += 1
+                new = "unhealthy" if streak >= 3 else state
+            if new != state:
+                want.append((i, new))
+            state = new
+        assert container_changes(spark, marks, start_period_seconds=grace) == want
+
+
 def test_late_rows_are_dropped(spark):
     path = folder()
     day = datetime.datetime(2024, 1, 1)

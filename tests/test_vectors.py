@@ -36,6 +36,14 @@ def test_knn(sets, blocks):
     assert got == brute(corpus, asked, 6)
 
 
+def test_knn_in_slices(sets, monkeypatch):
+    corpus, asked, c, q = sets
+    monkeypatch.setattr(vectors, "SLICE", 9)
+    for blocks in ({}, {"query_block": 20, "vector_block": 70}):
+        got = {(r["query_id"], r["pos"], r["vec_id"]) for r in vectors.knn(q, c, 3, **blocks).collect()}
+        assert got == brute(corpus, asked, 3)
+
+
 def test_knn_with_fewer_vectors_than_k(sets):
     corpus, asked, c, q = sets
     got = vectors.knn(q, c.where("vec_id < 3"), 6).collect()
