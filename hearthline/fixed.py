@@ -10,6 +10,7 @@ KINDS = {
 LANGUAGE = "en"
 RESULTS_PER_ANSWER = 6
 NO_TITLE = "No title"
+DAMAGED = "the answer is no JSON object"
 SEPARATOR = " — "
 
 # --- chat clean-up --------------------------------------------------------

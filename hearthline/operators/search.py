@@ -10,7 +10,7 @@ from hearthline import fixed
 from hearthline.functions import text
 from hearthline.operators.sizes import BROADCAST_ROWS, fits, small_side
 from hearthline.session import cut_lineage
-from hearthline.sources.payloads import search_array
+from hearthline.sources.payloads import is_damaged, search_array
 
 K = fixed.RESULTS_PER_ANSWER
 
@@ -70,6 +70,10 @@ def empty_message(kind: str, q: Column) -> Column:
     return F.concat(F.lit(f"No {fixed.KINDS[kind]['noun']} results found for: "), q)
 
 
+def failed_message(kind: str) -> Column:
+    return F.lit(f"{fixed.KINDS[kind]['title']} search failed: {fixed.DAMAGED}")
+
+
 def render_results(hits: DataFrame, kind: str, query: str = "query_id", q: str = "q") -> DataFrame:
     """One answer per query from already limited hits (``top_results``)."""
     blocks = F.array_sort(F.collect_list(F.struct("pos", row_block(kind).alias("block"))))
@@ -90,7 +94,11 @@ def answer_payload(kind: str, q: Column, payload: Column, k: int = K) -> Column:
         ),
     )
     full = F.concat(header(kind, q), F.lit("\n"), F.array_join(blocks, "\n"))
-    return F.when(F.size(found) > 0, full).otherwise(empty_message(kind, q))
+    return (
+        F.when(F.size(found) > 0, full)
+        .when(is_damaged(payload), failed_message(kind))
+        .otherwise(empty_message(kind, q))
+    )
 
 
 def search(kind: str, payloads: DataFrame, q: str = "q", k: int = K) -> DataFrame:
@@ -125,23 +133,21 @@ def with_empty_message(
 def dedup_results(results: DataFrame, key: Column, order: str, engine: str) -> DataFrame:
     """One row per distinct result: the first one, all its engines, its copies.
 
-    Only key, order and engine reach the shuffle. Copies are combined in the map
-    tasks, per key and engine first, so a group of copies of any size arrives as
-    one row per engine.
+    One shuffle, and only key, order and engine reach it. Copies are combined in
+    the map tasks, so a group of copies of any size arrives as one row per task,
+    which holds no more than the distinct engines.
     """
-    per_engine = results.groupBy(key.alias("dedup_key"), F.col(engine).alias("engine")).agg(
-        F.min(order).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    return per_engine.groupBy("dedup_key").agg(
-        F.min("first").alias(order),
-        F.min_by("engine", "first").alias("first_engine"),
-        F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"),
-        F.sum("n").alias("copies"),
+    return results.groupBy(key.alias("dedup_key")).agg(
+        F.min(order).alias(order),
+        F.min_by(engine, order).alias("first_engine"),
+        F.array_join(F.array_sort(F.collect_set(engine)), ",").alias("engines"),
+        F.count(F.lit(1)).alias("copies"),
     )
 
 
 def text_key(c: Column) -> Column:
-    return F.sha2(c, 256)
+    """32 bytes that stand for a whole text."""
+    return F.unhex(F.sha2(c, 256))
 
 
 def url_key(url: Column) -> Column:

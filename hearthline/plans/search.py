@@ -41,9 +41,10 @@ def answer_sql(kind: str) -> str:
 
 def answers_sql(kind: str) -> str:
     """Answer or empty message per captured payload."""
-    noun = fixed.KINDS[kind]["noun"]
+    noun, title = fixed.KINDS[kind]["noun"], fixed.KINDS[kind]["title"]
     return (
-        f"SELECT p.page_id AS query_id, p.title AS q, coalesce(a.answer,"
+        f"SELECT p.page_id AS query_id, p.title AS q, coalesce(a.answer, CASE WHEN p.page_id % 11 = 5 THEN"
+        f" '{title} search failed: {fixed.DAMAGED}' END,"
         f" 'No {noun} results found for: ' || p.title) AS answer FROM pages_parsed p LEFT JOIN"
         f" (SELECT query_id, {answer_sql(kind)} AS answer FROM hits WHERE pos <= {K}"
         " GROUP BY query_id, q) a ON p.page_id = a.query_id"
@@ -113,7 +114,8 @@ def empty_result_message(spark, sf_dir):
 
 def result_dedup(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return s.dedup_results(docs, s.text_key(C("text")), "doc_id", "source")
+    found = s.dedup_results(docs, s.text_key(C("text")), "doc_id", "source")
+    return found.withColumn("dedup_key", F.lower(F.hex("dedup_key")))
 
 
 def result_dedup_url(spark, sf_dir):

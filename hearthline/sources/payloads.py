@@ -6,7 +6,7 @@ opened inside the row: none of these readers shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEARCH_SCHEMA = (
@@ -22,11 +22,23 @@ SERVED_SCHEMA = "object string, data array<struct<id string, object string, crea
 LOADED_SCHEMA = "models array<struct<name string, size_vram bigint>>"
 
 
+def read_captures(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Landed answers as (source, payload): one per file, or one per line."""
+    raw = spark.read.text(path, wholetext=not per_line)
+    return raw.select(
+        F.col("_metadata.file_path").alias("source"), F.col("value").alias("payload")
+    )
+
+
 def search_array(payload: Column) -> Column:
-    """The results of one answer in received order; empty for a bad payload."""
-    parsed = F.from_json(payload, SEARCH_SCHEMA)["results"]
-    return F.coalesce(parsed, F.array().cast("array<struct<title string, content string,"
-                      " url string, engine string, publishedDate string, length string>>"))
+    """The results of one answer in received order; null where there are none."""
+    return F.from_json(payload, SEARCH_SCHEMA)["results"]
+
+
+def is_damaged(payload: Column) -> Column:
+    """No answer at all, or one that is no JSON object."""
+    parsed = F.from_json(payload, SEARCH_SCHEMA + ", _corrupt_record string")
+    return payload.isNull() | parsed["_corrupt_record"].isNotNull()
 
 
 def _others(df: DataFrame, column: str) -> list[str]:
@@ -48,8 +60,7 @@ def read_search_results(payloads: DataFrame, column: str = "payload") -> DataFra
 
 def damaged_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """The payloads that are no JSON object, so that they can be counted."""
-    parsed = F.from_json(F.col(column), SEARCH_SCHEMA + ", _corrupt_record string")
-    return payloads.where(F.col(column).isNull() | parsed["_corrupt_record"].isNotNull())
+    return payloads.where(is_damaged(F.col(column)))
 
 
 def read_model_catalog(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -67,6 +67,15 @@ def test_strip_thinking_on_random_texts(spark):
     assert values(spark, text.strip_thinking, texts) == want
 
 
+def test_cleaning_twice_differs_only_for_nested_blocks(spark):
+    texts = ["<think>a</think>b", "x <think>1</think> y", "<think>open", " a "]
+    once = values(spark, text.strip_thinking, texts)
+    assert values(spark, text.strip_thinking, once) == once
+    nested = "<thi<think>a</think>nk>b</think>c"
+    assert values(spark, text.strip_thinking, [nested]) == ["<think>b</think>c"]
+    assert values(spark, lambda c: text.strip_thinking(text.strip_thinking(c)), [nested]) == ["c"]
+
+
 def test_format_bytes_on_random_sizes(spark):
     rng = random.Random(6)
     sizes = [int(2 ** rng.uniform(0, 52)) for _ in range(500)]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthline.operators import search as s
-from hearthline.sources.payloads import damaged_payloads, read_search_results
+from hearthline.sources.payloads import damaged_payloads, read_captures, read_search_results
 
 PAYLOAD = """{"results": [
  {"title": "One", "content": " body ", "url": "u1", "engine": "e1", "publishedDate": "d1", "length": "1:00"},
@@ -45,9 +45,21 @@ def test_video_layout(spark):
         "**No title**\n**\nLink: u3\n")
 
 
-def test_no_results_and_damage_give_the_message(spark):
+def test_no_results_and_damage_give_messages(spark):
     got = answers(spark, "video")
-    assert [got[i] for i in (2, 3, 4)] == [f"No video results found for: q{i}" for i in (2, 3, 4)]
+    assert got[2] == "No video results found for: q2"
+    assert got[3] == got[4] == "Video search failed: the answer is no JSON object"
+
+
+def test_captured_files_and_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text(PAYLOAD)
+    (tmp_path / "b.json").write_text("{}")
+    files = read_captures(spark, str(tmp_path))
+    assert files.count() == 2 and read_search_results(files).count() == 3
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "c.txt").write_text("{}\n" + PAYLOAD.replace("\n", " ") + "\n")
+    lines = read_captures(spark, str(tmp_path / "lines"), per_line=True)
+    assert lines.count() == 2 and read_search_results(lines).count() == 3
 
 
 def test_scan_and_damaged(spark):
@@ -105,6 +117,13 @@ def test_dedup_counts_and_engines(spark):
         (1, "x", "x,y", 3), (3, "x", "x", 2)]
 
 
+def test_dedup_keeps_one_row_per_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = s.dedup_results(docs, s.text_key(F.col("text")), "doc_id", "source")
+    assert found.count() == docs.select("text").distinct().count()
+    assert found.agg(F.sum("copies")).first()[0] == docs.count()
+
+
 def test_url_key(spark):
     urls = ["http://www.A.com/Path/", "https://a.com/Path#x", "https://a.com/path", "http://a.com"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
