@@ -15,6 +15,7 @@ from hearthline.streaming import run
 
 DELAY = "1 hour"
 GRACE = 6 * 3600
+BATCH_BYTES = 1 << 30
 
 
 def _events(spark, sf_dir, bytes_per_batch=None):
@@ -47,7 +48,7 @@ def stream_residency(spark, sf_dir):
 
 def stream_container_health(spark, sf_dir):
     run.use_rocksdb(spark)
-    probes = v.as_probes(_events(spark, sf_dir, bytes_per_batch="1g"))
+    probes = v.as_probes(_events(spark, sf_dir, bytes_per_batch=BATCH_BYTES))
     stream = st.stream_container_health(probes, start_period_seconds=GRACE)
     updates = run.drain_updates(stream, "container-health")
     return _naive(updates.drop("batch"), "ts")

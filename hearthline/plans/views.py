@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_of(
-    spark: SparkSession, sf_dir: str, name: str, bytes_per_batch: str | None = None
+    spark: SparkSession, sf_dir: str, name: str, bytes_per_batch: int | None = None
 ) -> DataFrame:
     """A table as a file stream, with the schema from its parquet footer.
 

@@ -24,7 +24,7 @@ def stream_files(
     path: str,
     schema,
     files_per_batch: int | None = None,
-    bytes_per_batch: str | None = None,
+    bytes_per_batch: int | None = None,
 ) -> DataFrame:
     """Newly landed files; either limit bounds what one micro-batch holds."""
     reader = spark.readStream.schema(schema)
