@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hearthline.operators import health as h
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
+from hearthline.sources.probes import read_samples
 
 ASOF = "2024-02-01 00:00:00"
 
@@ -15,6 +16,10 @@ def probe_log_scan(spark, sf_dir):
     return v.probes(spark, sf_dir)
 
 
+def probe_payload_scan(spark, sf_dir):
+    return read_samples(v.sample_payloads(spark, sf_dir))
+
+
 def probe_outcome(spark, sf_dir):
     return h.probe_outcome(v.probes_raw(spark, sf_dir))
 
@@ -111,6 +116,10 @@ def _rollup_sql(grain: str) -> str:
 
 QUERIES = {
     "probe_log_scan": (probe_log_scan, check("SELECT * FROM probes", "probes")),
+    "probe_payload_scan": (probe_payload_scan,
+        "SELECT event_id AS sample_id, user_id AS service_id, ts, event_type <> 'error' AND event_id % 9 <> 4"
+        " AND event_id % 13 <> 6 AS online, CASE WHEN event_id % 9 <> 4 AND event_id % 13 <> 6 THEN value END"
+        " AS latency_ms FROM events"),
     "probe_outcome": (probe_outcome, check(OUTCOME_SQL.format(""), "probes_raw")),
     "strict_probe_outcome": (strict_probe_outcome, check(
         OUTCOME_SQL.format(" AND json_valid(body)"), "probes_raw")),

@@ -66,6 +66,18 @@ def probes_raw(spark, sf_dir):
     )
 
 
+def sample_payloads(spark, sf_dir):
+    """One captured health answer per event; some are errors, some are damaged."""
+    n = C("event_id")
+    answer = F.to_json(F.struct((C("event_type") != "error").alias("online"), C("value").alias("latencyMs")))
+    payload = (
+        F.when(n % 9 == 4, '{"error":"Unknown service"}').when(n % 13 == 6, "<html>").otherwise(answer)
+    )
+    return table(spark, sf_dir, "events").select(
+        n.alias("sample_id"), C("user_id").alias("service_id"), "ts", payload.alias("payload")
+    )
+
+
 def as_requests(events: DataFrame) -> DataFrame:
     return events.select(
         C("event_id").alias("request_id"), C("user_id").alias("server_id"),
