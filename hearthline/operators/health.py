@@ -50,10 +50,7 @@ def status_label(online: Column, sampled: Column) -> Column:
 
 
 def accent(label: Column) -> Column:
-    colour = F
-    for name, value in fixed.ACCENTS.items():
-        colour = colour.when(label == name, value)
-    return colour
+    return F.coalesce(*[F.when(label == name, value) for name, value in fixed.ACCENTS.items()])
 
 
 def status_cards(services: DataFrame, latest: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from hearthline.operators import health as h
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from hearthline.plans import health, models
 from hearthline.plans import views as v
 from hearthline.plans.chat import CLEAN_SQL
@@ -42,6 +40,7 @@ def stream_windows(size, slide=None):
 
 
 def stream_residency(spark, sf_dir):
+    run.merge_sessions_early(spark)
     stream = st.stream_residency(v.as_requests(_events(spark, sf_dir)), DELAY, models.IDLE)
     return _naive(run.drain_append(stream, "residency"), "loaded", "unloaded")
 

@@ -101,7 +101,10 @@ def test_late_rows_are_dropped(spark):
     assert got == {1: 2, 2: 1, 3: 2}
 
 
-def test_residency_equals_batch_on_closed_spans(spark, landed):
+@pytest.mark.parametrize("early", ["false", "true"])
+def test_residency_equals_batch_on_closed_spans(spark, landed, early):
+    run.merge_sessions_early(spark)
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", early)
     requests = "sample_id AS request_id", "service_id AS server_id", "'m' AS model", "ts"
     stream = st.stream_residency(stream_probes(spark, landed, 1).selectExpr(*requests), "1 hour", 3600)
     got = spark_table(run.drain_append(stream, "t-residency"))
