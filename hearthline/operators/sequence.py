@@ -9,8 +9,9 @@ finer where its rows are dense, and the chunks are joined up again exactly:
 
 Keys below the limit stay whole; where no key is hot, adaptive execution drops
 the extra branches and one shuffle is left. A table of N rows has at most
-N/rows_per_chunk hot keys and a few times as many chunks, which bounds every
-broadcast below.
+N/rows_per_chunk hot keys and, for each of these, chunks of a quarter of
+``rows_per_chunk`` on average. So the broadcasts below hold about one short row
+per two million rows of the table, and fewer with a higher ``rows_per_chunk``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from hearthline.functions.units import micros
 
-ROWS_PER_CHUNK = 2_000_000
+ROWS_PER_CHUNK = 8_000_000
 _SPLIT, _CHUNK, _EXTRA = "_split", "_chunk", "_extra"
 
 
@@ -48,7 +49,7 @@ def split_hot_keys(
     The range of a hot key is cut into even bins, four per ``rows_per_chunk``
     rows; a bin that still holds more rows is cut again in the same way. So a
     burst of n rows is spread unless it fits into a (4n/rows_per_chunk)^2-th of
-    the key's range.
+    the key's range. Rows without a place come first, as in the windows.
     """
     at = _position(df, order[0])
 
@@ -66,7 +67,8 @@ def split_hot_keys(
 
     def part(parts: str) -> Column:
         offset = (at - F.col("_lo_" + parts)).cast("double")
-        return F.floor(offset * F.col(parts) / F.col("_span_" + parts))
+        place = F.floor(offset * F.col(parts) / F.col("_span_" + parts))
+        return F.when(F.col(parts).isNotNull(), F.coalesce(place, F.lit(-1)))
 
     def marked(rows: DataFrame, by: list[str], found: DataFrame, parts: str, name: str) -> DataFrame:
         joined = rows.join(F.broadcast(found), _same(by, "_k_"), "left")

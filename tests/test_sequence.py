@@ -13,14 +13,14 @@ START = datetime.datetime(2024, 1, 1)
 
 @pytest.fixture(scope="module")
 def probes(spark):
-    """One service holds most rows; times repeat, cluster and leave wide gaps."""
+    """One service holds most rows; times repeat, cluster, leave gaps or are missing."""
     rng = random.Random(7)
     rows = []
     for i in range(900):
         service = 1 if rng.random() < 0.7 else rng.choice([2, 3, None])
         seconds = rng.choice([rng.randrange(300), rng.randrange(90_000), 5])
-        rows.append((i, service, START + datetime.timedelta(seconds=seconds),
-                     rng.random() < 0.4, round(rng.random() * 400, 2)))
+        ts = None if i % 90 == 0 else START + datetime.timedelta(seconds=seconds)
+        rows.append((i, service, ts, rng.random() < 0.4, round(rng.random() * 400, 2)))
     df = spark.createDataFrame(
         rows, "sample_id bigint, service_id bigint, ts timestamp, online boolean, latency_ms double")
     return df.cache()
