@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import tokens
@@ -298,12 +298,11 @@ def _split_large(large: DataFrame, shingles: DataFrame, tokens_of: DataFrame, le
     close = led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
     pairs = close.select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
     links = cut_lineage(_linked(pairs, shingles), "links")
-    marked = led.join(
-        links.select(F.col("a").alias("lead_sid"), F.col("b").alias("sid"), F.lit(True).alias("linked")),
-        (led["lead.sid"] == F.col("lead_sid")) & (led["sid"] == F.col("sid")), "left",
-    ).select(
-        led["tree"], led["node"], led["sid"], led["n_shingles"], led["bits_a"], led["bits_b"],
-        (F.col("linked").isNull() & (led["lead.sid"] != led["sid"]) & (led["open"] if "open" in led.columns else F.lit(True))).alias("open"),
+    m, l = led.alias("m"), links.alias("l")
+    was_open = F.col("m.open") if "open" in led.columns else F.lit(True)
+    marked = m.join(l, (F.col("m.lead.sid") == F.col("l.a")) & (F.col("m.sid") == F.col("l.b")), "left").select(
+        *(f"m.{c}" for c in ("tree", "node", "sid", "n_shingles", "bits_a", "bits_b")),
+        (F.col("l.a").isNull() & (F.col("m.lead.sid") != F.col("m.sid")) & was_open).alias("open"),
     )
     open_count = marked.groupBy("node").agg(F.count_if("open").alias("opens")).where("opens > 0")
     marked = cut_lineage(marked.join(open_count, "node"), "marked")
