@@ -2,9 +2,9 @@
 
 Every distinct set of word shingles walks down independent random trees. At each
 level a node sends its members to one child per chosen minwise token, so similar
-sets keep meeting and others part. Nodes with few members are compared in full.
-Nodes that stay large hold groups of near copies: all members are compared with
-one leader, and only members without a link to it need further company.
+sets keep meeting and others part. Nodes with few members outside the leader's component are compared in full.
+The members of a node are first compared with one leader; members of one component
+need no further comparison, so large groups of near copies are never paired in full.
 Every link is confirmed on the full sets; components come from min labels.
 
 Null or empty text, or text without words: no shingles, a component of its own.
@@ -29,10 +29,8 @@ PERCENT = 75
 #: Independent trees. With two children per level a pair at the threshold survives
 #: one tree to any depth with probability 8/9, so eight miss it with 2e-8.
 TREES = 8
-#: Members of a node that are compared with each other in full.
+#: Members outside their leader's component that are compared with the whole node.
 SMALL = 24
-#: Levels before leaders are used: enough to part texts that share only a passage.
-PLAIN_LEVELS = 3
 #: Minwise tokens per set; half of them choose paths, all give a bit of the sketch.
 TOKENS = 128
 #: Of 128 bits a pair at the threshold differs in 16 on average; 40 is 6.4 deviations more.
@@ -184,14 +182,6 @@ def _plausible(a: str, b: str):
     return (apart <= BITS_APART) & (small * 100 >= large * PERCENT)
 
 
-def _pairs_within(members: DataFrame) -> DataFrame:
-    """Plausible pairs of small nodes; a node adds at most SMALL partners per member."""
-    a, b = members.alias("a"), members.alias("b")
-    return a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & _plausible("a", "b")).select(
-        F.col("a.sid").alias("a"), F.col("b.sid").alias("b")
-    )
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs confirmed on the full sets."""
     a = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("of_a"))
@@ -237,36 +227,34 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         "sets",
     )
     tokens_of = sets_of.select("sid", "n_shingles", "bits_a", "bits_b", "paths")
-    start = tokens_of.withColumns({"tree": F.lit(0), "node": F.lit(0).cast("long")})
-
-    level, found, large = 0, [], None
-    rows = _children(start, level)
-    for level in range(1, PLAIN_LEVELS + 1):
+    rows = _children(tokens_of.withColumns({"tree": F.lit(0), "node": F.lit(0).cast("long")}), 0)
+    level, links, shingles, labels = 0, [], None, None
+    while True:
         members = _sized(rows)
-        found.append(_pairs_within(members.where(F.col("members") <= SMALL)))
-        large = members.where(F.col("members") > SMALL)
-        rows = _children(_with_paths(large, tokens_of), level)
-    members = _sized(rows)
-    small = members.where(F.col("members") <= SMALL)
-    large = members.where(F.col("members") > SMALL)
-    found.append(_pairs_within(small))
-    pairs = cut_lineage(_union(found).distinct(), "pairs")
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select("sid")).distinct()
-    wanted = cut_lineage(sets_of.select("sid", "row_key").join(needed, "sid"), "wanted")
-    shingles = (
-        texts.join(wanted.select("row_key").distinct(), "row_key", "left_semi").select("text")
-        .mapInArrow(_shingle_rows(width), "sid long, shingles array<long>")
-        .join(wanted.select("sid"), "sid", "left_semi")
-        .dropDuplicates(["sid"])
-    )
-    shingles = cut_lineage(shingles, "shingles")
-    links = [cut_lineage(_linked(pairs, shingles), "links")]
-    while not large.isEmpty():
         level += 1
-        more, found, large = _split_large(large, shingles, tokens_of, level)
-        links += [more, cut_lineage(_linked(found, shingles), "links")]
-
+        if shingles is None:  # later members are some of these
+            wanted = cut_lineage(sets_of.select("sid", "row_key").join(members.select("sid").distinct(), "sid"), "wanted")
+            shingles = cut_lineage(
+                texts.join(wanted.select("row_key").distinct(), "row_key", "left_semi").select("text")
+                .mapInArrow(_shingle_rows(width), "sid long, shingles array<long>")
+                .join(wanted.select("sid"), "sid", "left_semi")
+                .dropDuplicates(["sid"]),
+                "shingles",
+            )
+        leaders = members.groupBy("node").agg(F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("sid")).alias("lead"))
+        led = cut_lineage(members.join(leaders, "node"), "led")
+        star = (
+            led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
+            .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
+        )
+        links.append(cut_lineage(_linked(_parted(star, labels), shingles), "links"))
+        labels = _components(_union(links))
+        last = 2 * level + 1 >= _PATHS
+        found, many = _open_nodes(led, labels, last)
+        links.append(cut_lineage(_linked(found, shingles), "links"))
+        if many.isEmpty():
+            break
+        rows = _children(_with_paths(many, tokens_of), level)
     labels = _components(_union(links))
     linked = labels.join(sets_of.select("sid", "first_id"), "sid")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -285,40 +273,38 @@ def _with_paths(members: DataFrame, tokens_of: DataFrame) -> DataFrame:
     return members.select("tree", "node", "sid", "n_shingles", "bits_a", "bits_b").join(tokens_of.select("sid", "paths"), "sid")
 
 
-def _split_large(large: DataFrame, shingles: DataFrame, tokens_of: DataFrame, level: int):
-    """Links to the leaders of large nodes, pairs still to confirm, and nodes still large.
+def _with_label(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFrame:
+    """``rows`` with the component, so far, of the set in column ``of``."""
+    own = labels.select(F.col("sid").alias("labelled"), F.col("label").alias("so_far"))
+    joined = rows.join(own, F.col(of) == F.col("labelled"), "left")
+    return joined.withColumn(name, F.coalesce("so_far", of)).drop("labelled", "so_far")
+
+
+def _parted(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that are not yet in one component."""
+    if labels is None:
+        return pairs
+    return _with_label(_with_label(pairs, labels, "a", "of_a"), labels, "b", "of_b").where("of_a != of_b").select("a", "b")
+
 
-    Past the last unused token a node is not split any more, and each round takes
-    one more leader from its unlinked members; so the walk ends with nothing left out.
+def _open_nodes(led: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs to confirm, and members of nodes to split further.
+
+    Members outside the component of their leader are open. Where few are, they are
+    compared with the whole node; members of one component need no comparison. When
+    no minwise token is left (``last``), every node is compared so.
     """
-    sketch = F.struct("sid", "n_shingles", "bits_a", "bits_b")
-    rank = F.struct(F.col("open").cast("int") if "open" in large.columns else F.lit(1), F.xxhash64("sid", F.lit(level)))
-    leaders = large.groupBy("node").agg(F.max_by(sketch, rank).alias("lead"))
-    led = cut_lineage(large.join(leaders, "node"), "led")
-    close = led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
-    pairs = close.select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
-    links = cut_lineage(_linked(pairs, shingles), "links")
-    m, l = led.alias("m"), links.alias("l")
-    was_open = F.col("m.open") if "open" in led.columns else F.lit(True)
-    marked = m.join(l, (F.col("m.lead.sid") == F.col("l.a")) & (F.col("m.sid") == F.col("l.b")), "left").select(
-        *(f"m.{c}" for c in ("tree", "node", "sid", "n_shingles", "bits_a", "bits_b")),
-        (F.col("l.a").isNull() & (F.col("m.lead.sid") != F.col("m.sid")) & was_open).alias("open"),
-    )
-    open_count = marked.groupBy("node").agg(F.count_if("open").alias("opens")).where("opens > 0")
-    marked = cut_lineage(marked.join(open_count, "node"), "marked")
-    few, many = marked.where(F.col("opens") <= SMALL), marked.where(F.col("opens") > SMALL)
+    flat = led.select("tree", "node", "sid", "n_shingles", "bits_a", "bits_b", F.col("lead.sid").alias("lead_sid"))
+    marked = _with_label(_with_label(flat, labels, "sid", "label"), labels, "lead_sid", "lead_label")
+    marked = marked.withColumn("open", F.col("label") != F.col("lead_label"))
+    opens = marked.groupBy("node").agg(F.count_if("open").alias("opens")).where("opens > 0")
+    marked = cut_lineage(marked.join(opens, "node"), "marked")
+    few, many = marked.where((F.col("opens") <= SMALL) | F.lit(last)), marked.where((F.col("opens") > SMALL) & ~F.lit(last))
     a, b = few.where("open").alias("a"), few.alias("b")
-    found = [
-        a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") != F.col("b.sid")) & _plausible("a", "b"))
-        .select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
-    ]
-    if 2 * level + 1 < _PATHS:
-        members = _sized(_children(_with_paths(many, tokens_of), level))
-        found.append(_pairs_within(members.where(F.col("members") <= SMALL)))
-        rest = members.where(F.col("members") > SMALL)
-    else:
-        rest = many.drop("opens")
-    return links, cut_lineage(_union(found).distinct(), "pairs"), rest
+    found = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b")).select(
+        F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")
+    )
+    return cut_lineage(found.distinct(), "pairs"), many
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
