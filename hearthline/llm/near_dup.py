@@ -2,9 +2,10 @@
 
 Every distinct set of word shingles walks down independent random trees. At each
 level a node sends its members to one child per chosen minwise token, so similar
-sets keep meeting and others part. Nodes with few members outside the leader's component are compared in full.
-The members of a node are first compared with one leader; members of one component
-need no further comparison, so large groups of near copies are never paired in full.
+sets keep meeting and others part. The members of a node are first compared with one
+leader; members of one component need no further comparison, so large groups of near
+copies are never paired in full. Where few members lie outside the leader's
+component, they are compared with the whole node; other nodes are split further.
 Every link is confirmed on the full sets; components come from min labels.
 
 Null or empty text, or text without words: no shingles, a component of its own.
@@ -26,15 +27,18 @@ from hearthline.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
-#: Independent trees. With two children per level a pair at the threshold survives
-#: one tree to any depth with probability 8/9, so eight miss it with 2e-8.
+#: Independent trees.
 TREES = 8
+#: Levels with two paths from every node; below, 4/3 on average, so that the paths of a
+#: pair at the threshold neither grow nor die out, and those of less similar pairs do.
+#: Small nodes lie on the first levels, where the trees miss a pair with under 1e-6.
+WIDE_LEVELS = 2
 #: Members outside their leader's component that are compared with the whole node.
-SMALL = 24
+SMALL = 40
 #: Minwise tokens per set; half of them choose paths, all give a bit of the sketch.
 TOKENS = 128
-#: Of 128 bits a pair at the threshold differs in 16 on average; 40 is 6.4 deviations more.
-BITS_APART = 40
+#: Of 128 bits a pair at the threshold differs in 16 on average; 34 is 4.8 deviations more.
+BITS_APART = 34
 
 _PATHS = TOKENS // 2
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, _PATHS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,6 +158,10 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
             else:
                 at = np.arange(batch.num_rows)
             for branch in range(2):
+                if branch and level >= WIDE_LEVELS:
+                    # A second path from a third of the nodes: 4/3 paths on average.
+                    wide = np.flatnonzero(tokens.mix(node ^ np.uint64(level)) % np.uint64(3) == 0)
+                    at, tree, node = at[wide], tree[wide], node[wide]
                 chosen = columns[tree, branch]
                 token = paths[at, chosen].astype(np.uint64)
                 choice = (chosen.astype(np.uint64) << np.uint64(48)) ^ (token << np.uint64(8)) ^ tree.astype(np.uint64)
@@ -249,6 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         )
         links.append(cut_lineage(_linked(_parted(star, labels), shingles), "links"))
         labels = _components(_union(links))
+        links = [labels.where("sid != label").select(F.col("label").alias("a"), F.col("sid").alias("b"))]
         last = 2 * level + 1 >= _PATHS
         found, many = _open_nodes(led, labels, last)
         links.append(cut_lineage(_linked(found, shingles), "links"))
