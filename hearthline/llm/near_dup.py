@@ -120,15 +120,30 @@ def _bit(values: np.ndarray) -> np.ndarray:
 
 
 def _shingle_rows(width: int):
+    """Sets by name. Repeated rows come one after the other here and give their set once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = (None, None)
         for batch in batches:
-            for _, _, joined, offsets in _sets(batch.column("text"), width):
+            keys = batch.column("row_key").to_numpy(zero_copy_only=False)
+            for first, _, joined, offsets in _sets(batch.column("text"), width):
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
                 if not full.size:
                     continue
-                at = offsets[:-1][full]
-                names = tokens.mix(np.add.reduceat(tokens.mix(joined), at) + sizes[full].astype(np.uint64))
+                names = tokens.mix(np.add.reduceat(tokens.mix(joined), offsets[:-1][full]) + sizes[full].astype(np.uint64))
+                own = keys[first + full]
+                new = np.ones(full.size, bool)
+                new[1:] = (own[1:] != own[:-1]) | (names[1:] != names[:-1])
+                new[0] = (own[0], names[0]) != before
+                before = (own[-1], names[-1])
+                if not new.all():
+                    picked = full[new]
+                    joined = np.concatenate([joined[offsets[i] : offsets[i + 1]] for i in picked] or [joined[:0]])
+                    names, sizes = names[new], sizes[picked]
+                else:
+                    sizes = sizes[full]
+                at = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(tokens.signed(names)),
@@ -241,12 +256,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         members = _sized(rows)
         level += 1
         if shingles is None:  # later members are some of these
-            wanted = cut_lineage(sets_of.select("sid", "row_key").join(members.select("sid").distinct(), "sid"), "wanted")
+            wanted = sets_of.select("sid", "row_key").join(_with_prospects(members), "sid").select("row_key").distinct()
             shingles = cut_lineage(
-                texts.join(wanted.select("row_key").distinct(), "row_key", "left_semi").select("text")
-                .mapInArrow(_shingle_rows(width), "sid long, shingles array<long>")
-                .join(wanted.select("sid"), "sid", "left_semi")
-                .dropDuplicates(["sid"]),
+                texts.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(_shingle_rows(width), "sid long, shingles array<long>"),
                 "shingles",
             )
         leaders = members.groupBy("node").agg(F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("sid")).alias("lead"))
@@ -282,6 +294,14 @@ def _with_paths(members: DataFrame, tokens_of: DataFrame) -> DataFrame:
     return members.select("tree", "node", "sid", "n_shingles", "bits_a", "bits_b").join(tokens_of.select("sid", "paths"), "sid")
 
 
+def _with_prospects(members: DataFrame) -> DataFrame:
+    """Sets that a link is possible for, here or on a later level."""
+    small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
+    a, b = small.alias("a"), small.alias("b")
+    near = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") != F.col("b.sid")) & _plausible("a", "b"), "left_semi")
+    return near.select("sid").union(large.select("sid")).distinct()
+
+
 def _with_label(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFrame:
     """``rows`` with the component, so far, of the set in column ``of``."""
     own = labels.select(F.col("sid").alias("labelled"), F.col("label").alias("so_far"))
