@@ -49,9 +49,13 @@ def _numeric(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         return F.when(valid, F.concat(char, F.substr(piece, F.char_length(code) + 2))).otherwise(F.concat(F.lit("&#"), piece))
 
-    pieces = F.split(text, "&#")
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
-    return F.when(F.contains(text, F.lit("&#")), whole).otherwise(text)
+    def whole(bound: Column) -> Column:
+        pieces = F.split(bound, "&#")
+        rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.when(F.contains(bound, F.lit("&#")), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, one), ""))).otherwise(bound)
+
+    # Bound as an element, so that the text is made once and not once per branch.
+    return F.get(F.transform(F.array(text), whole), F.lit(0))
 
 
 def _unescaped(text: Column) -> Column:
