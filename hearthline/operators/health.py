@@ -30,9 +30,9 @@ def mean_ms(ms: Column) -> Column:
 
 def probe_outcome(raw: DataFrame, require_json: bool = False) -> DataFrame:
     """Online = any answer within the time limit; elapsed time is kept either way."""
-    online = F.col("http_code").isNotNull() & (F.col("latency_ms") < fixed.PROBE_TIMEOUT_MS)
+    online = F.col("http_code").isNotNull() & F.coalesce(F.col("latency_ms") < fixed.PROBE_TIMEOUT_MS, F.lit(False))
     if require_json:
-        online = online & is_json(F.col("body"))
+        online = online & F.coalesce(is_json(F.col("body")), F.lit(False))
     return raw.select("sample_id", "service_id", "ts", online.alias("online"), "latency_ms")
 
 

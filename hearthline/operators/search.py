@@ -135,14 +135,16 @@ def dedup_results(results: DataFrame, key: Column, order: str, engine: str) -> D
 
     One shuffle, and only key, order and engine reach it. Copies are combined in
     the map tasks, so a group of copies of any size arrives as one row per task,
-    which holds no more than the distinct engines.
+    which holds no more than the distinct engines. A result without a key is no
+    copy of another.
     """
-    return results.groupBy(key.alias("dedup_key")).agg(
+    own = F.when(key.isNull() | (F.length(key) == 0), F.col(order))
+    return results.groupBy(key.alias("dedup_key"), own.alias("keyless")).agg(
         F.min(order).alias(order),
         F.min_by(engine, order).alias("first_engine"),
         F.array_join(F.array_sort(F.collect_set(engine)), ",").alias("engines"),
         F.count(F.lit(1)).alias("copies"),
-    )
+    ).drop("keyless")
 
 
 def text_key(c: Column) -> Column:
@@ -221,7 +223,7 @@ def web_grounding(
     asked = cut_lineage(latest_user_turn(chat).withColumnRenamed("conv_id", "query_id"))
     # At most k short rows per conversation; stored, so that they are counted and
     # joined without searching twice. While they can be broadcast, no text moves.
-    hits = cut_lineage(keyword_search(asked, docs, k).select("query_id", "doc_id", "pos"))
+    hits = cut_lineage(keyword_search(asked, docs, k, broadcast_rows=broadcast_rows).select("query_id", "doc_id", "pos"))
     hits = small_side(hits, broadcast_rows)
     shown = docs.select("doc_id", "title", "url", "engine", F.col("text").alias("content"))
     blocks = (

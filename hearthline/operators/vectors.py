@@ -48,11 +48,13 @@ def _best(query_ids, queries, vec_ids, vectors, k: int) -> pa.Table:
 def _best_of_slice(query_ids, queries, vec_ids, vectors, k: int) -> pa.Table:
     """Scores at least the k-th best, ordered by score and id, cut at k."""
     similarity = np.round(queries @ vectors.T, PLACES)
+    # A vector with a missing or non-finite part is no hit and finds none.
+    similarity[~np.isfinite(similarity)] = -np.inf
     if len(vec_ids) > k:
         least = np.partition(similarity, -k, axis=1)[:, -k]
     else:
         least = similarity.min(axis=1)
-    row, column = np.nonzero(similarity >= least[:, None])
+    row, column = np.nonzero((similarity >= least[:, None]) & np.isfinite(similarity))
     found = similarity[row, column]
     order = np.lexsort((vec_ids[column], -found, row))
     row, column, found = row[order], column[order], found[order]

@@ -62,7 +62,7 @@ def counter_entries(report: Column) -> Column:
         )
 
     entries = F.filter(
-        F.transform(without_header(report), entry),
+        F.transform(without_header(F.regexp_replace(report, r"^\s+|\s+$", "")), entry),
         lambda e: (e["parts"] == 2) & e["value"].isNotNull(),
     )
 

@@ -42,6 +42,7 @@ def stream_health(
         .agg(
             F.count(F.lit(1)).alias("samples"),
             F.count_if("online").alias("up"),
+            F.count("latency_ms").alias("timed"),
             F.sum(hundredths(F.col("latency_ms"))).alias("sum"),
         )
         .select(
@@ -50,7 +51,7 @@ def stream_health(
             F.col("w.end").alias("window_end"),
             "samples",
             (F.col("up") / F.col("samples")).alias("uptime"),
-            (F.col("sum") / F.col("samples") / 100).alias("mean_ms"),
+            (F.col("sum") / F.nullif("timed", F.lit(0)) / 100).alias("mean_ms"),
         )
     )
 
