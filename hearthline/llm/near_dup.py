@@ -233,6 +233,20 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: only components that these join are solved anew."""
+    if labels is None:
+        return _components(links)
+    ends = _with_label(_with_label(links, labels, "a", "of_a"), labels, "b", "of_b").where("of_a != of_b")
+    between = cut_lineage(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return labels
+    joined = _components(between)
+    further = joined.select(F.col("sid").alias("label"), F.col("label").alias("further"))
+    known = labels.join(further, "label", "left").select("sid", F.coalesce("further", "label").alias("label"))
+    return cut_lineage(known.union(joined.join(labels.select("sid"), "sid", "left_anti").select("sid", "label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -261,22 +275,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 texts.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(_shingle_rows(width), "sid long, shingles array<long>"),
                 "shingles",
             )
-        leaders = members.groupBy("node").agg(F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("sid")).alias("lead"))
+        leaders = members.groupBy("node").agg(F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("node", "sid")).alias("lead"))  # another one on each level
         led = cut_lineage(members.join(leaders, "node"), "led")
         star = (
             led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
             .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
         )
         links.append(cut_lineage(_linked(_parted(star, labels), shingles), "links"))
-        labels = _components(_union(links))
-        links = [labels.where("sid != label").select(F.col("label").alias("a"), F.col("sid").alias("b"))]
+        labels = _merged(labels, _union(links))
         last = 2 * level + 1 >= _PATHS
         found, many = _open_nodes(led, labels, last)
-        links.append(cut_lineage(_linked(found, shingles), "links"))
+        links = [cut_lineage(_linked(found, shingles), "links")]
         if many.isEmpty():
             break
         rows = _children(_with_paths(many, tokens_of), level)
-    labels = _components(_union(links))
+    labels = _merged(labels, _union(links))
     linked = labels.join(sets_of.select("sid", "first_id"), "sid")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     in_group = linked.join(least, "label").select("sid", "component_id")
