@@ -9,6 +9,7 @@ from hearthline import fixed
 from hearthline.functions.text import short_model_name
 from hearthline.functions.units import binary_gib, format_bytes, micros
 from hearthline.operators import sequence
+from hearthline.sources.reports import counter_entries
 
 ORDER = ["ts", "request_id"]
 
@@ -50,13 +51,26 @@ def memory_summary(counters: DataFrame, totals: DataFrame, report: str = "report
     """
     pages = F.sum(F.when(F.col("key").isin(*fixed.USED_COUNTERS), F.col("value")))
     used = counters.groupBy(report).agg(F.coalesce(pages, F.lit(0)).alias("pages"))
-    used_bytes = F.coalesce("pages", F.lit(0)) * fixed.PAGE_BYTES
-    return totals.join(used, report, "left").select(
-        report,
-        binary_gib(F.col("total_bytes"), 0).alias("total_gib"),
+    return totals.join(used, report, "left").select(report, *_memory(F.col("pages"), F.col("total_bytes")))
+
+
+def _memory(pages: Column, total_bytes: Column) -> list[Column]:
+    used_bytes = F.coalesce(pages, F.lit(0)) * fixed.PAGE_BYTES
+    return [
+        binary_gib(total_bytes, 0).alias("total_gib"),
         binary_gib(used_bytes).alias("used_gib"),
-        binary_gib(F.col("total_bytes") - used_bytes).alias("free_gib"),
-    )
+        binary_gib(total_bytes - used_bytes).alias("free_gib"),
+    ]
+
+
+def memory_of_reports(
+    reports: DataFrame, report: str = "report_id", column: str = "report", total: str = "total_bytes"
+) -> DataFrame:
+    """The same from the reports themselves, one row each, with the total beside the
+    text; all within the row, so nothing shuffles."""
+    used = F.filter(counter_entries(F.col(column)), lambda e: e["key"].isin(*fixed.USED_COUNTERS))
+    pages = F.aggregate(used, F.lit(0).cast("bigint"), lambda sum_, e: sum_ + e["value"].cast("bigint"))
+    return reports.select(report, total, pages.alias("pages")).select(report, *_memory(F.col("pages"), F.col(total)))
 
 
 def model_swaps(requests: DataFrame, rows_per_chunk: int = sequence.ROWS_PER_CHUNK) -> DataFrame:

@@ -16,6 +16,9 @@ from hearthline.functions.text import truthy
 from hearthline.operators import sequence
 from hearthline.operators.sizes import small_side
 
+#: Most entries in one part of a posted list.
+PART_ROWS = 1000
+
 
 def first_row(df: DataFrame, *order: str) -> DataFrame:
     """The first row in a total order; each task keeps one row."""
@@ -32,7 +35,10 @@ def key_lookup(keys: DataFrame, users: DataFrame, role: str) -> DataFrame:
 
 
 def registry_lookup(ids: DataFrame, registry: DataFrame, key: str = "id") -> DataFrame:
-    """The registry row for each id; an unknown id stays with status 404."""
+    """The registry row for each id; an unknown id stays with status 404.
+
+    Ids in ``registry`` must be distinct, or rows multiply.
+    """
     known = registry.withColumn("_known", F.lit(True))
     return (
         ids.join(known, key, "left")
@@ -129,3 +135,36 @@ def with_position(
         index.alias("position"),
         (index * fixed.CARD_STAGGER_MS).alias("delay_ms"),
     )
+
+
+def post_parts(
+    rows: DataFrame,
+    owner: str,
+    order: str,
+    entry: Column,
+    part_rows: int = PART_ROWS,
+    owners: DataFrame | None = None,
+) -> DataFrame:
+    """Each owner's list by rank in numbered parts: owner, part, parts, entries.
+
+    A part holds at most ``part_rows`` entries, whatever the key. An owner in
+    ``owners`` without rows posts an empty list. Rows without an owner post nothing.
+    """
+    named = rows.where(F.col(owner).isNotNull())
+    placed = with_position(named, owner, order)
+    part = F.floor(F.col("position") / part_rows).cast("int")
+    cut = placed.groupBy(owner, part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))).alias("placed")
+    )
+    # A row per owner and task reaches this shuffle.
+    sizes = named.groupBy(owner).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    filled = cut.join(sizes, owner).select(
+        owner, "part", "parts", F.transform("placed", lambda e: e["entry"]).alias("entries")
+    )
+    if owners is None:
+        return filled
+    silent = owners.select(owner).where(F.col(owner).isNotNull()).distinct().join(sizes, owner, "left_anti")
+    none = F.from_json(F.lit("[]"), filled.schema["entries"].dataType)
+    return filled.unionByName(
+        silent.select(owner, F.lit(0).alias("part"), F.lit(1).alias("parts"), none.alias("entries"))
+    )

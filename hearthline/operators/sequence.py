@@ -31,7 +31,11 @@ _SPLIT, _CHUNK, _EXTRA = "_split", "_chunk", "_extra"
 
 
 def _position(df: DataFrame, name: str) -> Column:
+    """A number that never falls along ``name``; of a text, its first seven bytes."""
     kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        begin = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7))
+        return F.conv(F.rpad(begin, 14, "0"), 16, 10).cast("bigint")
     return micros(F.col(name)) if isinstance(kind, T.DatetimeType) else F.col(name)
 
 

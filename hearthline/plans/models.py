@@ -73,11 +73,8 @@ def skip_header(spark, sf_dir):
 
 
 def memory_summary(spark, sf_dir):
-    captured = v.counter_reports(spark, sf_dir)
-    totals = captured.select(
-        "report_id", ((C("report_id") % 9 + 8) * F.lit(1024**3)).alias("total_bytes")
-    )
-    return m.memory_summary(reports.read_counters(captured), totals)
+    total = (C("report_id") % 9 + 8) * F.lit(1024**3)
+    return m.memory_of_reports(v.counter_reports(spark, sf_dir).withColumn("total_bytes", total))
 
 
 _NAME = "concat(replace(p_name, ' ', '-'), ':', p_partkey, '.', i)"

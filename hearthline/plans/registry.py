@@ -147,14 +147,22 @@ def registry_order(spark, sf_dir):
 
 
 def registry_overwrite(spark, sf_dir):
-    """Post all suppliers per nation; then, twice, shorter lists for even nations."""
+    """Post all suppliers per nation; then, twice, shorter lists for even nations,
+    some of them empty; then a post that never becomes whole."""
     s = v.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    entry = F.struct("s_suppkey", "s_name", "s_acctbal")
     path = fresh_dir(spark, "registry")
-    sinks.write_registry(s, path, "s_nationkey")
-    shorter = s.where((C("s_nationkey") % 2 == 0) & (C("s_acctbal") > 0))
-    for _ in range(2):
-        sinks.write_registry(shorter, path, "s_nationkey")
-    return spark.read.schema(s.schema).parquet(path)
+
+    def post(number: int, rows: DataFrame, owners: DataFrame | None = None, repeats: int = 1, part_rows: int = 10) -> None:
+        parts = r.post_parts(rows, "s_nationkey", "s_suppkey", entry, part_rows, owners)
+        for _ in range(repeats):
+            sinks.append_parts(parts.withColumn("post", F.lit(number)).where(F.lit(number < 3) | (C("part") > 0)), path)
+
+    even = s.where(C("s_nationkey") % 2 == 0)
+    post(1, s)
+    post(2, even.where(C("s_acctbal") > 0), even, repeats=2)
+    post(3, s, part_rows=1)
+    return sinks.newest_posts(spark.read.parquet(path), "s_nationkey")
 
 
 def registry_json_body(spark, sf_dir):
@@ -166,7 +174,7 @@ def registry_json_body(spark, sf_dir):
         (C("s_acctbal") > 0).alias("enable"),
         C("s_name").alias("name"),
     )
-    return sinks.registry_json(s, "owner", "id", ["enable"], ["name"])
+    return sinks.registry_json(s, "owner", "id", ["enable"], ["name"], part_rows=10)
 
 
 def dependency_closure(spark, sf_dir):
@@ -226,12 +234,14 @@ QUERIES = {
         " row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS position FROM supplier)"),
     "registry_overwrite": (registry_overwrite,
         "SELECT s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier WHERE s_nationkey % 2 = 1"
-        " OR s_acctbal > 0 OR s_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)"),
+        " OR s_acctbal > 0"),
     "registry_json_body": (registry_json_body,
-        "SELECT s_nationkey AS owner, s_suppkey // 1000 AS page, '{\"connections\":[' || string_agg("
+        "SELECT s_nationkey AS owner, CAST(place // 10 AS INTEGER) AS part,"
+        " CAST((any_value(n) + 9) // 10 AS INTEGER) AS parts, '{\"connections\":[' || string_agg("
         "'{\"url\":\"http://host/' || s_suppkey || '\",\"auth_type\":\"bearer\",\"config\":{\"enable\":' ||"
         " (s_acctbal > 0) || '},\"info\":{\"id\":' || s_suppkey || ',\"name\":\"' || s_name || '\"}}',"
-        " ',' ORDER BY s_suppkey) || ']}' AS body FROM supplier GROUP BY 1, 2"),
+        " ',' ORDER BY s_suppkey) || ']}' AS body FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n,"
+        " row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier) GROUP BY 1, 2"),
     "dependency_closure": (dependency_closure,
         "WITH RECURSIVE edges AS (SELECT 'order ' || o_orderkey AS svc, 'customer ' || o_custkey AS dep FROM orders"
         " UNION SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from hearthline.operators import registry
 from hearthline.plans import health, models
 from hearthline.plans import views as v
 from hearthline.plans.chat import CLEAN_SQL
 from hearthline.plans.views import C, check
 from hearthline.session import fresh_dir
 from hearthline.sources import sinks
+from hearthline.sources.probes import stream_files
 from hearthline.streaming import health as st
 from hearthline.streaming import run
 
@@ -71,16 +75,19 @@ def stream_strip_thinking(spark, sf_dir):
 
 
 def stream_registry_sink(spark, sf_dir):
-    """Each batch replaces the lists it posts; writing a batch twice changes nothing."""
-    suppliers = v.stream_of(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    path = fresh_dir(spark, "stream-registry")
-
-    def post(batch, batch_id):
+    """Lists posted in parts that come one file per batch; a batch logged twice changes nothing."""
+    suppliers = v.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    parts = registry.post_parts(suppliers, "s_nationkey", "s_suppkey", F.struct("s_suppkey", "s_name"), part_rows=5)
+    landed, path = fresh_dir(spark, "posted"), fresh_dir(spark, "stream-registry")
+    parts.withColumn("post", F.lit(1)).repartition(3, "part").write.parquet(landed)
+    schema = spark.read.parquet(landed).schema
+
+    def log(batch, batch_id):
         for _ in range(2):
-            sinks.write_registry(batch, path, "s_nationkey")
+            sinks.append_parts(batch, path)
 
-    run.drain_batches(suppliers, "registry-sink", post, mode="append")
-    return spark.read.schema(suppliers.schema).parquet(path)
+    run.drain_batches(stream_files(spark, landed, schema, files_per_batch=1), "registry-sink", log, mode="append")
+    return sinks.newest_posts(spark.read.schema(schema).parquet(path), "s_nationkey")
 
 
 # An append-mode window is emitted once the watermark (newest ts less the delay,

@@ -64,15 +64,46 @@ def test_markdown_round_trip(spark):
     assert rows(sinks.read_markdown(spark, path)) == sorted([("news", "a\n\nb\n"), ("video", "c\n"), ("news", "")])
 
 
-def test_registry_json_pages(spark):
+def test_markdown_keeps_separators_inside_answers(spark):
+    path = folder()
+    hard = [("news", "a\x1eb"), ("news", "\x1aR \x1aS \x1a"), ("news", "\x1a\x1e\x1aS\x1e")]
+    sinks.write_markdown(spark.createDataFrame(hard, "kind string, answer string"), path)
+    assert rows(sinks.read_markdown(spark, path)) == sorted(hard)
+
+
+def test_registry_json_parts(spark):
     df = spark.range(25).selectExpr("id % 2 AS owner", "id", "concat('u', id) AS url", "true AS enable", "'n' AS name")
-    docs = sinks.registry_json(df, "owner", "id", ["enable"], ["name"], page_size=10).collect()
-    assert len(docs) == 6
-    body = json.loads(next(d["body"] for d in docs if d["owner"] == 1 and d["page"] == 0))
-    assert [c["info"]["id"] for c in body["connections"]] == [1, 3, 5, 7, 9]
+    docs = sinks.registry_json(df, "owner", "id", ["enable"], ["name"], part_rows=10).collect()
+    assert sorted((d["owner"], d["part"], d["parts"]) for d in docs) == [(0, 0, 2), (0, 1, 2), (1, 0, 2), (1, 1, 2)]
+    body = json.loads(next(d["body"] for d in docs if d["owner"] == 1 and d["part"] == 0))
+    assert [c["info"]["id"] for c in body["connections"]] == list(range(1, 21, 2))
     assert body["connections"][0] == {"url": "u1", "config": {"enable": True}, "info": {"id": 1, "name": "n"}}
 
 
+def test_registry_json_with_text_keys_and_the_other_shape(spark):
+    df = spark.createDataFrame([("o", k, True, True) for k in "cab"], "owner string, id string, enable boolean, enabled boolean")
+    docs = sinks.registry_json(df, "owner", "id", ["enable"], [], name="servers", part_rows=2).orderBy("part").collect()
+    assert [len(json.loads(d["body"])["servers"]) for d in docs] == [2, 1]
+    assert json.loads(docs[1]["body"]) == {"servers": [{"enabled": True, "config": {"enable": True}}]}
+
+
+def test_posts_replace_lists_when_whole(spark):
+    path = folder()
+
+    def post(number, listed, owners=None, take=None, part_rows=1):
+        df = spark.createDataFrame(listed, "owner int, name string")
+        of = owners and spark.createDataFrame([(o,) for o in owners], "owner int")
+        parts = r.post_parts(df, "owner", "name", F.struct("name"), part_rows, of).withColumn("post", F.lit(number))
+        sinks.append_parts(parts if take is None else parts.where(F.col("part").isin(*take)), path)
+        return rows(sinks.newest_posts(spark.read.parquet(path), "owner"))
+
+    first = [(1, "a"), (1, "b"), (2, "c"), (None, "lost")]
+    assert post(1, first) == post(1, first) == [(1, "a"), (1, "b"), (2, "c")]
+    assert post(2, [(1, "x"), (1, "y"), (1, "z")], take=[2, 0]) == [(1, "a"), (1, "b"), (2, "c")]
+    assert post(2, [(1, "x"), (1, "y"), (1, "z")], take=[1]) == [(1, "x"), (1, "y"), (1, "z"), (2, "c")]
+    assert post(3, [(1, "q")], owners=[1, 2]) == [(1, "q")]
+
+
 def test_counter_report(spark):
     report = (
         "Mach: header 1.\nPages active:    12.\nno colon\nPages active: 15...\na: b: 3.\n"
@@ -88,6 +119,13 @@ def test_memory_summary_with_missing_counters(spark):
     assert rows(models.memory_summary(counters, totals)) == [(1, 16.0, 1.0, 15.0), (2, 8.0, 0.0, 8.0)]
 
 
+def test_memory_within_the_row(spark):
+    df = spark.createDataFrame(
+        [(1, "head\nPages active: 65536.\nPages free: 5.", 16 * 1024**3), (2, "head", 8 * 1024**3), (3, None, 8 * 1024**3)],
+        "report_id bigint, report string, total_bytes bigint")
+    assert rows(models.memory_of_reports(df)) == [(1, 16.0, 1.0, 15.0), (2, 8.0, 0.0, 8.0), (3, 8.0, 0.0, 8.0)]
+
+
 def test_column_report_and_files(spark):
     path = folder()
     with open(f"{path}/report.txt", "w") as f:

@@ -108,3 +108,12 @@ def test_idle_gap_equal_to_limit_starts_a_span(spark):
     assert got == [(0, 2), (119, 2)]
     stays = models.model_residency(df, 60, pinned=("m",)).collect()
     assert [(r["requests"], r["unloaded"]) for r in stays] == [(4, None)]
+
+
+def test_text_keys_are_cut_along_their_order(spark):
+    from hearthline.operators import registry
+
+    words = ["", "a", "b", "aé", "é", "zz", "prefix-1", "prefix-2", "日本", "\U0001f600"] + [f"k{i:03}" for i in range(60)]
+    df = spark.createDataFrame([("o", w) for w in words], "owner string, name string")
+    got = {r["name"]: r["position"] for r in registry.with_position(df, "owner", "name", rows_per_chunk=5).collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
