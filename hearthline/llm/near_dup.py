@@ -34,7 +34,7 @@ TREES = 8
 #: Small nodes lie on the first levels, where the trees miss a pair with under 1e-6.
 WIDE_LEVELS = 2
 #: Members outside their leader's component that are compared with the whole node.
-SMALL = 40
+SMALL = 160
 #: Minwise tokens per set; half of them choose paths, all give a bit of the sketch.
 TOKENS = 128
 #: Of 128 bits a pair at the threshold differs in 16 on average; 34 is 4.8 deviations more.
@@ -190,10 +190,16 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     return rows.mapInArrow(run, "tree int, node long, sid long, n_shingles long, bits_a long, bits_b long")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Members of nodes that have company, with the number of members."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-    return cut_lineage(rows.join(sizes, "node"), "nodes")
+def _led(rows: DataFrame) -> DataFrame:
+    """Members of nodes that have company, with the number of members and a leader.
+
+    Node names differ by level, so each level picks other leaders.
+    """
+    of_node = rows.groupBy("node").agg(
+        F.count("*").alias("members"),
+        F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("node", "sid")).alias("lead"),
+    )
+    return cut_lineage(rows.join(of_node.where("members > 1"), "node"), "led")
 
 
 def _plausible(a: str, b: str):
@@ -267,25 +273,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     rows = _children(tokens_of.withColumns({"tree": F.lit(0), "node": F.lit(0).cast("long")}), 0)
     level, links, shingles, labels = 0, [], None, None
     while True:
-        members = _sized(rows)
+        led = _led(rows)
         level += 1
         if shingles is None:  # later members are some of these
-            wanted = sets_of.select("sid", "row_key").join(_with_prospects(members), "sid").select("row_key").distinct()
+            wanted = sets_of.select("sid", "row_key").join(_with_prospects(led), "sid").select("row_key").distinct()
             shingles = cut_lineage(
                 texts.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(_shingle_rows(width), "sid long, shingles array<long>"),
                 "shingles",
             )
-        leaders = members.groupBy("node").agg(F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("node", "sid")).alias("lead"))  # another one on each level
-        led = cut_lineage(members.join(leaders, "node"), "led")
         star = (
             led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
             .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
         )
         links.append(cut_lineage(_linked(_parted(star, labels), shingles), "links"))
-        labels = _merged(labels, _union(links))
+        if level & (level - 1) == 0:
+            # On levels 1, 2, 4, 8 ...: older labels only leave more members open.
+            labels, links = _merged(labels, _union(links)), []
         last = 2 * level + 1 >= _PATHS
         found, many = _open_nodes(led, labels, last)
-        links = [cut_lineage(_linked(found, shingles), "links")]
+        links.append(cut_lineage(_linked(found, shingles), "links"))
         if many.isEmpty():
             break
         rows = _children(_with_paths(many, tokens_of), level)
@@ -346,7 +352,7 @@ def _open_nodes(led: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFram
     found = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b")).select(
         F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")
     )
-    return cut_lineage(found.distinct(), "pairs"), many
+    return found.distinct(), many
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
