@@ -34,7 +34,7 @@ TREES = 8
 #: Small nodes lie on the first levels, where the trees miss a pair with under 1e-6.
 WIDE_LEVELS = 2
 #: Members outside their leader's component that are compared with the whole node.
-SMALL = 160
+SMALL = 40
 #: Minwise tokens per set; half of them choose paths, all give a bit of the sketch.
 TOKENS = 128
 #: Of 128 bits a pair at the threshold differs in 16 on average; 34 is 4.8 deviations more.
