@@ -223,6 +223,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _confirmed(pairs: list[DataFrame], sets: DataFrame) -> DataFrame:
+    """Links among the stored pairs of several levels."""
+    return cut_lineage(_linked(_union(pairs).distinct(), sets), "links")
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(sid, label): the smallest sid reachable, by min labels with pointer jumps."""
     edges = cut_lineage(links.union(links.select("b", "a")).distinct(), "edges")
@@ -271,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     )
     tokens_of = sets_of.select("sid", "n_shingles", "bits_a", "bits_b", "paths")
     rows = _children(tokens_of.withColumns({"tree": F.lit(0), "node": F.lit(0).cast("long")}), 0)
-    level, links, shingles, labels = 0, [], None, None
+    level, pairs, shingles, labels = 0, [], None, None
     while True:
         led = _led(rows)
         level += 1
@@ -285,17 +290,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
             .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
         )
-        links.append(cut_lineage(_linked(_parted(star, labels), shingles), "links"))
+        pairs.append(cut_lineage(_parted(star, labels), "pairs"))
         if level & (level - 1) == 0:
-            # On levels 1, 2, 4, 8 ...: older labels only leave more members open.
-            labels, links = _merged(labels, _union(links)), []
+            # On levels 1, 2, 4, 8 ..., as each time shuffles the sets: older labels only leave more members open.
+            labels, pairs = _merged(labels, _confirmed(pairs, shingles)), []
         last = 2 * level + 1 >= _PATHS
         found, many = _open_nodes(led, labels, last)
-        links.append(cut_lineage(_linked(found, shingles), "links"))
+        pairs.append(cut_lineage(found, "pairs"))
         if many.isEmpty():
             break
         rows = _children(_with_paths(many, tokens_of), level)
-    labels = _merged(labels, _union(links))
+    labels = _merged(labels, _confirmed(pairs, shingles))
     linked = labels.join(sets_of.select("sid", "first_id"), "sid")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     in_group = linked.join(least, "label").select("sid", "component_id")
