@@ -1,12 +1,12 @@
-"""Near duplicates by a chosen-path set similarity join.
+"""Near duplicates by minwise nodes and an exact prefix-filter join.
 
-Every distinct set of word shingles walks down independent random trees. At each
-level a node sends its members to one child per chosen minwise token, so similar
-sets keep meeting and others part. The members of a node are first compared with one
-leader; members of one component need no further comparison, so large groups of near
-copies are never paired in full. Where few members lie outside the leader's
-component, they are compared with the whole node; other nodes are split further.
-Every link is confirmed on the full sets; components come from min labels.
+Every distinct set of word shingles joins one node per minwise token. The members of
+a node are first compared with one leader; members of one component need no further
+comparison, so large groups of near copies are never paired in full. Where few members
+lie outside the leader's component, they are compared with the whole node. Members of
+all other nodes go through a prefix-filter join, which loses no pair: sets that are
+linked share one of the rarest quarter of their shingles. Every link is confirmed on
+the full sets; components come from min labels.
 
 Null or empty text, or text without words: no shingles, a component of its own.
 Repeated rows share a component. A null id never names a component that also has
@@ -27,18 +27,18 @@ from hearthline.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
-#: Independent trees.
-TREES = 8
-#: Levels with two paths from every node; below, 4/3 on average, so that the paths of a
-#: pair at the threshold neither grow nor die out, and those of less similar pairs do.
-#: Small nodes lie on the first levels, where the trees miss a pair with under 1e-6.
-WIDE_LEVELS = 2
+#: Nodes of every set. A pair at the threshold shares none with 0.25 ** 16 = 2.3e-10.
+NODES = 16
 #: Members outside their leader's component that are compared with the whole node.
 SMALL = 40
-#: Minwise tokens per set; half of them choose paths, all give a bit of the sketch.
+#: Members of one block of a longer list; every pair of blocks is one group of rows.
+BLOCK = 1000
+#: Minwise tokens per set; each gives a bit of the sketch, the first also name nodes.
 TOKENS = 128
-#: Of 128 bits a pair at the threshold differs in 16 on average; 34 is 4.8 deviations more.
-BITS_APART = 34
+#: Of 128 bits a pair at the threshold differs in 16 on average; 40 is 6.4 deviations more.
+BITS_APART = 40
+#: Counters of shingles by hash; their order only decides which shingles count as rare.
+COUNTERS = 1 << 18
 
 _PATHS = TOKENS // 2
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, _PATHS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +83,7 @@ def _features(width: int):
                 at = offsets[:-1][full]
                 names = np.zeros(last - first, np.uint64)
                 bits = np.zeros((2, last - first), np.uint64)
-                paths = np.zeros((last - first, _PATHS), np.uint32)
+                paths = np.zeros((last - first, NODES), np.uint32)
                 if full.size:
                     names[full] = tokens.mix(np.add.reduceat(tokens.mix(joined), at) + sizes[full].astype(np.uint64))
                     for i in range(_PATHS):
@@ -92,7 +92,8 @@ def _features(width: int):
                         scrambled *= np.uint64(0xBF58476D1CE4E5B9)
                         low = np.minimum.reduceat(scrambled.astype(np.uint32), at)
                         high = np.minimum.reduceat((scrambled >> _HALF).astype(np.uint32), at)
-                        paths[full, i] = high
+                        if i < NODES:
+                            paths[full, i] = high
                         for side, least in enumerate((low, high)):
                             bits[side, full] |= _bit(least) << np.uint64(i)
                 own = batch.slice(first, last - first)
@@ -105,7 +106,7 @@ def _features(width: int):
                         pa.array(tokens.signed(bits[0])),
                         pa.array(tokens.signed(bits[1])),
                         pa.FixedSizeBinaryArray.from_buffers(
-                            pa.binary(_PATHS * 4), last - first, [None, pa.py_buffer(paths.tobytes())]
+                            pa.binary(NODES * 4), last - first, [None, pa.py_buffer(paths.tobytes())]
                         ).cast(pa.binary()),
                     ],
                     names=["doc_id", "row_key", "n_shingles", "sid", "bits_a", "bits_b", "paths"],
@@ -155,46 +156,26 @@ def _shingle_rows(width: int):
     return run
 
 
-def _children(rows: DataFrame, level: int) -> DataFrame:
-    """One row per chosen path; ``tree`` and ``node`` come from the level above."""
+def _nodes(rows: DataFrame) -> DataFrame:
+    """One row per set and minwise token that names a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [np.random.default_rng([11, tree]).permutation(_PATHS) for tree in range(TREES)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            paths = np.frombuffer(b"".join(batch.column("paths").to_pylist()), np.uint32).reshape(-1, _PATHS)
-            node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-            tree = batch.column("tree").to_numpy(zero_copy_only=False)
-            columns = np.array([[order[(2 * level) % _PATHS], order[(2 * level + 1) % _PATHS]] for order in orders])
-            if level == 0:
-                at = np.tile(np.arange(batch.num_rows), TREES)
-                tree, node = np.repeat(np.arange(TREES, dtype=np.int32), batch.num_rows), np.zeros(at.size, np.uint64)
-            else:
-                at = np.arange(batch.num_rows)
-            for branch in range(2):
-                if branch and level >= WIDE_LEVELS:
-                    # A second path from a third of the nodes: 4/3 paths on average.
-                    wide = np.flatnonzero(tokens.mix(node ^ np.uint64(level)) % np.uint64(3) == 0)
-                    at, tree, node = at[wide], tree[wide], node[wide]
-                chosen = columns[tree, branch]
-                token = paths[at, chosen].astype(np.uint64)
-                choice = (chosen.astype(np.uint64) << np.uint64(48)) ^ (token << np.uint64(8)) ^ tree.astype(np.uint64)
-                key = tokens.mix(tokens.mix(node + np.uint64(1)) ^ choice)
-                take = pa.array(at)
+            paths = np.frombuffer(b"".join(batch.column("paths").to_pylist()), np.uint32).reshape(-1, NODES)
+            for i in range(NODES):
+                key = tokens.mix((np.uint64(i + 1) << np.uint64(48)) ^ paths[:, i].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree.astype(np.int32)), pa.array(tokens.signed(key)), *(batch.column(c).take(take) for c in ("sid", "n_shingles", "bits_a", "bits_b"))],
-                    names=["tree", "node", "sid", "n_shingles", "bits_a", "bits_b"],
+                    [pa.array(tokens.signed(key)), *(batch.column(c) for c in ("sid", "n_shingles", "bits_a", "bits_b"))],
+                    names=["node", "sid", "n_shingles", "bits_a", "bits_b"],
                 )
 
-    return rows.mapInArrow(run, "tree int, node long, sid long, n_shingles long, bits_a long, bits_b long")
+    return rows.mapInArrow(run, "node long, sid long, n_shingles long, bits_a long, bits_b long")
 
 
 def _led(rows: DataFrame) -> DataFrame:
-    """Members of nodes that have company, with the number of members and a leader.
-
-    Node names differ by level, so each level picks other leaders.
-    """
+    """Members of nodes that have company, with the number of members and a leader."""
     of_node = rows.groupBy("node").agg(
         F.count("*").alias("members"),
         F.max_by(F.struct("sid", "n_shingles", "bits_a", "bits_b"), F.xxhash64("node", "sid")).alias("lead"),
@@ -223,9 +204,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: list[DataFrame], sets: DataFrame) -> DataFrame:
-    """Links among the stored pairs of several levels."""
-    return cut_lineage(_linked(_union(pairs).distinct(), sets), "links")
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the stored pairs."""
+    return cut_lineage(_linked(pairs, sets), "links")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -244,10 +225,8 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after further links: only components that these join are solved anew."""
-    if labels is None:
-        return _components(links)
     ends = _with_label(_with_label(links, labels, "a", "of_a"), labels, "b", "of_b").where("of_a != of_b")
     between = cut_lineage(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
     if between.isEmpty():
@@ -274,33 +253,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         ),
         "sets",
     )
-    tokens_of = sets_of.select("sid", "n_shingles", "bits_a", "bits_b", "paths")
-    rows = _children(tokens_of.withColumns({"tree": F.lit(0), "node": F.lit(0).cast("long")}), 0)
-    level, pairs, shingles, labels = 0, [], None, None
-    while True:
-        led = _led(rows)
-        level += 1
-        if shingles is None:  # later members are some of these
-            wanted = sets_of.select("sid", "row_key").join(_with_prospects(led), "sid").select("row_key").distinct()
-            shingles = cut_lineage(
-                texts.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(_shingle_rows(width), "sid long, shingles array<long>"),
-                "shingles",
-            )
-        star = (
-            led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
-            .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
-        )
-        pairs.append(cut_lineage(_parted(star, labels), "pairs"))
-        if level & (level - 1) == 0:
-            # On levels 1, 2, 4, 8 ..., as each time shuffles the sets: older labels only leave more members open.
-            labels, pairs = _merged(labels, _confirmed(pairs, shingles)), []
-        last = 2 * level + 1 >= _PATHS
-        found, many = _open_nodes(led, labels, last)
-        pairs.append(cut_lineage(found, "pairs"))
-        if many.isEmpty():
-            break
-        rows = _children(_with_paths(many, tokens_of), level)
-    labels = _merged(labels, _confirmed(pairs, shingles))
+    led = _led(_nodes(sets_of.select("sid", "n_shingles", "bits_a", "bits_b", "paths")))
+    wanted = sets_of.select("sid", "row_key").join(_with_prospects(led), "sid").select("row_key").distinct()
+    shingles = cut_lineage(
+        texts.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(_shingle_rows(width), "sid long, shingles array<long>"),
+        "shingles",
+    )
+    star = (
+        led.alias("m").where((F.col("lead.sid") != F.col("m.sid")) & _plausible("m", "lead"))
+        .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
+    )
+    labels = _components(_confirmed(cut_lineage(star, "pairs"), shingles))
+    found, many = _open_nodes(led, labels)
+    labels = _merged(labels, _confirmed(cut_lineage(found, "pairs"), shingles))
+    many = cut_lineage(many, "many")
+    if not many.isEmpty():
+        labels = _merged(labels, _confirmed(cut_lineage(_prefix_pairs(many, shingles, labels), "pairs"), shingles))
     linked = labels.join(sets_of.select("sid", "first_id"), "sid")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     in_group = linked.join(least, "label").select("sid", "component_id")
@@ -314,12 +282,90 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _with_paths(members: DataFrame, tokens_of: DataFrame) -> DataFrame:
-    return members.select("tree", "node", "sid", "n_shingles", "bits_a", "bits_b").join(tokens_of.select("sid", "paths"), "sid")
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall to each counter, per task."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_counter(batch.column("shingles").flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["counter", "n"])
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (tokens.mix(shingles) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _prefixes(shingles: DataFrame) -> DataFrame:
+    """(node, sid): the rarest shingles of every set, as many as a linked set cannot do without."""
+    rarity = np.zeros(COUNTERS, np.int64)
+    counted = shingles.select("shingles").mapInArrow(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    rarity[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    shared = shingles.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            lists = batch.column("shingles")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            joined = lists.flatten().to_numpy()
+            of_set = np.repeat(np.arange(sizes.size), sizes)
+            order = np.lexsort((joined, rarity[_counter(joined.view(np.uint64))], of_set))
+            place = np.arange(joined.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # Of n shingles a linked set shares ceil(n * PERCENT / 100) at least.
+            first = place < (sizes + (-sizes * PERCENT) // 100 + 1)[of_set]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(joined[order][first]), batch.column("sid").take(pa.array(of_set[first]))], names=["node", "sid"]
+            )
+
+    return shingles.mapInArrow(run, "node long, sid long")
+
+
+def _prefix_pairs(many: DataFrame, shingles: DataFrame, labels: DataFrame) -> DataFrame:
+    """All plausible pairs among ``many`` that are not in one component and may be linked."""
+    members = cut_lineage(_with_label(many, labels, "sid", "label"), "members")
+    rows = cut_lineage(_prefixes(shingles).join(members.select("sid", "label"), "sid"), "prefixes")
+    lists = (
+        rows.groupBy("node").agg(
+            F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
+            F.bit_xor(F.xxhash64("sid")).alias("who"), F.sum(F.hash("sid").cast("long")).alias("whose"),
+        ).where("low < high")
+        # Lists of the same members need one comparison.
+        .groupBy("members", "low", "high", "who", "whose").agg(F.min("node").alias("node")).select("node", "members")
+    )
+    mixed = cut_lineage(rows.select("node", "sid").join(lists, "node").join(members, "sid"), "mixed")
+    a, b = (mixed.where(F.col("members") <= SMALL).alias(x) for x in "ab")
+    short = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b"))
+    return short.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).union(_block_pairs(mixed.where(F.col("members") > SMALL))).distinct()
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Plausible pairs of long lists: each pair of blocks is a group of its own, so no list lies in one task."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    placed = own.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "label", "n_shingles", "bits_a", "bits_b")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, sid, label, size, bits_a, bits_b = (table.column(c).to_numpy() for c in ("own", "sid", "label", "n_shingles", "bits_a", "bits_b"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.zeros((2, 0), np.int64)]
+        for k in left:
+            apart = np.bitwise_count((bits_a[k] ^ bits_a[right]).view(np.uint64)) + np.bitwise_count((bits_b[k] ^ bits_b[right]).view(np.uint64))
+            good = (apart <= BITS_APART) & (label[right] != label[k])
+            good &= np.minimum(size[right], size[k]) * 100 >= np.maximum(size[right], size[k]) * PERCENT
+            if i == j:
+                good &= sid[right] > sid[k]
+            hit = sid[right[good]]
+            if hit.size:
+                found.append(np.stack([np.minimum(hit, sid[k]), np.maximum(hit, sid[k])]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return placed.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _with_prospects(members: DataFrame) -> DataFrame:
-    """Sets that a link is possible for, here or on a later level."""
+    """Sets that a link is possible for."""
     small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
     a, b = small.alias("a"), small.alias("b")
     near = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") != F.col("b.sid")) & _plausible("a", "b"), "left_semi")
@@ -333,35 +379,20 @@ def _with_label(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataF
     return joined.withColumn(name, F.coalesce("so_far", of)).drop("labelled", "so_far")
 
 
-def _parted(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that are not yet in one component."""
-    if labels is None:
-        return pairs
-    return _with_label(_with_label(pairs, labels, "a", "of_a"), labels, "b", "of_b").where("of_a != of_b").select("a", "b")
-
-
-def _open_nodes(led: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs to confirm, and members of nodes to split further.
+def _open_nodes(led: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to confirm, and the members of all other nodes, each once.
 
     Members outside the component of their leader are open. Where few are, they are
-    compared with the whole node; members of one component need no comparison. When
-    no minwise token is left (``last``), every node is compared so.
+    compared with the whole node; members of one component need no comparison.
     """
-    flat = led.select("tree", "node", "sid", "n_shingles", "bits_a", "bits_b", F.col("lead.sid").alias("lead_sid"))
+    flat = led.select("node", "sid", "n_shingles", "bits_a", "bits_b", F.col("lead.sid").alias("lead_sid"))
     marked = _with_label(_with_label(flat, labels, "sid", "label"), labels, "lead_sid", "lead_label")
     marked = marked.withColumn("open", F.col("label") != F.col("lead_label"))
     opens = marked.groupBy("node").agg(F.count_if("open").alias("opens")).where("opens > 0")
     marked = cut_lineage(marked.join(opens, "node"), "marked")
-    few, many = marked.where((F.col("opens") <= SMALL) | F.lit(last)), marked.where((F.col("opens") > SMALL) & ~F.lit(last))
+    few, many = marked.where(F.col("opens") <= SMALL), marked.where(F.col("opens") > SMALL)
     a, b = few.where("open").alias("a"), few.alias("b")
     found = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b")).select(
         F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")
     )
-    return found.distinct(), many
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.union(frame)
-    return whole
+    return found.distinct(), many.select("sid", "n_shingles", "bits_a", "bits_b").distinct()
