@@ -3,10 +3,12 @@
 Fixed patterns find assignments, access keys and long hexadecimal runs. Their
 values are the labelled credentials: per kind a prefix tree of a bounded sample is
 built and its statistically compatible states are merged (Hoeffding bound) into a
-probabilistic automaton. Every other run of credential characters in every text is
-then scored: under the best automaton its mean log-likelihood per character must
-reach what most labelled values reach, and exceed that of an automaton of ordinary
-words.
+probabilistic automaton. Every other run of at least six credential characters in
+every text is then scored: under the best automaton its mean log-likelihood per
+character must reach what most labelled values reach, and exceed that of an automaton
+of ordinary runs. That one is inferred from ``SAMPLE`` distinct runs outside the fixed
+patterns, those with the lowest hashes of all texts, each as often as it occurs: a
+credential among them occurs seldom and weighs little.
 
 Positions count code points. Null text is empty. Without labelled values only the
 fixed patterns find anything. Repeated rows give repeated results; further columns
@@ -31,12 +33,12 @@ from hearthline.llm import tokens
 KINDS = ("assign", "access", "hex")
 LEARNED = "format"
 PLAIN = "plain"
-#: Distinct values per kind that the automata are inferred from.
+#: Distinct values per kind, and ordinary runs, that the automata are inferred from.
 SAMPLE = 1000
 #: Significance of the test that keeps two states apart.
 APART = 0.05
-#: Shortest candidate, and the share of labelled values that may score below the threshold.
-LEAST_CANDIDATE = 16
+#: Shortest candidate, as in the fixed patterns, and the share of labelled values that may score below the threshold.
+LEAST_CANDIDATE = 6
 MISSED = 0.02
 #: Log-likelihood per character by which a candidate must beat ordinary words.
 MARGIN = 0.3
@@ -47,11 +49,6 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-
 
 def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, start, kind, end, start of the value) in bytes of the block."""
@@ -78,10 +75,9 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of credential characters with a letter and a digit that touch no span found so far."""
+    """Runs of credential characters, with or without letters and digits, that touch no span found so far."""
     starts, ends = tokens.spans(_RUN[data], offsets)
-    digits, letters = (np.append(0, np.cumsum(x[data])) for x in (_DIGIT, _LETTER))
-    good = (ends - starts >= LEAST_CANDIDATE) & (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+    good = ends - starts >= LEAST_CANDIDATE
     starts, ends = starts[good], ends[good]
     if found and starts.size:
         taken = np.zeros(data.size + 1, np.int64)
@@ -114,13 +110,17 @@ class Automaton:
         return (total + self.gain[state, 256]) / (size + 1)
 
 
-def infer(values: list[bytes], apart: float = APART) -> Automaton:
-    """Merge compatible states of the values' prefix tree, in order of discovery."""
+def infer(values: list[bytes], apart: float = APART, times: dict[bytes, int] | None = None) -> Automaton:
+    """Merge compatible states of the values' prefix tree, in order of discovery.
+
+    With ``times``, values weigh as often as they occur, their mean weight being 1.
+    """
+    mean = sum(times.values()) / len(times) if times else 1
     nexts: list[dict[int, int]] = [{}]
     visits, ends = [0], [0]
     for value in sorted(values):
-        state = 0
-        visits[0] += 1
+        state, weight = 0, times[value] / mean if times else 1
+        visits[0] += weight
         for char in value:
             if char not in nexts[state]:
                 nexts[state][char] = len(nexts)
@@ -128,8 +128,8 @@ def infer(values: list[bytes], apart: float = APART) -> Automaton:
                 visits.append(0)
                 ends.append(0)
             state = nexts[state][char]
-            visits[state] += 1
-        ends[state] += 1
+            visits[state] += weight
+        ends[state] += weight
     flows = [{char: visits[to] for char, to in own.items()} for own in nexts]
     bound = math.sqrt(0.5 * math.log(2 / apart))
 
@@ -216,40 +216,47 @@ def _laid(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values of the fixed patterns, and from each block some ordinary words."""
+    """Values of the fixed patterns, and of all other runs those with the lowest hashes."""
     for batch in batches:
         for _, _, data, offsets in tokens.blocks(batch.column("text")):
-            kinds, values = [], []
-            for _, _, kind, end, value in base_spans(data, offsets):
-                if end - value >= LEAST_CANDIDATE:
-                    kinds.append(KINDS[kind])
-                    values.append(data[value:end].tobytes())
-            starts, ends = tokens.spans(_LETTER[data], offsets)
-            some = np.flatnonzero(ends - starts >= 8)
-            if some.size:
-                least = np.argsort(tokens.span_hashes(data, starts[some], ends[some]), kind="stable")[:20]
-                kinds += [PLAIN] * least.size
-                values += [data[a:b].tobytes() for a, b in zip(starts[some][least], ends[some][least], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())], names=["kind", "value"])
+            kinds, values, hashes, times = [], [], [], []
+            found = base_spans(data, offsets)
+            for _, _, kind, end, value in found:
+                kinds.append(KINDS[kind])
+                values.append(data[value:end].tobytes())
+                hashes.append(0)
+                times.append(1)
+            starts, ends = candidates(data, offsets, found)
+            # The lowest hashes of all blocks are among the lowest of each.
+            least, at, often = np.unique(tokens.span_hashes(data, starts, ends), return_index=True, return_counts=True)
+            at = at[:SAMPLE]
+            kinds += [PLAIN] * at.size
+            values += [data[a:b].tobytes() for a, b in zip(starts[at], ends[at], strict=True)]
+            hashes += tokens.signed(least[:SAMPLE] ^ np.uint64(1 << 63)).tolist()
+            times += often[:SAMPLE].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary()), pa.array(hashes, pa.int64()), pa.array(times, pa.int64())], names=["kind", "value", "place", "times"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Automata of at most ``sample`` distinct labelled values per kind, inferred on the driver."""
-    known = docs.select("text").mapInArrow(_labelled, "kind string, value binary").groupBy("kind", "value").count()
+    known = docs.select("text").mapInArrow(_labelled, "kind string, value binary, place long, times long").groupBy("kind", "value", "place").agg(F.sum("times").alias("times"))
     picked: dict[str, list[bytes]] = {}
+    often: dict[bytes, int] = {}
     parts = [
-        known.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).select("kind", "value")
+        known.where(F.col("kind") == kind).orderBy("place", F.xxhash64("value"), "value").limit(sample).select("kind", "value", "times")
         for kind in (*KINDS, PLAIN)
     ]
     for row in parts[0].union(parts[1]).union(parts[2]).union(parts[3]).collect():
         picked.setdefault(row.kind, []).append(bytes(row.value))
+        if row.kind == PLAIN:
+            often[bytes(row.value)] = row.times
     formats = {}
     for kind in KINDS:
         values = sorted(picked.get(kind, []))
         if len(values) >= 2:
             automaton = infer(values)
             formats[kind] = (automaton, float(np.quantile(automaton.score(*_laid(values)), MISSED)))
-    return Grammar(formats, infer(picked[PLAIN]) if PLAIN in picked else None)
+    return Grammar(formats, infer(picked[PLAIN], times=often) if PLAIN in picked else None)
 
 
 def _in_chars(data: np.ndarray, start: int, places: list[int]) -> list[int]:
