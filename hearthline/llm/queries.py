@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import chat_parts, decontam, hmm, language, near_dup, pieces, quality_lines, reshard, secret_grammar, warc_derive
+from hearthline.llm import chat_parts, decontam, hmm, language, near_dup, pieces, prefix_free, quality_lines, reshard, secret_grammar, va_clusters, warc_derive, word_runs
 from hearthline.session import prepare
 
 #: Model file of the piece vocabulary, read on the driver; None takes the installed public one.
@@ -103,6 +103,51 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 200-byte strings that also start elsewhere."""
+    return prefix_free.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every text, with a stretch repeated in every tenth."""
+    return word_runs.runs(_table(spark, sf_dir, "documents"))
+
+
+def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """The rounds one after another, every vector against every centroid."""
+
+    def nearest(n: int) -> str:
+        distance = "list_sum([(k.v[i] - c.v[i]) * (k.v[i] - c.v[i]) for i in range(1, 65)])"
+        return (
+            f"a{n} AS MATERIALIZED (SELECT k.pos, min(struct_pack(d := CAST({distance} AS BIGINT), c := c.c)) AS best"
+            f" FROM kept k, c{n} c GROUP BY k.pos)"
+        )
+
+    def moved(n: int) -> str:
+        return (
+            f"s{n} AS (SELECT best.c AS c, i, sum(k.v[i]) AS s, count(*) AS m FROM a{n} JOIN kept k USING (pos),"
+            f" range(1, 65) r(i) GROUP BY 1, 2), f{n} AS (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS v FROM s{n} GROUP BY c),"
+            f" c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce([CAST(x AS BIGINT) for x in f.v], o.v) AS v FROM c{n} o LEFT JOIN f{n} f ON o.c = f.c)"
+        )
+
+    steps = ", ".join(f"{nearest(n)}, {moved(n)}" for n in range(va_clusters.ROUNDS)) + ", " + nearest(va_clusters.ROUNDS)
+    last = f"{va_clusters.ROUNDS}"
+    return (
+        "WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS pos, vec_id,"
+        " [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),"
+        " c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v"
+        f" FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {va_clusters.CENTROIDS})), {steps}"
+        f" SELECT k.vec_id, CAST(best.c AS INT) AS cluster, best.d AS distance,"
+        " CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,"
+        f" sha256(array_to_string(f.v, ',')) AS centroid_sha256 FROM a{last} a JOIN kept k USING (pos) JOIN c{last} f ON f.c = best.c"
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_language": (op2_language, None),
@@ -114,4 +159,7 @@ QUERIES = {
     "op8_secrets": (op8_secrets, None),
     "op9_reshard": (op9_reshard, None),
     "op10_language_model": (op10_language_model, None),
+    "op11_prefix_free": (op11_prefix_free, None),
+    "op12_word_runs": (op12_word_runs, None),
+    "op13_va_clusters": (op13_va_clusters, _op13_sql()),
 }
