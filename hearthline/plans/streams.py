@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthline.functions.units import micros
 from hearthline.operators import registry
 from hearthline.plans import health, models
 from hearthline.plans import views as v
@@ -17,11 +18,11 @@ from hearthline.streaming import run
 
 DELAY = "1 hour"
 GRACE = 6 * 3600
-BATCH_BYTES = 1 << 30
+LANDINGS = 5
 
 
-def _events(spark, sf_dir, bytes_per_batch=None):
-    e = v.stream_of(spark, sf_dir, "events", bytes_per_batch)
+def _events(spark, sf_dir):
+    e = v.stream_of(spark, sf_dir, "events")
     return e.withColumn("ts", C("ts").cast("timestamp"))
 
 
@@ -44,17 +45,35 @@ def stream_windows(size, slide=None):
 
 
 def stream_residency(spark, sf_dir):
-    run.merge_sessions_early(spark)
     stream = st.stream_residency(v.as_requests(_events(spark, sf_dir)), DELAY, models.IDLE)
     return _naive(run.drain_append(stream, "residency"), "loaded", "unloaded")
 
 
+def _container_changes(probes):
+    stream = st.stream_container_health(probes, DELAY, start_period_seconds=GRACE)
+    return _naive(run.drain_append(stream, "container-health"), "ts")
+
+
 def stream_container_health(spark, sf_dir):
-    run.use_rocksdb(spark)
-    probes = v.as_probes(_events(spark, sf_dir, bytes_per_batch=BATCH_BYTES))
-    stream = st.stream_container_health(probes, start_period_seconds=GRACE)
-    updates = run.drain_updates(stream, "container-health")
-    return _naive(updates.drop("batch"), "ts")
+    return _container_changes(v.as_probes(_events(spark, sf_dir)))
+
+
+def stream_container_health_batches(spark, sf_dir):
+    """The same samples in files that land one per batch, each sample up to 50 minutes
+    late, so that batches overlap in time."""
+    events = v.table(spark, sf_dir, "events").withColumn("ts", C("ts").cast("timestamp"))
+    probes = v.as_probes(events)
+    landed = fresh_dir(spark, "samples")
+    at = micros(C("ts")) + F.pmod(F.xxhash64("sample_id"), F.lit(50 * 60)) * 1_000_000
+    ends = probes.agg(F.min(micros(C("ts"))).alias("low"), F.max(micros(C("ts"))).alias("high")).first()
+    if ends.low is None:
+        probes.write.parquet(landed)
+    else:
+        span = ends.high - ends.low + 3_600_000_000
+        turn = F.floor((at - ends.low) * LANDINGS / F.lit(span))
+        for i in range(LANDINGS):  # a file source takes files by the time they were written
+            probes.where(turn == i).coalesce(1).write.mode("append").parquet(landed)
+    return _container_changes(stream_files(spark, landed, probes.schema, files_per_batch=1))
 
 
 def stream_probe_dedup(spark, sf_dir):
@@ -106,8 +125,9 @@ def _windows_sql(hours: int, slide: int) -> str:
 
 
 CONTAINER_SQL = check(
-    ", first AS (SELECT service_id, min(ts) AS first_ts, min(ts) FILTER (online) AS first_ok FROM probes"
-    " GROUP BY 1), counted AS (SELECT p.* FROM probes p JOIN first USING (service_id) WHERE online"
+    f", passed AS (SELECT * FROM probes WHERE ts <= {MARK}),"
+    " first AS (SELECT service_id, min(ts) AS first_ts, min(ts) FILTER (online) AS first_ok FROM passed"
+    " GROUP BY 1), counted AS (SELECT p.* FROM passed p JOIN first USING (service_id) WHERE online"
     f" OR ts >= first_ts + INTERVAL {GRACE} SECOND OR ts > first_ok),"
     " placed AS (SELECT *, count(*) FILTER (online) OVER (PARTITION BY service_id ORDER BY ts, sample_id"
     " ROWS UNBOUNDED PRECEDING) AS ups FROM counted),"
@@ -128,6 +148,7 @@ QUERIES = {
         "WITH spans AS (" + models.QUERIES["model_residency"][1] + ")"
         f" SELECT server_id, model, loaded, unloaded, requests FROM spans WHERE unloaded <= {MARK}")),
     "stream_container_health": (stream_container_health, CONTAINER_SQL),
+    "stream_container_health_batches": (stream_container_health_batches, CONTAINER_SQL),
     "stream_probe_dedup": (stream_probe_dedup, check("SELECT * FROM probes", "probes")),
     "stream_registry_join": (stream_registry_join,
         "SELECT event_id, cast(user_id % 30 AS INT) AS id, n_name AS name, CASE WHEN n_name IS NULL THEN 404"

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
 
@@ -91,58 +92,110 @@ def stream_clean(chat: DataFrame) -> DataFrame:
 class ContainerHealth(StatefulProcessor):
     """starting → healthy at the first success; unhealthy after ``retries`` failures
     in a row; failures within ``start_period`` and before any success do not count.
+
+    Samples wait in state until the watermark has passed them, and only then is the
+    state machine stepped, sample by sample by (ts, sample_id). So neither the order
+    of arrival nor the borders of micro-batches change a state. Waiting samples are
+    kept as sorted runs, 17 bytes each, one run per piece of a batch, and merged as
+    they are stepped; a key holds those of one delay and one batch at most.
     """
 
     OUTPUT = "service_id bigint, ts_us bigint, state string"
-    STATE = "state string, streak int, first_us bigint, started boolean"
+    MEMORY = "state string, streak int, first_us bigint, started boolean"
+    #: When the key is due: the time of its first waiting sample, in milliseconds.
+    DUE = "ms bigint"
+    WAITING = "run binary"
+    SAMPLE = [("ts", "<i8"), ("id", "<i8"), ("online", "?")]
+    SLICE = 4096
 
     def __init__(self, retries: int, start_period_seconds: int):
         self.retries = retries
         self.grace_us = start_period_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("health", self.STATE)
+        self.handle = handle
+        self.memory = handle.getValueState("health", self.MEMORY)
+        self.due = handle.getValueState("due", self.DUE)
+        self.waiting = handle.getListState("waiting", self.WAITING)
+
+    def _wake(self, first_us: int) -> None:
+        """Ask to be called once the watermark has reached a waiting sample."""
+        ms = -(-first_us // 1000)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "sample_id"])
-        at, online = batch["ts_us"].to_numpy(), batch["online"].to_numpy(dtype=bool)
-        if self.memory.exists():
-            state, streak, first_us, started = self.memory.get()
+        first_us = None
+        for part in rows:
+            if len(part):
+                run = np.empty(len(part), self.SAMPLE)
+                order = np.lexsort((part["sample_id"], part["ts_us"]))
+                for name, column in (("ts", "ts_us"), ("id", "sample_id"), ("online", "online")):
+                    run[name] = part[column].to_numpy()[order]
+                self.waiting.appendValue((run.tobytes(),))
+                begin = int(run["ts"][0])
+                first_us = begin if first_us is None else min(first_us, begin)
+        if first_us is not None and (not self.due.exists() or first_us <= (self.due.get()[0] - 1) * 1000):
+            self._wake(first_us)
+        return iter(())
+
+    def _in_order(self, run: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+        for i in range(0, len(run), self.SLICE):
+            yield from run[i : i + self.SLICE].tolist()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.due.exists() or expiredTimerInfo.getExpiryTimeInMs() != self.due.get()[0]:
+            return  # an earlier sample has come since and woke the key before
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        runs = [np.frombuffer(bytes(r[0]), self.SAMPLE) for r in self.waiting.get()]
+        passed = [int(np.searchsorted(run["ts"], mark, "right")) for run in runs]
+        state, streak, first_us, started = self.memory.get() if self.memory.exists() else ("starting", 0, None, False)
+        changes = []
+        for ts, _, online in heapq.merge(*(self._in_order(run[:n]) for run, n in zip(runs, passed, strict=True))):
+            first_us = ts if first_us is None else first_us
+            before = state
+            if online:
+                state, streak, started = "healthy", 0, True
+            elif started or ts >= first_us + self.grace_us:
+                streak += 1
+                state = "unhealthy" if streak >= self.retries else state
+            if state != before:
+                changes.append((key[0], ts, state))
+        if first_us is not None:
+            self.memory.update((state, streak, first_us, started))
+        left = [run[n:] for run, n in zip(runs, passed, strict=True) if n < len(run)]
+        if left:
+            self.waiting.put([(run.tobytes(),) for run in left])
+            self._wake(min(int(run["ts"][0]) for run in left))
         else:
-            state, streak, first_us, started = "starting", 0, int(at[0]), False
-        successes = np.cumsum(online)
-        counted = np.cumsum(~online & (started | (successes > 0) | (at >= first_us + self.grace_us)))
-        # Counted failures up to the latest success; -1 before any in this batch.
-        at_success = np.maximum.accumulate(np.where(online, counted, -1))
-        run = np.where(successes > 0, counted - at_success, streak + counted)
-        states = np.where(
-            run >= self.retries, "unhealthy", np.where(successes > 0, "healthy", state)
-        ).astype(object)
-        changed = states != np.concatenate([[state], states[:-1]])
-        self.memory.update(
-            (str(states[-1]), int(run[-1]), first_us, bool(started or successes[-1] > 0))
-        )
-        yield pd.DataFrame(
-            {"service_id": key[0], "ts_us": at[changed], "state": states[changed]}
-        )
+            self.waiting.clear()
+            self.due.clear()
+        if changes:
+            yield pd.DataFrame(changes, columns=["service_id", "ts_us", "state"])
 
     def close(self) -> None:
         pass
 
 
 def stream_container_health(
-    probes: DataFrame, retries: int = fixed.RETRIES, start_period_seconds: int = 0
+    probes: DataFrame, delay: str, retries: int = fixed.RETRIES, start_period_seconds: int = 0
 ) -> DataFrame:
-    """State changes per service. One key's rows of one micro-batch are ordered in
-    memory, so bound the batch (``stream_files``) when catching up."""
+    """State changes per service up to the watermark, the newest time less ``delay``.
+
+    Samples later than that are dropped, those without a time too; one without an
+    outcome counts as failed. Run in append mode with RocksDB as state store.
+    """
     return (
-        probes.select("service_id", "sample_id", micros(F.col("ts")).alias("ts_us"), "online")
+        probes.where(F.col("ts").isNotNull())
+        .withWatermark("ts", delay)
+        .select("service_id", "sample_id", "ts", micros(F.col("ts")).alias("ts_us"),
+                F.coalesce("online", F.lit(False)).alias("online"))
         .groupBy("service_id")
         .transformWithStateInPandas(
             statefulProcessor=ContainerHealth(retries, start_period_seconds),
             outputStructType=ContainerHealth.OUTPUT,
-            outputMode="Update",
-            timeMode="None",
+            outputMode="Append",
+            timeMode="EventTime",
         )
         .select("service_id", F.timestamp_micros("ts_us").alias("ts"), "state")
     )

@@ -10,20 +10,6 @@ from pyspark.sql import types as T
 
 from hearthline.session import fresh_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-
-
-def use_rocksdb(spark) -> None:
-    """Keep state on executor disk with checkpoints in the shared folder."""
-    spark.conf.set(STATE_STORE, ROCKSDB)
-
-
-def merge_sessions_early(spark) -> None:
-    """Merge the rows of a session in the map tasks, so that a hot key sends its
-    sessions and not its rows."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-
 
 def drain_append(stream: DataFrame, label: str) -> DataFrame:
     """Process all landed input, append to a fresh table, return it."""

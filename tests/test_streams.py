@@ -9,6 +9,7 @@ from compare import spark_table
 
 from hearthline.operators import health, models
 from hearthline.plans import views
+from hearthline.session import MERGE_SESSIONS
 from hearthline.sources.probes import PROBE_SCHEMA, read_probes, stream_files, stream_probes
 from hearthline.streaming import health as st
 from hearthline.streaming import run
@@ -38,54 +39,91 @@ def test_latest_status(spark, landed):
 
 
 def test_container_health_counts_runs_across_batches(spark, landed):
-    run.use_rocksdb(spark)
-    stream = st.stream_container_health(stream_probes(spark, landed, files_per_batch=1))
-    changes = run.drain_updates(stream, "t-health")
+    stream = st.stream_container_health(stream_probes(spark, landed, files_per_batch=1), "0 seconds")
+    changes = run.drain_append(stream, "t-health")
     batch = health.unhealthy_runs(spark.read.parquet(landed))
     assert changes.where("state = 'unhealthy'").count() == batch.count()
 
 
-def container_changes(spark, marks, **options):
-    start = datetime.datetime(2024, 1, 1)
+START = datetime.datetime(2024, 1, 1)
+
+
+def container_changes(spark, batches, delay="0 seconds", **options):
+    """Changes as (service, second, state) from batches of (id, service, second, mark)."""
     path = folder()
-    rows = [(i, 1, start + datetime.timedelta(seconds=i), m == "+", 1.0) for i, m in enumerate(marks)]
-    for half in (rows[: len(rows) // 2], rows[len(rows) // 2:]):
-        spark.createDataFrame(half, PROBE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    run.use_rocksdb(spark)
-    stream = st.stream_container_health(stream_probes(spark, path, files_per_batch=1), **options)
-    out = run.drain_updates(stream, "t-marks").collect()
-    return sorted((r["ts"].second, r["state"]) for r in out)
+    for rows in batches:
+        rows = [(i, service, s and START + datetime.timedelta(seconds=s - 1), {"+": True, "-": False}.get(mark), 1.0) for i, service, s, mark in rows]
+        spark.createDataFrame(rows, PROBE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = st.stream_container_health(stream_probes(spark, path, files_per_batch=1), delay, **options)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    out = run.drain_append(stream, "t-marks").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    return sorted((r["service_id"], int((r["ts"] - START).total_seconds()), r["state"]) for r in out)
+
+
+def in_halves(marks):
+    rows = [(i, 1, i + 1, m) for i, m in enumerate(marks)]
+    return [rows[: len(rows) // 2], rows[len(rows) // 2:]]
+
+
+def stepped(rows, grace=0, until=None):
+    """The same from a plain loop over all samples of (id, service, second, mark)."""
+    want, memory = [], {}
+    for at, i, service, mark in sorted((s - 1, i, service, m) for i, service, s, m in rows):
+        if until is not None and at > until:
+            continue
+        state, streak, started, first = memory.get(service, ("starting", 0, False, at))
+        new = state
+        if mark == "+":
+            started, streak, new = True, 0, "healthy"
+        elif started or at >= first + grace:
+            streak += 1
+            new = "unhealthy" if streak >= 3 else state
+        if new != state:
+            want.append((service, at, new))
+        memory[service] = (new, streak, started, first)
+    return sorted(want)
 
 
 def test_container_states_by_hand(spark):
-    assert container_changes(spark, "--+---+---") == [
-        (2, "healthy"), (5, "unhealthy"), (6, "healthy"), (9, "unhealthy")]
+    assert container_changes(spark, in_halves("--+---+---")) == [
+        (1, 2, "healthy"), (1, 5, "unhealthy"), (1, 6, "healthy"), (1, 9, "unhealthy")]
 
 
 def test_failures_in_the_start_period_do_not_count(spark):
-    assert container_changes(spark, "-----" + "--+---", start_period_seconds=5) == [
-        (7, "healthy"), (10, "unhealthy")]
-    assert container_changes(spark, "+---------", start_period_seconds=60) == [
-        (0, "healthy"), (3, "unhealthy")]
+    assert container_changes(spark, in_halves("-----" + "--+---"), start_period_seconds=5) == [
+        (1, 7, "healthy"), (1, 10, "unhealthy")]
+    assert container_changes(spark, in_halves("+---------"), start_period_seconds=60) == [
+        (1, 0, "healthy"), (1, 3, "unhealthy")]
 
 
-def test_container_states_against_a_plain_loop(spark):
-    """Random marks in two batches, with and without a start period."""
+@pytest.mark.parametrize("batches", [1, 5, 50])
+def test_container_states_do_not_depend_on_batches(spark, batches):
+    """Samples up to 19 seconds late and with equal times, in any split into batches."""
     rng = random.Random(11)
-    for grace in (0, 7):
-        marks = "".join(rng.choice("+----") for _ in range(50))
-        state, streak, started, want = "starting", 0, False, []
-        for i, mark in enumerate(marks):
-            new = state
-            if mark == "+":
-                started, streak, new = True, 0, "healthy"
-            elif started or i >= grace:
-                streak += 1
-                new = "unhealthy" if streak >= 3 else state
-            if new != state:
-                want.append((i, new))
-            state = new
-        assert container_changes(spark, marks, start_period_seconds=grace) == want
+    rows = [(i, rng.randrange(3), rng.randrange(300) + 1, rng.choice("+---")) for i in range(600)]
+    rows.append((600, 0, 321, "+"))
+    split = [[] for _ in range(batches)]
+    for row in rows:
+        arrival = row[2] + (rng.randrange(20) if row[0] < 600 else 19)
+        split[min(arrival * batches // 341, batches - 1)].append(row)
+    got = container_changes(spark, [s for s in split if s], "20 seconds", start_period_seconds=7)
+    assert got == stepped(rows, 7, until=300)
+
+
+def test_container_samples_without_time_outcome_or_service(spark):
+    rows = [(1, 1, 1, "+"), (2, 1, 2, None), (3, 1, 3, "-"), (4, 1, 4, "-"), (5, 1, None, "+")]
+    assert container_changes(spark, [rows]) == [(1, 0, "healthy"), (1, 3, "unhealthy")]
+    path = folder()
+    spark.createDataFrame([(1, None, START, True, 1.0)], PROBE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    out = run.drain_append(st.stream_container_health(stream_probes(spark, path), "0 seconds"), "t-null").collect()
+    assert [(r["service_id"], r["state"]) for r in out] == [(None, "healthy")]
+
+
+def test_late_container_samples_are_dropped(spark):
+    """A sample before the watermark of the batch before changes nothing; one after it is stepped in its place."""
+    batches = [[(1, 1, 1, "+"), (2, 1, 50, "-")], [(4, 1, 45, "-")], [(3, 1, 20, "-"), (5, 1, 52, "-")], [(6, 1, 99, "+")]]
+    assert container_changes(spark, batches, "10 seconds") == [(1, 0, "healthy"), (1, 51, "unhealthy")]
 
 
 def test_late_rows_are_dropped(spark):
@@ -103,14 +141,14 @@ def test_late_rows_are_dropped(spark):
 
 @pytest.mark.parametrize("early", ["false", "true"])
 def test_residency_equals_batch_on_closed_spans(spark, landed, early):
-    run.merge_sessions_early(spark)
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", early)
+    spark.conf.set(MERGE_SESSIONS, early)
     requests = "sample_id AS request_id", "service_id AS server_id", "'m' AS model", "ts"
     stream = st.stream_residency(stream_probes(spark, landed, 1).selectExpr(*requests), "1 hour", 3600)
     got = spark_table(run.drain_append(stream, "t-residency"))
     stored = spark.read.parquet(landed)
     mark = stored.selectExpr("max(ts) - INTERVAL 1 HOUR").first()[0]
     batch = models.model_residency(stored.selectExpr(*requests), 3600).drop("last_used")
+    spark.conf.set(MERGE_SESSIONS, "true")
     assert got == spark_table(batch.where(batch.unloaded <= mark))
 
 
