@@ -88,10 +88,10 @@ def unhealthy_runs(
 
     All failures between two successes share the count of successes before them.
     """
-    split = sequence.split_hot_keys(
+    rows = sequence.in_order(
         probes.select("sample_id", "service_id", "ts", "online"), SERVICE, ORDER, rows_per_chunk
     )
-    counted = sequence.running_count(split, SERVICE, ORDER, F.col("online"), "run")
+    counted = rows.running_count(F.col("online"), "run").done()
     return (
         counted.where(~F.col("online"))
         .groupBy("service_id", "run")
@@ -127,15 +127,13 @@ def stale_flag(
 ) -> DataFrame:
     """Time each sample stood until the next one, or until ``asof``, and whether
     it outlived the freshness limit."""
-    split = sequence.split_hot_keys(
+    rows = sequence.in_order(
         probes.select("sample_id", "service_id", "ts"), SERVICE, ORDER, rows_per_chunk
     )
-    after = sequence.look_around(
-        split, SERVICE, ORDER, 1, {"next_ts": lambda w: F.lag("ts").over(w)}, ahead=True
-    )
+    after = rows.look_around(1, {"next_ts": lambda w: F.lag("ts").over(w)}, ahead=True).done()
     end = F.coalesce(micros(F.col("next_ts")), micros(F.lit(asof)))
     stood = end - micros(F.col("ts"))
-    return sequence.unsplit(after).select(
+    return after.select(
         "sample_id", "service_id",
         stood.alias("stood_us"),
         (stood > seconds * 1_000_000).alias("stale"),
@@ -146,13 +144,11 @@ def sample_gaps(
     probes: DataFrame, rows_per_chunk: int = sequence.ROWS_PER_CHUNK
 ) -> DataFrame:
     """Milliseconds from each sample to the next of its service."""
-    split = sequence.split_hot_keys(
+    rows = sequence.in_order(
         probes.select("sample_id", "service_id", "ts"), SERVICE, ORDER, rows_per_chunk
     )
-    after = sequence.look_around(
-        split, SERVICE, ORDER, 1, {"next_ts": lambda w: F.lag("ts").over(w)}, ahead=True
-    )
-    return sequence.unsplit(after).select(
+    after = rows.look_around(1, {"next_ts": lambda w: F.lag("ts").over(w)}, ahead=True).done()
+    return after.select(
         "sample_id", "service_id",
         elapsed_ms(F.col("ts"), F.col("next_ts")).alias("elapsed_ms"),
     )
@@ -164,15 +160,13 @@ def sample_lag(
     rows_per_chunk: int = sequence.ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Gap to the previous sample and the polls that are missing in it."""
-    split = sequence.split_hot_keys(
+    rows = sequence.in_order(
         probes.select("sample_id", "service_id", "ts"), SERVICE, ORDER, rows_per_chunk
     )
-    before = sequence.look_around(
-        split, SERVICE, ORDER, 1, {"prev_ts": lambda w: F.lag("ts").over(w)}
-    )
+    before = rows.look_around(1, {"prev_ts": lambda w: F.lag("ts").over(w)}).done()
     gap = micros(F.col("ts")) - micros(F.col("prev_ts"))
     missed = F.greatest(F.floor(gap / (interval * 1_000_000)) - 1, F.lit(0))
-    return sequence.unsplit(before).select(
+    return before.select(
         "sample_id", "service_id",
         gap.alias("gap_us"),
         F.when(gap.isNotNull(), missed).alias("missed_polls"),
@@ -183,20 +177,19 @@ def rolling_latency(
     probes: DataFrame, n: int = 6, rows_per_chunk: int = sequence.ROWS_PER_CHUNK
 ) -> DataFrame:
     """Mean and maximum of the last n samples of the service."""
-    split = sequence.split_hot_keys(
-        probes.select("sample_id", "service_id", "ts", "latency_ms"),
-        SERVICE, ORDER, rows_per_chunk,
+    rows = sequence.in_order(
+        probes.select("sample_id", "service_id", "ts", "latency_ms"), SERVICE, ORDER, rows_per_chunk
     )
     frame = lambda w: w.rowsBetween(-(n - 1), 0)
-    rolled = sequence.look_around(
-        split, SERVICE, ORDER, n - 1,
+    rolled = rows.look_around(
+        n - 1,
         {
             "_sum": lambda w: F.sum(hundredths(F.col("latency_ms"))).over(frame(w)),
             "_n": lambda w: F.count("latency_ms").over(frame(w)),
             "max_ms": lambda w: F.max("latency_ms").over(frame(w)),
         },
     )
-    return sequence.unsplit(rolled).select(
+    return rolled.done().select(
         "sample_id", "service_id", (F.col("_sum") / F.col("_n") / 100).alias("mean_ms"), "max_ms"
     )
 

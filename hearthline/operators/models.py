@@ -76,13 +76,11 @@ def memory_of_reports(
 def model_swaps(requests: DataFrame, rows_per_chunk: int = sequence.ROWS_PER_CHUNK) -> DataFrame:
     """Requests that make a server load another model than it holds."""
     keys = ["server_id"]
-    split = sequence.split_hot_keys(
+    rows = sequence.in_order(
         requests.select("request_id", "server_id", "model", "ts"), keys, ORDER, rows_per_chunk
     )
-    before = sequence.look_around(
-        split, keys, ORDER, 1, {"previous_model": lambda w: F.lag("model").over(w)}
-    )
-    return sequence.unsplit(before).where(F.col("model") != F.col("previous_model"))
+    before = rows.look_around(1, {"previous_model": lambda w: F.lag("model").over(w)})
+    return before.done().where(F.col("model") != F.col("previous_model"))
 
 
 def model_residency(
@@ -97,17 +95,15 @@ def model_residency(
     A gap equal to the idle time starts a new span, as ``session_window`` does.
     """
     keys = ["server_id", "model"]
-    split = sequence.split_hot_keys(
+    rows = sequence.in_order(
         requests.select("request_id", "server_id", "model", "ts"), keys, ORDER, rows_per_chunk
     )
-    before = sequence.look_around(
-        split, keys, ORDER, 1, {"prev_ts": lambda w: F.lag("ts").over(w)}
-    )
+    before = rows.look_around(1, {"prev_ts": lambda w: F.lag("ts").over(w)})
     gap = micros(F.col("ts")) - micros(F.col("prev_ts"))
     loads = F.col("prev_ts").isNull() | (
         (gap >= idle_seconds * 1_000_000) & ~F.col("model").isin(*pinned)
     )
-    numbered = sequence.running_count(before, keys, ORDER, loads, "span")
+    numbered = before.running_count(loads, "span").done()
     stays: Column = F.col("model").isin(*pinned)
     last = F.max("ts")
     return (

@@ -127,10 +127,9 @@ def with_position(
     registry: DataFrame, owner: str, order: str, rows_per_chunk: int = sequence.ROWS_PER_CHUNK
 ) -> DataFrame:
     """Index from 0 in each owner's list, and the card delay that follows from it."""
-    split = sequence.split_hot_keys(registry, [owner], [order], rows_per_chunk)
-    counted = sequence.running_count(split, [owner], [order], F.lit(True), "_at")
+    placed = sequence.in_order(registry, [owner], [order], rows_per_chunk).running_count(F.lit(True), "_at")
     index = F.col("_at") - 1
-    return sequence.unsplit(counted).select(
+    return placed.done().select(
         *registry.columns,
         index.alias("position"),
         (index * fixed.CARD_STAGGER_MS).alias("delay_ms"),
@@ -144,26 +143,25 @@ def post_parts(
     entry: Column,
     part_rows: int = PART_ROWS,
     owners: DataFrame | None = None,
+    rows_per_chunk: int = sequence.ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Each owner's list by rank in numbered parts: owner, part, parts, entries.
 
     A part holds at most ``part_rows`` entries, whatever the key. An owner in
     ``owners`` without rows posts an empty list. Rows without an owner post nothing.
+    Ranks and sizes come from one scan, and parts are gathered where ranks were given.
     """
     named = rows.where(F.col(owner).isNotNull())
-    placed = with_position(named, owner, order)
-    part = F.floor(F.col("position") / part_rows).cast("int")
+    placed = sequence.in_order(named, [owner], [order], rows_per_chunk).running_count(F.lit(True), "_at", "_size").done()
+    part = F.floor((F.col("_at") - 1) / part_rows).cast("int")
+    parts = F.ceil(F.col("_size") / part_rows).cast("int")
     cut = placed.groupBy(owner, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))).alias("placed")
-    )
-    # A row per owner and task reaches this shuffle.
-    sizes = named.groupBy(owner).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    filled = cut.join(sizes, owner).select(
-        owner, "part", "parts", F.transform("placed", lambda e: e["entry"]).alias("entries")
+        F.max(parts).alias("parts"), F.array_sort(F.collect_list(F.struct("_at", entry.alias("entry")))).alias("placed")
     )
+    filled = cut.select(owner, "part", "parts", F.transform("placed", lambda e: e["entry"]).alias("entries"))
     if owners is None:
         return filled
-    silent = owners.select(owner).where(F.col(owner).isNotNull()).distinct().join(sizes, owner, "left_anti")
+    silent = owners.select(owner).where(F.col(owner).isNotNull()).distinct().join(named.select(owner), owner, "left_anti")
     none = F.from_json(F.lit("[]"), filled.schema["entries"].dataType)
     return filled.unionByName(
         silent.select(owner, F.lit(0).alias("part"), F.lit(1).alias("parts"), none.alias("entries"))

@@ -1,173 +1,131 @@
-"""Look-back windows and running counts that survive a hot key.
+"""Look-back windows and running counts over rows in order, also of a hot key.
 
-A window partitioned by key puts all rows of one key in one task. Here a key
-with more than ``rows_per_chunk`` rows is first cut along its order into chunks,
-finer where its rows are dense, and the chunks are joined up again exactly:
+A window partitioned by key puts all rows of one key in one task. Here keys are counted
+first, by one job that reads nothing but the key columns. While every key fits into
+``rows_per_chunk`` rows, a plain window is the plan: one shuffle and one sort.
+
+The rows of keys above the limit are sorted across tasks instead, by key and by the
+whole order, and stored so; what one task held is a chunk. Equal, missing and clustered
+times are spread like others, as the last column of the order tells them apart. Chunks
+are joined up by a scan over what each of them passes on:
 
 * a look-back of n rows gets the last n rows before each chunk as extra rows;
 * a running count gets the sum over the earlier chunks as an offset.
 
-Keys below the limit stay whole; where no key is hot, adaptive execution drops
-the extra branches and one shuffle is left. A table of N rows has at most
-N/rows_per_chunk hot keys and, for each of these, chunks of a quarter of
-``rows_per_chunk`` on average. So the broadcasts below hold about one short row
-per two million rows of the table, and fewer with a higher ``rows_per_chunk``.
+What is passed on is a few rows per chunk. It is joined without a hint, so its measured
+size decides how.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hearthline.functions.units import micros
+from hearthline.session import cut_lineage
 
 ROWS_PER_CHUNK = 8_000_000
-_SPLIT, _CHUNK, _EXTRA = "_split", "_chunk", "_extra"
+_CHUNK, _EXTRA = "_chunk", "_extra"
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """A number that never falls along ``name``; of a text, its first seven bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        begin = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7))
-        return F.conv(F.rpad(begin, 14, "0"), 16, 10).cast("bigint")
-    return micros(F.col(name)) if isinstance(kind, T.DatetimeType) else F.col(name)
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(lambda acc, k: acc & F.col(k).eqNullSafe(F.col(prefix + k)), names, F.lit(True))
 
 
-def _same(keys: list[str], prefix: str) -> Column:
-    return reduce(
-        lambda acc, k: acc & F.col(k).eqNullSafe(F.col(prefix + k)), keys, F.lit(True)
-    )
+def _renamed(names: list[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(prefix + k) for k in names]
 
 
-def split_hot_keys(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Mark the rows of hot keys with a chunk number that rises along ``order``.
-
-    The range of a hot key is cut into even bins, four per ``rows_per_chunk``
-    rows; a bin that still holds more rows is cut again in the same way. So a
-    burst of n rows is spread unless it fits into a (4n/rows_per_chunk)^2-th of
-    the key's range. Rows without a place come first, as in the windows.
-    """
-    at = _position(df, order[0])
-
-    def ranges(rows: DataFrame, by: list[str], parts: str) -> DataFrame:
-        """Groups above the limit with their range and number of parts."""
-        groups = rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-        )
-        return groups.where(F.col("_n") > rows_per_chunk).select(
-            *[F.col(k).alias("_k_" + k) for k in by],
-            (F.ceil(F.col("_n") / rows_per_chunk) * 4).alias(parts),
-            F.col("_lo").alias("_lo_" + parts),
-            (F.col("_hi") - F.col("_lo") + 1).alias("_span_" + parts),
-        )
+@dataclass(frozen=True)
+class Ordered:
+    """Rows with their keys and order; ``split`` tells whether some keys are in chunks."""
 
-    def part(parts: str) -> Column:
-        offset = (at - F.col("_lo_" + parts)).cast("double")
-        place = F.floor(offset * F.col(parts) / F.col("_span_" + parts))
-        return F.when(F.col(parts).isNotNull(), F.coalesce(place, F.lit(-1)))
+    rows: DataFrame
+    keys: list[str]
+    order: list[str]
+    split: bool
 
-    def marked(rows: DataFrame, by: list[str], found: DataFrame, parts: str, name: str) -> DataFrame:
-        joined = rows.join(F.broadcast(found), _same(by, "_k_"), "left")
-        return joined.withColumn(name, part(parts)).drop(
-            "_lo_" + parts, "_span_" + parts, *["_k_" + k for k in by]
-        )
+    @property
+    def _part(self) -> list[str]:
+        return [*self.keys, _CHUNK] if self.split else self.keys
+
+    def done(self) -> DataFrame:
+        return self.rows.drop(_CHUNK)
+
+    def look_around(
+        self, reach: int, columns: dict[str, Callable[[WindowSpec], Column]], ahead: bool = False
+    ) -> Ordered:
+        """Add window columns that look at most ``reach`` rows back.
 
-    binned = marked(df, keys, ranges(df, keys, _SPLIT), _SPLIT, "_bin")
-    in_bin = [*keys, "_bin"]
-    dense = ranges(binned.where(F.col(_SPLIT).isNotNull()), in_bin, "_cuts")
-    cut = marked(binned, in_bin, dense, "_cuts", "_cut")
-    chunk = F.col("_bin") * F.lit(2**32) + F.coalesce("_cut", F.lit(0))
-    return cut.withColumn(_CHUNK, chunk).drop("_bin", "_cuts", "_cut")
-
-
-def unsplit(df: DataFrame) -> DataFrame:
-    return df.drop(_SPLIT, _CHUNK)
-
-
-def _part(keys: list[str]) -> list[str]:
-    return [*keys, _SPLIT, _CHUNK]
-
-
-def look_around(
-    split: DataFrame,
-    keys: list[str],
-    order: list[str],
-    reach: int,
-    columns: dict[str, Callable[[WindowSpec], Column]],
-    ahead: bool = False,
-) -> DataFrame:
-    """Add window columns that look at most ``reach`` rows back.
-
-    With ``ahead`` the order is turned round, so that ``F.lag`` reads the next row.
-    """
-    turn = F.desc if ahead else F.asc
-    back = F.asc if ahead else F.desc
-    w = W.partitionBy(*_part(keys)).orderBy(*[turn(c) for c in order])
-    hot = split.where(F.col(_SPLIT).isNotNull())
-    edges = (
-        hot.withColumn(
-            "_rank",
-            F.row_number().over(
-                W.partitionBy(*_part(keys)).orderBy(*[back(c) for c in order])
-            ),
+        With ``ahead`` the order is turned round, so that ``F.lag`` reads the next row.
+        """
+        turn, back = (F.desc, F.asc) if ahead else (F.asc, F.desc)
+        w = W.partitionBy(*self._part).orderBy(*[turn(c) for c in self.order])
+        added = {name: make(w) for name, make in columns.items()}
+        if not self.split:
+            return replace(self, rows=self.rows.withColumns(added))
+        from_end = W.partitionBy(*self._part).orderBy(*[back(c) for c in self.order])
+        edges = (
+            self.rows.where(F.col(_CHUNK).isNotNull())
+            .withColumn("_rank", F.row_number().over(from_end))
+            .where(F.col("_rank") <= reach)
+            .drop("_rank")
         )
-        .where(F.col("_rank") <= reach)
-        .drop("_rank")
-    )
-    # Every later chunk within reach that has rows gets the edge rows.
-    chunks = edges.select(*_part(keys)).distinct()
-    later = F.collect_list(_CHUNK).over(
-        W.partitionBy(*keys).orderBy(turn(_CHUNK)).rowsBetween(1, reach)
-    )
-    targets = (
-        chunks.withColumn("_later", later)
-        .select(*[F.col(k).alias("_k_" + k) for k in keys],
-                F.col(_CHUNK).alias("_from"), F.explode("_later").alias("_to"))
-    )
-    extra = (
-        edges.join(F.broadcast(targets), _same(keys, "_k_") & (F.col(_CHUNK) == F.col("_from")))
-        .withColumn(_CHUNK, F.col("_to"))
-        .select(*split.columns)
-    )
-    rows = split.withColumn(_EXTRA, F.lit(False)).unionByName(
-        extra.withColumn(_EXTRA, F.lit(True))
-    )
-    return (
-        rows.withColumns({name: make(w) for name, make in columns.items()})
-        .where(~F.col(_EXTRA))
-        .drop(_EXTRA)
-    )
-
-
-def running_count(
-    split: DataFrame, keys: list[str], order: list[str], flag: Column, name: str
-) -> DataFrame:
-    """Add how many rows up to and with this one have ``flag``, per key in order."""
-    one = F.when(flag, 1).otherwise(0).cast("bigint")
-    rows = split.withColumn("_one", one)
-    w = W.partitionBy(*_part(keys)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        rows.where(F.col(_SPLIT).isNotNull())
-        .groupBy(*_part(keys))
-        .agg(F.sum("_one").alias("_sum"))
-        .withColumn("_offset", F.sum("_sum").over(before))
-        .select(*[F.col(k).alias("_k_" + k) for k in keys],
-                F.col(_CHUNK).alias("_from"), "_offset")
-    )
-    counted = rows.withColumn("_local", F.sum("_one").over(w))
-    joined = counted.join(
-        F.broadcast(offsets), _same(keys, "_k_") & (F.col(_CHUNK) == F.col("_from")), "left"
-    )
-    total = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
-    return joined.withColumn(name, total).drop(
-        "_one", "_local", "_offset", "_from", *["_k_" + k for k in keys]
-    )
+        # Every later chunk within reach gets the edge rows; all chunks hold rows of the key.
+        later = F.collect_list(_CHUNK).over(
+            W.partitionBy(*self.keys).orderBy(turn(_CHUNK)).rowsBetween(1, reach)
+        )
+        targets = edges.select(*self._part).distinct().withColumn("_later", later).select(
+            *_renamed(self._part, "_k_"), F.explode("_later").alias("_to")
+        )
+        extra = (
+            edges.join(targets, _same(self._part, "_k_"))
+            .withColumn(_CHUNK, F.col("_to"))
+            .select(*self.rows.columns)
+        )
+        both = self.rows.withColumn(_EXTRA, F.lit(False)).unionByName(extra.withColumn(_EXTRA, F.lit(True)))
+        return replace(self, rows=both.withColumns(added).where(~F.col(_EXTRA)).drop(_EXTRA))
+
+    def running_count(self, flag: Column, name: str, total: str | None = None) -> Ordered:
+        """Add how many rows up to and with this one have ``flag``, per key in order,
+        and as ``total`` how many of the key have it."""
+        one = F.when(flag, 1).otherwise(0).cast("bigint")
+        rows = self.rows.withColumn("_one", one)
+        whole = W.partitionBy(*self._part)
+        so_far = whole.orderBy(*self.order).rowsBetween(W.unboundedPreceding, 0)
+        added = {name: F.sum("_one").over(so_far)} | ({total: F.sum("_one").over(whole)} if total else {})
+        if not self.split:
+            return replace(self, rows=rows.withColumns(added).drop("_one"))
+        before = W.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        offsets = (
+            rows.where(F.col(_CHUNK).isNotNull())
+            .groupBy(*self._part)
+            .agg(F.sum("_one").alias("_sum"))
+            .withColumns({"_offset": F.sum("_sum").over(before), "_all": F.sum("_sum").over(W.partitionBy(*self.keys))})
+            .select(*_renamed(self._part, "_k_"), "_offset", "_all")
+        )
+        joined = rows.withColumns(added).join(offsets, _same(self._part, "_k_"), "left")
+        whole_count = {name: F.col(name) + F.coalesce("_offset", F.lit(0))} | ({total: F.coalesce("_all", total)} if total else {})
+        return replace(self, rows=joined.withColumns(whole_count).select(*self.rows.columns, *added))
+
+
+def in_order(
+    df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
+) -> Ordered:
+    """``df`` by keys in a total order; rows of a key above ``rows_per_chunk`` get chunk
+    numbers that rise along the order, missing values first, as in windows."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk)
+    if counted.isEmpty():
+        return Ordered(df, keys, order, False)
+    hot = cut_lineage(counted.select(*_renamed(keys, "_k_"), "_n"), "hot-keys")
+    total = hot.agg(F.sum("_n")).first()[0]
+    # Twice the chunks that would do: bounds come from a sample.
+    chunks = 2 * -(-total // rows_per_chunk)
+    ranged = df.join(hot, _same(keys, "_k_"), "left_semi").repartitionByRange(chunks, *keys, *order)
+    placed = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
+    rest = df.join(hot, _same(keys, "_k_"), "left_anti").withColumn(_CHUNK, F.lit(None).cast("int"))
+    return Ordered(rest.unionByName(placed), keys, order, True)

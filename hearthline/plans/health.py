@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from hearthline.operators import health as h
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
@@ -40,30 +42,10 @@ def last_refresh(spark, sf_dir):
     return h.last_refresh(v.probes(spark, sf_dir))
 
 
-def unhealthy_runs(spark, sf_dir):
-    return h.unhealthy_runs(v.probes(spark, sf_dir))
-
-
 def wait_until_ready(tries):
     return lambda spark, sf_dir: h.wait_until_ready(v.probes(spark, sf_dir), tries)
 
 
-def stale_flag(spark, sf_dir):
-    return h.stale_flag(v.probes(spark, sf_dir), ASOF)
-
-
-def sample_lag(spark, sf_dir):
-    return h.sample_lag(v.probes(spark, sf_dir))
-
-
-def elapsed_ms(spark, sf_dir):
-    return h.sample_gaps(v.probes(spark, sf_dir))
-
-
-def rolling_latency(spark, sf_dir):
-    return h.rolling_latency(v.probes(spark, sf_dir))
-
-
 def health_rollup(spark, sf_dir):
     rolled = h.health_rollup(v.probes(spark, sf_dir))
     return rolled.withColumn("hour", C("hour").cast("timestamp_ntz"))
@@ -112,6 +94,43 @@ def _rollup_sql(grain: str) -> str:
         " count(*) FILTER (latency_ms >= 300) AS stop FROM probes GROUP BY 1, 2", "probes")
 
 
+#: Operators over samples in order of (ts, sample_id), with the text of their check.
+IN_ORDER = {
+    "unhealthy_runs": (h.unhealthy_runs,
+        f", numbered AS (SELECT *, row_number() OVER ({ORDERED}) - row_number() OVER"
+        " (PARTITION BY service_id, online ORDER BY ts, sample_id) AS island FROM probes)"
+        " SELECT service_id, min(ts) AS started, max(ts) AS ended, count(*) AS failures FROM numbered"
+        " WHERE NOT online GROUP BY service_id, island HAVING count(*) >= 3"),
+    "stale_flag": (partial(h.stale_flag, asof=ASOF),
+        f", stood AS (SELECT sample_id, service_id, date_diff('microsecond', ts, coalesce(lead(ts) OVER ({ORDERED}),"
+        f" TIMESTAMP '{ASOF}')) AS stood_us FROM probes)"
+        " SELECT sample_id, service_id, stood_us, stood_us > 5000000 AS stale FROM stood"),
+    "sample_lag": (h.sample_lag,
+        f", gaps AS (SELECT sample_id, service_id, {GAP_SQL} AS gap_us FROM probes)"
+        " SELECT *, CASE WHEN gap_us IS NOT NULL THEN greatest(gap_us // 10000000 - 1, 0) END AS missed_polls"
+        " FROM gaps"),
+    "elapsed_ms": (h.sample_gaps,
+        f"SELECT sample_id, service_id, epoch_us(lead(ts) OVER ({ORDERED})) // 1000 - epoch_us(ts) // 1000 AS elapsed_ms"
+        " FROM probes"),
+    "rolling_latency": (h.rolling_latency,
+        f"SELECT sample_id, service_id, cast(sum(cast(round(latency_ms * 100) AS BIGINT)) OVER w AS DOUBLE)"
+        " / count(latency_ms) OVER w / 100 AS mean_ms, max(latency_ms) OVER w AS max_ms FROM probes"
+        f" WINDOW w AS ({ORDERED} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"),
+}
+
+
+def _in_order(key: str) -> dict[str, tuple]:
+    """An operator over all services, and over three that hold all samples, cut into
+    chunks, with equal and missing times."""
+    operator, body = IN_ORDER[key]
+    return {
+        key: (lambda spark, sf_dir: operator(v.probes(spark, sf_dir)), check(body, "probes")),
+        key + "_hot": (
+            lambda spark, sf_dir: operator(v.probes_hot(spark, sf_dir), rows_per_chunk=v.HOT_CHUNK),
+            check(v.on_hot(body, "probes"), "probes_hot")),
+    }
+
+
 QUERIES = {
     "probe_log_scan": (probe_log_scan, check("SELECT * FROM probes", "probes")),
     "probe_payload_scan": (probe_payload_scan,
@@ -130,28 +149,8 @@ QUERIES = {
     "latest_status": (latest_status, check(LATEST_SQL, "probes")),
     "last_refresh": (last_refresh, check(
         "SELECT max(ts) AS last_ts, coalesce(strftime(max(ts), '%H:%M:%S'), '—') AS shown FROM probes", "probes")),
-    "unhealthy_runs": (unhealthy_runs, check(
-        f", numbered AS (SELECT *, row_number() OVER ({ORDERED}) - row_number() OVER"
-        " (PARTITION BY service_id, online ORDER BY ts, sample_id) AS island FROM probes)"
-        " SELECT service_id, min(ts) AS started, max(ts) AS ended, count(*) AS failures FROM numbered"
-        " WHERE NOT online GROUP BY service_id, island HAVING count(*) >= 3", "probes")),
     "wait_until_ready": (wait_until_ready(20), check(READY_SQL.format(20), "probes")),
     "wait_until_ready_short": (wait_until_ready(1), check(READY_SQL.format(1), "probes")),
-    "stale_flag": (stale_flag, check(
-        f", stood AS (SELECT sample_id, service_id, date_diff('microsecond', ts, coalesce(lead(ts) OVER ({ORDERED}),"
-        f" TIMESTAMP '{ASOF}')) AS stood_us FROM probes)"
-        " SELECT sample_id, service_id, stood_us, stood_us > 5000000 AS stale FROM stood", "probes")),
-    "sample_lag": (sample_lag, check(
-        f", gaps AS (SELECT sample_id, service_id, {GAP_SQL} AS gap_us FROM probes)"
-        " SELECT *, CASE WHEN gap_us IS NOT NULL THEN greatest(gap_us // 10000000 - 1, 0) END AS missed_polls"
-        " FROM gaps", "probes")),
-    "elapsed_ms": (elapsed_ms, check(
-        f"SELECT sample_id, service_id, epoch_us(lead(ts) OVER ({ORDERED})) // 1000 - epoch_us(ts) // 1000 AS elapsed_ms"
-        " FROM probes", "probes")),
-    "rolling_latency": (rolling_latency, check(
-        f"SELECT sample_id, service_id, cast(sum(cast(round(latency_ms * 100) AS BIGINT)) OVER w AS DOUBLE)"
-        " / count(latency_ms) OVER w / 100 AS mean_ms, max(latency_ms) OVER w AS max_ms FROM probes"
-        f" WINDOW w AS ({ORDERED} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)", "probes")),
     "health_rollup": (health_rollup, _rollup_sql("hour")),
     "health_rollup_daily": (health_rollup_daily, _rollup_sql("day")),
     "health_rollup_totals": (health_rollup_totals, check(
@@ -161,4 +160,5 @@ QUERIES = {
     "slowest_services": (slowest_services, check(
         "SELECT service_id, max(latency_ms) AS worst_ms FROM probes GROUP BY 1"
         " ORDER BY worst_ms DESC, service_id LIMIT 10", "probes")),
+    **{key: query for name in IN_ORDER for key, query in _in_order(name).items()},
 }

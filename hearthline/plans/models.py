@@ -48,10 +48,18 @@ def model_swaps(spark, sf_dir):
     return m.model_swaps(v.requests(spark, sf_dir))
 
 
+def model_swaps_hot(spark, sf_dir):
+    return m.model_swaps(v.requests_hot(spark, sf_dir), rows_per_chunk=v.HOT_CHUNK)
+
+
 def model_residency(spark, sf_dir):
     return m.model_residency(v.requests(spark, sf_dir), IDLE)
 
 
+def model_residency_hot(spark, sf_dir):
+    return m.model_residency(v.requests_hot(spark, sf_dir), IDLE, rows_per_chunk=v.HOT_CHUNK // 5)
+
+
 def model_residency_pinned(spark, sf_dir):
     return m.model_residency(v.requests(spark, sf_dir), IDLE, pinned=(PINNED,))
 
@@ -90,18 +98,25 @@ def _per_server(most: int, columns: str) -> str:
 
 
 def _residency(gap_rule: str, unloaded: str) -> str:
-    return check(
+    return (
         ", marked AS (SELECT *, CASE WHEN prev IS NULL OR (" + gap_rule + ") THEN 1 ELSE 0 END AS loads FROM"
         " (SELECT *, lag(ts) OVER (PARTITION BY server_id, model ORDER BY ts, request_id) AS prev FROM requests)),"
         " spans AS (SELECT *, sum(loads) OVER (PARTITION BY server_id, model ORDER BY ts, request_id) AS span"
         " FROM marked)"
         " SELECT server_id, model, min(ts) AS loaded, max(ts) AS last_used, count(*) AS requests,"
-        f" {unloaded} AS unloaded FROM spans GROUP BY server_id, model, span", "requests")
+        f" {unloaded} AS unloaded FROM spans GROUP BY server_id, model, span")
 
 
 _GAP = f"ts - prev >= INTERVAL {IDLE} SECOND"
 _END = f"max(ts) + INTERVAL {IDLE} SECOND"
 
+RESIDENCY_SQL = _residency(_GAP, _END)
+SWAPS_SQL = (
+        "SELECT * FROM (SELECT request_id, server_id, model, ts, lag(model) OVER"
+        " (PARTITION BY server_id ORDER BY ts, request_id) AS previous_model FROM requests)"
+        " WHERE model <> previous_model"
+)
+
 QUERIES = {
     "model_catalog_scan": (model_catalog_scan, _per_server(
         5, f"{_NAME} AS name, {_NAME} AS model, '2024-01-31T00:00:00Z' AS modified_at,"
@@ -131,13 +146,12 @@ QUERIES = {
         "SELECT server, name, size, 'local' AS backend, NULL AS created FROM catalog UNION ALL"
         " SELECT server, regexp_replace(id, 'mlx-community/', ''), NULL, 'served', created FROM served",
         "catalog", "served")),
-    "model_swaps": (model_swaps, check(
-        "SELECT * FROM (SELECT request_id, server_id, model, ts, lag(model) OVER"
-        " (PARTITION BY server_id ORDER BY ts, request_id) AS previous_model FROM requests)"
-        " WHERE model <> previous_model", "requests")),
-    "model_residency": (model_residency, _residency(_GAP, _END)),
-    "model_residency_pinned": (model_residency_pinned, _residency(
-        f"model <> '{PINNED}' AND {_GAP}", f"CASE WHEN model <> '{PINNED}' THEN {_END} END")),
+    "model_swaps": (model_swaps, check(SWAPS_SQL, "requests")),
+    "model_swaps_hot": (model_swaps_hot, check(v.on_hot(SWAPS_SQL, "requests"), "requests_hot")),
+    "model_residency": (model_residency, check(RESIDENCY_SQL, "requests")),
+    "model_residency_hot": (model_residency_hot, check(v.on_hot(RESIDENCY_SQL, "requests"), "requests_hot")),
+    "model_residency_pinned": (model_residency_pinned, check(_residency(
+        f"model <> '{PINNED}' AND {_GAP}", f"CASE WHEN model <> '{PINNED}' THEN {_END} END"), "requests")),
     "kv_config_scan": (kv_config_scan, check(
         "SELECT line_no, 'API_KEY' AS key, substring(line, 9) AS value FROM kv_lines"
         " WHERE starts_with(line, 'API_KEY=')", "kv_lines")),

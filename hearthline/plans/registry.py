@@ -146,6 +146,12 @@ def registry_order(spark, sf_dir):
     return r.with_position(s, "s_nationkey", "s_suppkey")
 
 
+def registry_order_hot(spark, sf_dir):
+    """Customers by name in the lists of three owners, cut into chunks."""
+    c = v.table(spark, sf_dir, "customer").select((C("c_custkey") % 3).alias("owner"), "c_name")
+    return r.with_position(c, "owner", "c_name", rows_per_chunk=v.HOT_CHUNK // 5)
+
+
 def registry_overwrite(spark, sf_dir):
     """Post all suppliers per nation; then, twice, shorter lists for even nations,
     some of them empty; then a post that never becomes whole."""
@@ -232,6 +238,9 @@ QUERIES = {
     "registry_order": (registry_order,
         "SELECT *, position * 70 AS delay_ms FROM (SELECT s_nationkey, s_suppkey, s_name,"
         " row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS position FROM supplier)"),
+    "registry_order_hot": (registry_order_hot,
+        "SELECT *, position * 70 AS delay_ms FROM (SELECT c_custkey % 3 AS owner, c_name,"
+        " row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_name) - 1 AS position FROM customer)"),
     "registry_overwrite": (registry_overwrite,
         "SELECT s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier WHERE s_nationkey % 2 = 1"
         " OR s_acctbal > 0"),

@@ -47,6 +47,20 @@ def probes(spark, sf_dir):
     return as_probes(table(spark, sf_dir, "events"))
 
 
+def _hot(rows: DataFrame, row: str, key: str) -> DataFrame:
+    """Three keys hold all rows; half of the times are tied within a day, some are missing."""
+    tied = F.when(C(row) % 7 == 0, None).when(C(row) % 2 == 0, F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return rows.withColumns({key: C(key) % 3, "ts": F.when(C(row) % 2 == 0, tied).when(C(row) % 7 != 0, C("ts"))})
+
+
+def probes_hot(spark, sf_dir):
+    return _hot(probes(spark, sf_dir), "sample_id", "service_id")
+
+
+def requests_hot(spark, sf_dir):
+    return _hot(requests(spark, sf_dir), "request_id", "server_id")
+
+
 def probes_raw(spark, sf_dir):
     """No code = no answer; some latencies above the limit; some damaged bodies."""
     e = table(spark, sf_dir, "events")
@@ -354,9 +368,16 @@ SPACE_CLASS = (
 )
 OUTER_SPACE = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
 
+_HOT_TS = (
+    "CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN cast(date_trunc('day', ts) AS TIMESTAMP) ELSE ts END END AS ts"
+)
+
 SQL = {
     "probes": "SELECT event_id AS sample_id, user_id AS service_id, ts, event_type <> 'error' AS online,"
     " value AS latency_ms FROM events",
+    "probes_hot": f"SELECT event_id AS sample_id, user_id % 3 AS service_id, {_HOT_TS}, event_type <> 'error' AS online,"
+    " value AS latency_ms FROM events",
+    "requests_hot": f"SELECT event_id AS request_id, user_id % 3 AS server_id, event_type AS model, {_HOT_TS} FROM events",
     "probes_raw": "SELECT event_id AS sample_id, user_id AS service_id, ts, CASE event_type WHEN 'error'"
     " THEN NULL WHEN 'signup' THEN 503 WHEN 'click' THEN 404 ELSE 200 END AS http_code,"
     " value * 10 AS latency_ms, CASE WHEN event_id % 7 = 0 THEN substring(props, 2) ELSE props END AS body"
@@ -418,3 +439,12 @@ def check(body: str, *views: str) -> str:
             if name not in names:
                 names.append(name)
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " " + body
+
+
+#: Rows of a chunk where hot keys are cut on purpose.
+HOT_CHUNK = 2500
+
+
+def on_hot(body: str, view: str) -> str:
+    """A check text over the view with hot keys; missing times come first, as in Spark."""
+    return body.replace(f"FROM {view}", f"FROM {view}_hot").replace("ORDER BY ts", "ORDER BY ts NULLS FIRST")

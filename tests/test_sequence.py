@@ -5,8 +5,9 @@ import random
 
 import pytest
 from compare import spark_table
+from pyspark.sql import functions as F
 
-from hearthline.operators import health, models, registry
+from hearthline.operators import health, models, registry, sequence
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -36,7 +37,7 @@ def requests(probes):
 WHOLE = 10**9
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 3, 40, 250])
+@pytest.mark.parametrize("rows_per_chunk", [20, 250])
 @pytest.mark.parametrize("operator", [
     health.unhealthy_runs, health.sample_lag, health.sample_gaps, health.rolling_latency,
     lambda p, **kw: health.stale_flag(p, "2024-02-01 00:00:00", **kw),
@@ -46,7 +47,7 @@ def test_probe_operators(probes, operator, rows_per_chunk):
         operator(probes, rows_per_chunk=WHOLE))
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 3, 40, 250])
+@pytest.mark.parametrize("rows_per_chunk", [20, 250])
 @pytest.mark.parametrize("operator", [
     models.model_swaps,
     lambda r, **kw: models.model_residency(r, 60, **kw),
@@ -57,7 +58,7 @@ def test_request_operators(requests, operator, rows_per_chunk):
         operator(requests, rows_per_chunk=WHOLE))
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 7, 100])
+@pytest.mark.parametrize("rows_per_chunk", [7, 100])
 def test_positions(spark, rows_per_chunk):
     df = spark.range(0, 400, 1).selectExpr("IF(id % 5 = 0, id % 3, 9) AS owner", "id * id AS place")
     got = registry.with_position(df, "owner", "place", rows_per_chunk)
@@ -65,29 +66,53 @@ def test_positions(spark, rows_per_chunk):
     assert spark_table(got) == spark_table(want)
 
 
-def test_a_hot_key_is_spread(probes):
-    """The window over a hot key runs in more than one group."""
-    from hearthline.operators.sequence import split_hot_keys
-
-    split = split_hot_keys(probes, ["service_id"], ["ts", "sample_id"], 50)
-    sizes = {(r[0], r[1]): r[2] for r in split.groupBy("service_id", "_chunk").count().collect()}
-    assert sum(1 for key in sizes if key[0] == 1) > 5
-    assert split.count() == probes.count()
-
+def chunk_sizes(ordered, key):
+    return {r["_chunk"]: r["count"] for r in ordered.rows.where(key).groupBy("_chunk").count().collect()}
 
-def test_a_burst_is_spread(spark):
-    """Most rows of the hot key fall into one thousandth of its range."""
-    from hearthline.operators.sequence import split_hot_keys
 
-    df = spark.range(20_000).selectExpr(
-        "1 AS k", "IF(id % 20 = 0, id * 100000, 500000000 + id) AS place", "id")
-    split = split_hot_keys(df, ["k"], ["place", "id"], 20)
-    sizes = [r[1] for r in split.groupBy("_chunk").count().collect()]
-    assert sum(sizes) == 20_000
-    assert max(sizes) <= 200
-    bounds = split.groupBy("_chunk").agg({"place": "max", "id": "count"}).orderBy("_chunk")
-    tops = [r["max(place)"] for r in bounds.collect()]
-    assert tops == sorted(tops)
+def test_a_hot_key_is_spread(probes):
+    """The window over a hot key runs in more than one group; other keys stay whole."""
+    ordered = sequence.in_order(probes, ["service_id"], ["ts", "sample_id"], 250)
+    sizes = chunk_sizes(ordered, "service_id = 1")
+    assert len(sizes) > 3 and max(sizes.values()) <= 250
+    assert set(chunk_sizes(ordered, "service_id is null or service_id > 1")) == {None}
+    assert ordered.rows.count() == probes.count()
+
+
+def test_equal_and_missing_times_are_spread(spark):
+    """All rows of the hot key have one time or none; chunks follow the id, and text is cut by whole values."""
+    df = spark.range(20_000).selectExpr("1 AS k", "IF(id % 2 = 0, NULL, 5) AS place", "id", "concat('same beginning ', id) AS name")
+    for order in (["place", "id"], ["name"]):
+        ordered = sequence.in_order(df, ["k"], order, 1000)
+        sizes = chunk_sizes(ordered, "k = 1")
+        assert sum(sizes.values()) == 20_000 and max(sizes.values()) <= 1000
+        ends = ordered.rows.groupBy("_chunk").agg(F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high")).orderBy("_chunk").collect()
+        key = lambda row: tuple((v is not None, v) for v in row)
+        assert all(key(a["high"]) < key(b["low"]) for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_keys_below_the_limit_take_one_shuffle(probes):
+    ordered = sequence.in_order(probes, ["service_id"], ["ts", "sample_id"], WHOLE)
+    assert not ordered.split
+    plan = health.unhealthy_runs(probes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 or "AdaptiveSparkPlan" in plan and plan.count("Exchange") <= 2
+
+
+def test_counts_with_totals(probes):
+    for rows_per_chunk in (40, WHOLE):
+        ordered = sequence.in_order(probes, ["service_id"], ["ts", "sample_id"], rows_per_chunk)
+        rows = ordered.running_count(F.col("online"), "so_far", "of").done().collect()
+        for service in (1, 2, 3, None):
+            own = [r for r in rows if r["service_id"] == service]
+            assert {r["of"] for r in own} == {sum(r["online"] for r in own)} == {max(r["so_far"] for r in own)}
+
+
+def test_parts_of_a_hot_owner(spark):
+    df = spark.range(0, 300).selectExpr("IF(id % 10 = 0, 1, 2) AS owner", "300 - id AS place", "id")
+    whole = registry.post_parts(df, "owner", "place", F.col("id"), 7)
+    cut = registry.post_parts(df, "owner", "place", F.col("id"), 7, rows_per_chunk=50)
+    assert spark_table(whole) == spark_table(cut)
+    assert {r["parts"] for r in cut.where("owner = 2").collect()} == {39}
 
 
 def test_runs_by_hand(spark):
@@ -111,8 +136,6 @@ def test_idle_gap_equal_to_limit_starts_a_span(spark):
 
 
 def test_text_keys_are_cut_along_their_order(spark):
-    from hearthline.operators import registry
-
     words = ["", "a", "b", "aé", "é", "zz", "prefix-1", "prefix-2", "日本", "\U0001f600"] + [f"k{i:03}" for i in range(60)]
     df = spark.createDataFrame([("o", w) for w in words], "owner string, name string")
     got = {r["name"]: r["position"] for r in registry.with_position(df, "owner", "name", rows_per_chunk=5).collect()}
