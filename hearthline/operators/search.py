@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthline import fixed
 from hearthline.functions import text
-from hearthline.operators.sizes import BROADCAST_ROWS, fits, small_side
+from hearthline.operators import word_index
 from hearthline.session import cut_lineage
 from hearthline.sources.payloads import is_damaged, search_array
 
@@ -169,35 +169,17 @@ def distinct_engines(results: DataFrame, approximate: bool = False) -> DataFrame
 
 
 def keyword_search(
-    queries: DataFrame, docs: DataFrame, k: int = K, broadcast_rows: int = BROADCAST_ROWS
+    queries: DataFrame, docs: DataFrame, k: int = K, list_rows: int = word_index.LIST_ROWS
 ) -> DataFrame:
     """Documents per query by shared distinct words, ties by id, best k.
 
-    ``queries`` has (query_id, q), ``docs`` has (doc_id, text); an equi-join of
-    the two word lists, counted per pair.
-
-    Few query words (counted first) are broadcast. The word lists of the
-    documents are then spread by document, which is even, so that every pair is
-    counted and every query cut to its k best within the same task: the pairs
-    themselves never move. With more query words the join shuffles on the word,
-    adaptive execution splits frequent words, and pairs are counted in the map
-    tasks before they move.
+    ``queries`` has (query_id, q), ``docs`` has (doc_id, text). Exact, over an index of
+    the words that are asked for (``word_index``).
     """
-    # The outer form, because explode adds filters that parse every text again.
-    q_words = queries.select("query_id", F.explode_outer(text.tokens(F.col("q"))).alias("word"))
-    lists = docs.select("doc_id", text.tokens(F.col("text")).alias("words"))
-    if fits(q_words, broadcast_rows):
-        q_words, lists = F.broadcast(q_words), lists.repartition("doc_id")
-    d_words = lists.select("doc_id", F.explode_outer("words").alias("word"))
-    scored = (
-        d_words.join(q_words, "word")
-        .groupBy("query_id", "doc_id")
-        .agg(F.count(F.lit(1)).alias("score"))
-    )
-    rank = F.row_number().over(
-        W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    )
-    return scored.withColumn("pos", rank).where(F.col("pos") <= k)
+    asked = queries.select("query_id", text.tokens(F.col("q")).alias("words")).where(F.size("words") > 0)
+    asked = cut_lineage(asked, "asked")
+    wanted = cut_lineage(asked.select(F.explode("words").alias("word")).distinct(), "wanted")
+    return word_index.best_hits(asked, word_index.build(docs, wanted, list_rows), k)
 
 
 def latest_user_turn(chat: DataFrame) -> DataFrame:
@@ -214,17 +196,16 @@ def web_grounding(
     docs: DataFrame,
     kind: str = "academic",
     k: int = K,
-    broadcast_rows: int = BROADCAST_ROWS,
+    list_rows: int = word_index.LIST_ROWS,
 ) -> DataFrame:
     """Context block per conversation: the newest user turn and its best hits.
 
     ``docs`` has (doc_id, text, title, url, engine).
     """
     asked = cut_lineage(latest_user_turn(chat).withColumnRenamed("conv_id", "query_id"))
-    # At most k short rows per conversation; stored, so that they are counted and
-    # joined without searching twice. While they can be broadcast, no text moves.
-    hits = cut_lineage(keyword_search(asked, docs, k, broadcast_rows=broadcast_rows).select("query_id", "doc_id", "pos"))
-    hits = small_side(hits, broadcast_rows)
+    # At most k short rows per conversation; stored, so that their size is known and
+    # no text moves while it is small.
+    hits = cut_lineage(keyword_search(asked, docs, k, list_rows).select("query_id", "doc_id", "pos"), "hits")
     shown = docs.select("doc_id", "title", "url", "engine", F.col("text").alias("content"))
     blocks = (
         shown.join(hits, "doc_id")

@@ -34,15 +34,6 @@ def test_dedup_shuffles_once(spark, sf_dir):
     assert plan(QUERIES["result_dedup"](spark, sf_dir)).count("Exchange hashpartitioning") == 1
 
 
-def test_counted_pairs_stay_in_their_task(spark, sf_dir):
-    """Word lists move once, by document; then only the best of each query."""
-    text = plan(QUERIES["keyword_search"](spark, sf_dir))
-    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
-    assert len(moved) == 2
-    assert "query_id" in moved[0] and "doc_id" not in moved[0]
-    assert "doc_id" in moved[1] and "query_id" not in moved[1]
-
-
 @pytest.mark.parametrize("key", ["top_results", "render_results", "keyword_search", "wait_until_ready"])
 def test_ranked_limits_start_in_the_map_tasks(spark, sf_dir, key):
     text = plan(QUERIES[key](spark, sf_dir))

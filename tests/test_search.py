@@ -1,8 +1,13 @@
 """Search operators on hand-made rows."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from hearthline.functions import text
 from hearthline.operators import search as s
+from hearthline.operators import word_index
 from hearthline.sources.payloads import damaged_payloads, read_captures, read_search_results
 
 PAYLOAD = """{"results": [
@@ -97,16 +102,52 @@ def test_keyword_search_by_brute_force(spark):
     assert {(r["query_id"], r["doc_id"], r["score"]) for r in s.keyword_search(q, d, 2).collect()} == want
 
 
-def test_keyword_search_without_broadcast_is_the_same(spark):
-    d = spark.range(60).selectExpr("id AS doc_id", "concat('common ', IF(id % 2 = 0, 'even', 'odds'), ' word', repeat('x', cast(id % 5 AS int))) AS text")
-    q = spark.range(9).selectExpr("id AS query_id", "concat('common even word', repeat('x', cast(id AS int))) AS q")
-    want = {tuple(r) for r in s.keyword_search(q, d).collect()}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        got = {tuple(r) for r in s.keyword_search(q, d, broadcast_rows=3).collect()}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert got == want
+def plain_hits(docs, asked, k):
+    """Scores of all pairs; rows with equal ids are one document."""
+    import re
+
+    words = lambda t: {w for w in re.split("[^a-z]+", (t or "").lower()) if len(w) > 3}
+    want, held = set(), {}
+    for i, t in docs:
+        if i is not None:
+            held[i] = held.get(i, set()) | words(t)
+    for q, question in asked:
+        scores = {i: n for i, own in held.items() if (n := len(words(question) & own))}
+        for pos, (n, i) in enumerate(sorted((-n, i) for i, n in scores.items())[:k]):
+            want.add((q, i, -n, pos + 1))
+    return want
+
+
+@pytest.mark.parametrize("list_rows", [5, 10**6])
+def test_keyword_search_with_frequent_words_and_ties(spark, list_rows):
+    """Frequent and rare words, many ties, long and empty texts, missing and equal ids; lists in parts and whole."""
+    rng = random.Random(4)
+    letters = "abcdefgh"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(4 + i % 3)) for i in range(120)]
+
+    def prose(n):
+        return " ".join(vocabulary[min(int(rng.expovariate(0.06)), 119)] for _ in range(n))
+
+    docs = [(i, prose(rng.choice([0, 3, 8, 20, 60]))) for i in range(400)]
+    docs += [(400, " ".join(vocabulary)), (401, None), (None, " ".join(vocabulary)), (7, prose(40)), (3, docs[3][1])]
+    asked = [(i, prose(rng.choice([0, 1, 2, 5, 12, 30]))) for i in range(60)] + [(60, None), (61, "nothing here")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id bigint, q string")
+    for k in (1, 6):
+        got = s.keyword_search(q, d, k, list_rows)
+        assert {(r["query_id"], r["doc_id"], r["score"], r["pos"]) for r in got.collect()} == plain_hits(docs, asked, k)
+    assert s.keyword_search(q, d.limit(0)).count() == s.keyword_search(q.limit(0), d).count() == 0
+
+
+def test_frequent_lists_are_not_read(spark, sf_dir):
+    """Candidates are far fewer than the pairs that share a word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("words"))
+    index = word_index.build(docs)
+    ranked = word_index.by_rarity(asked, index)
+    shared = word_index.candidates(ranked, ranked.select("query_id", F.lit(1).alias("floor")).distinct(), index).count()
+    known = word_index.floors(ranked, index, 6)
+    assert word_index.candidates(ranked, known, index).count() < shared / 2
 
 
 def test_dedup_counts_and_engines(spark):
@@ -142,6 +183,6 @@ def test_grounding_takes_the_newest_user_turn(spark):
     want = {
         1: "## Academic results for: beta topic\n\n**T7**\n*via e*\nbeta text\nSource: u7\n",
         2: "No academic results found for: nothing"}
-    for broadcast_rows in (0, 1000):
-        got = s.web_grounding(chat, docs, broadcast_rows=broadcast_rows).collect()
+    for list_rows in (1, 1000):
+        got = s.web_grounding(chat, docs, list_rows=list_rows).collect()
         assert {r[0]: r[1] for r in got} == want
