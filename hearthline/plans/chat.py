@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthline import fixed
-from hearthline.functions import text, units
+from hearthline.functions import bodies, text, units
 from hearthline.operators import chat
 from hearthline.operators.health import http_success
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
+from hearthline.streaming import run
 
 SPACE = v.OUTER_SPACE
 CLEAN_SQL = (
     f"regexp_replace(regexp_replace(content, '{fixed.THINKING}', '', 'g'), '{SPACE}', '', 'g')"
 )
 
+BODY_SQL = check(
+    f", told AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN {CLEAN_SQL}"
+    f" ELSE content END AS content FROM chat) SELECT conv_id, turn, {v.BODY_SQL} AS body FROM told", "chat")
+
 
 def strip_thinking(spark, sf_dir):
     c = v.chat(spark, sf_dir).where(C("role") == "assistant")
@@ -31,6 +36,16 @@ def assistant_filter(spark, sf_dir):
     return chat.clean(v.chat(spark, sf_dir))
 
 
+def chat_body_clean(spark, sf_dir):
+    """A body per turn: its content is text, a list of parts or missing; some bodies are damaged."""
+    return bodies.clean(v.chat_bodies(spark, sf_dir))
+
+
+def stream_chat_bodies(spark, sf_dir):
+    stream = v.as_chat_bodies(v.as_chat(v.stream_of(spark, sf_dir, "conversations")))
+    return run.drain_append(bodies.clean(stream), "bodies")
+
+
 def strip_ws(spark, sf_dir):
     wide = F.concat(F.lit(" \t"), C("content"), F.lit(" \n\x1f"))
     return v.chat(spark, sf_dir).select("conv_id", "turn", text.strip_ws(wide).alias("content"))
@@ -171,6 +186,8 @@ QUERIES = {
     "assistant_filter": (assistant_filter, check(
         f"SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {CLEAN_SQL} ELSE content END"
         " AS content FROM chat", "chat")),
+    "chat_body_clean": (chat_body_clean, BODY_SQL),
+    "stream_chat_bodies": (stream_chat_bodies, BODY_SQL),
     "strip_ws": (strip_ws, check(
         f"SELECT conv_id, turn, regexp_replace(content, '{SPACE}', '', 'g') AS content FROM chat", "chat")),
     "format_bytes": (format_bytes, FORMAT_BYTES_SQL),

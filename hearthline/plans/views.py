@@ -118,6 +118,41 @@ def as_chat(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", content.alias("content"))
 
 
+_BODY = (
+    '{"chat":{"id":', ',"tags":["a",null,1.5]},"messages":[{"content":"<think>asked</think>","role":"user"},"loose",',
+    '],"model":"m","stream":false}',
+)
+
+
+def as_chat_bodies(chat: DataFrame) -> DataFrame:
+    """One JSON body per message, which is text, has a list of parts, or no content."""
+    quoted = F.to_json(F.struct(C("content").alias("c")))
+    text_json = F.expr("substring(q, 6, length(q) - 6)")
+    role = F.concat(F.lit('"role":"'), "role", F.lit('"}'))
+    message = (
+        F.when(C("turn") % 4 == 2, F.concat(F.lit('{"content":[{"text":'), text_json, F.lit(',"type":"text"}],'), role))
+        .when(C("turn") % 4 == 3, F.concat(F.lit("{"), role))
+        .otherwise(F.concat(F.lit('{"content":'), text_json, F.lit(',"id":'), "turn", F.lit(","), role))
+    )
+    body = F.concat(F.lit(_BODY[0]), "conv_id", F.lit(_BODY[1]), message, F.lit(_BODY[2]))
+    whole = F.when(C("turn") % 4 == 0, F.concat(F.lit("["), body)).otherwise(body)
+    return chat.withColumn("q", quoted).select("conv_id", "turn", whole.alias("body"))
+
+
+#: The same over (conv_id, turn, role, content) as check text; every fourth body is damaged.
+BODY_SQL = (
+    f"CASE WHEN turn % 4 = 0 THEN '[' ELSE '' END || '{_BODY[0]}' || conv_id || '{_BODY[1]}' || CASE turn % 4"
+    """ WHEN 2 THEN '{"content":[{"text":' || to_json(content) || ',"type":"text"}],"role":"' || role || '"}'"""
+    """ WHEN 3 THEN '{"role":"' || role || '"}'"""
+    """ ELSE '{"content":' || to_json(content) || ',"id":' || turn || ',"role":"' || role || '"}' END"""
+    f" || '{_BODY[2]}'"
+)
+
+
+def chat_bodies(spark, sf_dir):
+    return as_chat_bodies(chat(spark, sf_dir))
+
+
 def chat(spark, sf_dir):
     return as_chat(table(spark, sf_dir, "conversations"))
 
