@@ -1,8 +1,9 @@
 """Nearest vectors by cosine.
 
-An exact search has to look at every (query, vector) pair, but no pair is ever
-emitted: each task multiplies one block of queries with one block of vectors and
-keeps the k best of it per query, so only blocks * queries * k rows move.
+No pair of query and vector is ever emitted: each task multiplies one block of queries
+with one block of vectors and keeps the k best of it per query. Few queries travel to all
+vectors. Many are answered over cells of vectors around pivots, and the triangle
+inequality over angles tells which cells a query need not visit.
 """
 
 from __future__ import annotations
@@ -17,11 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthline.session import cut_lineage
+
 # Large blocks keep the copies few; a task scores SLICE queries of a block at a time.
 QUERY_BLOCK = 10_000
 VECTOR_BLOCK = 10_000
 SLICE = 500
 PLACES = 9
+#: Vectors that cells lie around; their directions go to every task.
+PIVOTS = 256
+#: Similarities this near to the k-th best are still looked at, far above what rounding and angles are off.
+SLACK = 1e-6
 # Tasks get these functions with the job; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,25 +92,110 @@ def _scan(corpus: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int)
     return corpus.select("vec_id", "embedding").mapInArrow(score, HITS)
 
 
-def _grid(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int,
-          query_block: int, vector_block: int) -> DataFrame:
-    """Both sides cut into bounded blocks by hash; one task per pair of blocks."""
-    q_blocks = -(-n_queries // query_block)
-    v_blocks = -(-corpus.count() // vector_block) or 1
+def _unit_pivots(corpus: DataFrame, n: int) -> np.ndarray:
+    """Directions of the vectors with the smallest hashes of their ids."""
+    some = corpus.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("embedding").toArrow()
+    units = _unit_rows(some.column("embedding"))
+    return units[np.isfinite(units).all(axis=1) & units.any(axis=1)]
 
-    def block_numbers(n: int):
-        return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
-    left = queries.select(
-        "query_id", "embedding",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"),
-        F.explode(block_numbers(v_blocks)).alias("v_block"),
-    )
-    right = corpus.select(
-        "vec_id", "embedding",
-        F.explode(block_numbers(q_blocks)).alias("q_block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)).alias("v_block"),
-    )
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def _finite_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows with a finite vector, some at a time; others find nothing and are never found."""
+    for i in range(0, batch.num_rows, SLICE):
+        part = batch.slice(i, SLICE)
+        units = _unit_rows(part.column("embedding"))
+        fine = np.flatnonzero(np.isfinite(units).all(axis=1))
+        if fine.size:
+            yield part.take(pa.array(fine)), units[fine]
+
+
+def _with_columns(part: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, columns.values())], [*part.schema.names, *columns])
+
+
+def _in_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(vec_id, embedding, cell, angle, zero): the nearest pivot of each vector."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, units in _finite_slices(batch):
+                angles = _angles(units, pivots)
+                cell = angles.argmin(axis=1)
+                yield _with_columns(part, cell=cell, angle=angles[np.arange(len(cell)), cell], zero=~units.any(axis=1))
+
+    kept = corpus.select("vec_id", "embedding")
+    return kept.mapInArrow(assign, _ddl(kept) + ", cell bigint, angle double, zero boolean")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _homes(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int) -> DataFrame:
+    """(query_id, embedding, cell): the nearest cell that holds k vectors, or the nearest one."""
+    poor = (sizes < k) * 10.0
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, units in _finite_slices(batch):
+                yield _with_columns(part, cell=(_angles(units, pivots) + poor).argmin(axis=1))
+
+    kept = queries.select("query_id", "embedding")
+    return kept.mapInArrow(assign, _ddl(kept) + ", cell bigint")
+
+
+def _visits(homes: DataFrame, pivots: np.ndarray, cells: np.ndarray) -> DataFrame:
+    """(query_id, embedding, cell): every other cell that may hold a hit of the query.
+
+    A vector at angle a from its pivot and a query at angle b from that pivot are at
+    least abs(a - b) apart, whatever their places; ``cells`` has the least and the
+    greatest a of each cell, its size, and whether it holds a zero vector, which is at
+    similarity 0 to all. ``floor`` is the k-th best similarity found at home.
+    """
+    least, most, sizes, zero = cells
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, units in _finite_slices(batch):
+                angles = _angles(units, pivots)
+                apart = np.maximum(np.maximum(angles - most, least - angles), 0)
+                best = np.where(zero, np.maximum(np.cos(apart), 0), np.cos(apart))
+                floor = part.column("floor").to_numpy(zero_copy_only=False).astype(float)
+                floor = np.where(np.isnan(floor), -np.inf, floor)
+                able = (best >= floor[:, None] - SLACK) & (sizes > 0)
+                able[np.arange(len(floor)), part.column("cell").to_numpy()] = False
+                row, cell = np.nonzero(able)
+                if row.size:
+                    yield _with_columns(part.select(["query_id", "embedding"]).take(pa.array(row)), cell=cell)
+
+    kind = _ddl(homes.select("query_id", "embedding"))
+    return homes.select("query_id", "embedding", "cell", "floor").mapInArrow(assign, kind + ", cell bigint")
+
+
+def _search(visits: DataFrame, placed: DataFrame, sizes: np.ndarray, k: int, query_block: int, vector_block: int) -> DataFrame:
+    """The k best of each visited cell for each of its visitors.
+
+    A cell is cut into blocks of vectors and its visitors into blocks of queries, both
+    by hash; one group of rows per pair of blocks. Cells nobody visits do not move.
+    """
+    spark = placed.sparkSession
+    visited = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row per pivot at most, so the broadcast is bounded by their number.
+    blocks = F.broadcast(spark.createDataFrame(
+        [(c, -(-n // query_block), -(-int(sizes[c]) // vector_block)) for c, n in visited.items() if sizes[c]],
+        "cell bigint, q_blocks bigint, v_blocks bigint"))
+
+    def numbers(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    left = visits.join(blocks, "cell").select(
+        "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("q_block"), numbers("v_blocks").alias("v_block"))
+    right = placed.join(blocks, "cell").select(
+        "vec_id", "embedding", "cell", numbers("q_blocks").alias("q_block"), F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).alias("v_block"))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
@@ -112,8 +204,37 @@ def _grid(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int,
         return _best(_ids(a["query_id"]), _unit_rows(a["embedding"]),
                      _ids(b["vec_id"]), _unit_rows(b["embedding"]), k)
 
-    cells = ["q_block", "v_block"]
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(score, HITS)
+    keys = ["cell", "q_block", "v_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, HITS)
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id")))
+    return hits.withColumn("pos", rank)
+
+
+def _indexed(queries: DataFrame, corpus: DataFrame, k: int, query_block: int, vector_block: int, pivots: int) -> DataFrame:
+    """Hits over cells around pivots, exact by the triangle inequality.
+
+    Each query is answered in its own cell first. Its k-th best similarity there rules
+    out the cells all of whose vectors are too far off, and only the rest is visited:
+    queries move to cells, and a vector moves once per block of visitors of its cell.
+    """
+    at = _unit_pivots(corpus, pivots)
+    if not len(at):  # only zero vectors: one cell around any direction
+        width = corpus.select(F.size("embedding")).first()
+        at = np.eye(1, width[0] if width else 1)
+    placed = cut_lineage(_in_cells(corpus, at), "cells")
+    cells = np.zeros((4, len(at)))
+    found = placed.groupBy("cell").agg(F.min("angle"), F.max("angle"), F.count(F.lit(1)), F.max(F.col("zero").cast("int")))
+    for cell, *values in found.collect():
+        cells[:, cell] = values
+    cells = (*cells[:3], cells[3] > 0)
+    homes = _homes(queries, at, cells[2], k)
+    near = cut_lineage(_search(homes, placed, cells[2], k, query_block, vector_block), "near-hits")
+    floor = _ranked(near).where(F.col("pos") == k).select("query_id", F.col("similarity").alias("floor"))
+    visits = cut_lineage(_visits(homes.join(floor, "query_id", "left"), at, cells), "visits")
+    return near.unionByName(_search(visits, placed, cells[2], k, query_block, vector_block))
 
 
 def knn(
@@ -122,12 +243,13 @@ def knn(
     k: int,
     query_block: int = QUERY_BLOCK,
     vector_block: int = VECTOR_BLOCK,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """The exact k nearest vectors per query: (query_id, pos, vec_id, similarity).
 
     ``queries`` has (query_id, embedding), ``corpus`` has (vec_id, embedding), all
     of one dimension. Up to ``query_block`` queries (checked by reading at most
-    one more) travel to every task; more go through the block grid.
+    one more) travel to every task; more go through cells around ``pivots`` vectors.
     """
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     queries, corpus = queries.where(usable), corpus.where(usable)
@@ -137,11 +259,8 @@ def knn(
     elif head.num_rows <= query_block:
         hits = _scan(corpus, _ids(head["query_id"]), _unit_rows(head["embedding"]), k)
     else:
-        hits = _grid(queries, corpus, queries.count(), k, query_block, vector_block)
-    rank = F.row_number().over(
-        W.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id"))
-    )
-    return hits.withColumn("pos", rank).where(F.col("pos") <= k)
+        hits = _indexed(queries, corpus, k, query_block, vector_block, pivots)
+    return _ranked(hits).where(F.col("pos") <= k)
 
 
 def centroids(corpus: DataFrame, label: str = "label", places: int = 6) -> DataFrame:

@@ -167,10 +167,10 @@ def embedding_knn(spark, sf_dir):
 
 
 def embedding_neighbours(spark, sf_dir):
-    """Every vector as a query, through the block grid."""
+    """Every vector as a query, over cells around pivots."""
     e = v.table(spark, sf_dir, "embeddings")
     asked = e.select(C("vec_id").alias("query_id"), "embedding")
-    hits = vectors.knn(asked, e, K, query_block=256, vector_block=1_000)
+    hits = vectors.knn(asked, e, K, query_block=256, vector_block=1_000, pivots=8)
     return hits.select("query_id", "pos", "vec_id", "similarity")
 
 
