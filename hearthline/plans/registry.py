@@ -13,6 +13,7 @@ from hearthline.plans import views as v
 from hearthline.plans.views import C, check
 from hearthline.session import fresh_dir
 from hearthline.sources import sinks
+from hearthline.sources.posts import PostedLists
 
 
 def _engines(spark, sf_dir):
@@ -153,22 +154,25 @@ def registry_order_hot(spark, sf_dir):
 
 
 def registry_overwrite(spark, sf_dir):
-    """Post all suppliers per nation; then, twice, shorter lists for even nations,
-    some of them empty; then a post that never becomes whole."""
+    """Post all suppliers per nation; then shorter lists for even nations, some of them
+    empty, twice under one number; put the log together; then a post that never becomes whole."""
     s = v.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
     entry = F.struct("s_suppkey", "s_name", "s_acctbal")
-    path = fresh_dir(spark, "registry")
 
-    def post(number: int, rows: DataFrame, owners: DataFrame | None = None, repeats: int = 1, part_rows: int = 10) -> None:
-        parts = r.post_parts(rows, "s_nationkey", "s_suppkey", entry, part_rows, owners)
-        for _ in range(repeats):
-            sinks.append_parts(parts.withColumn("post", F.lit(number)).where(F.lit(number < 3) | (C("part") > 0)), path)
+    def parts(number: int, rows: DataFrame, owners: DataFrame | None = None, part_rows: int = 10) -> DataFrame:
+        return r.post_parts(rows, "s_nationkey", "s_suppkey", entry, part_rows, owners).withColumn("post", F.lit(number))
 
     even = s.where(C("s_nationkey") % 2 == 0)
-    post(1, s)
-    post(2, even.where(C("s_acctbal") > 0), even, repeats=2)
-    post(3, s, part_rows=1)
-    return sinks.newest_posts(spark.read.parquet(path), "s_nationkey")
+    first = parts(1, s)
+    lists = PostedLists(spark, fresh_dir(spark, "registry"), "s_nationkey", first.schema)
+    lists.append(first, "console", 1)
+    shorter = parts(2, even.where(C("s_acctbal") > 0), even)
+    for _ in range(2):
+        lists.append(shorter, "console", 2)
+    lists.compact()
+    lists.append(parts(3, s, part_rows=1).where(C("part") > 0), "console", 3)
+    lists.expire()
+    return lists.read()
 
 
 def registry_json_body(spark, sf_dir):

@@ -11,7 +11,7 @@ from hearthline.plans import views as v
 from hearthline.plans.chat import CLEAN_SQL
 from hearthline.plans.views import C, check
 from hearthline.session import fresh_dir
-from hearthline.sources import sinks
+from hearthline.sources.posts import PostedLists
 from hearthline.sources.probes import stream_files
 from hearthline.streaming import health as st
 from hearthline.streaming import run
@@ -94,19 +94,25 @@ def stream_strip_thinking(spark, sf_dir):
 
 
 def stream_registry_sink(spark, sf_dir):
-    """Lists posted in parts that come one file per batch; a batch logged twice changes nothing."""
+    """Lists posted in parts that come one file per batch; a batch logged twice changes
+    nothing, and the log is put together between batches."""
     suppliers = v.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     parts = registry.post_parts(suppliers, "s_nationkey", "s_suppkey", F.struct("s_suppkey", "s_name"), part_rows=5)
     landed, path = fresh_dir(spark, "posted"), fresh_dir(spark, "stream-registry")
     parts.withColumn("post", F.lit(1)).repartition(3, "part").write.parquet(landed)
     schema = spark.read.parquet(landed).schema
 
+    lists = PostedLists(spark, path, "s_nationkey", schema)
+
     def log(batch, batch_id):
         for _ in range(2):
-            sinks.append_parts(batch, path)
+            lists.append(batch, "stream", batch_id)
+        if batch_id % 2:
+            lists.compact()
+            lists.expire()
 
     run.drain_batches(stream_files(spark, landed, schema, files_per_batch=1), "registry-sink", log, mode="append")
-    return sinks.newest_posts(spark.read.schema(schema).parquet(path), "s_nationkey")
+    return lists.read()
 
 
 # An append-mode window is emitted once the watermark (newest ts less the delay,

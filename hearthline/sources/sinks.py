@@ -22,20 +22,24 @@ def append_parts(parts: DataFrame, path: str) -> None:
     parts.write.mode("append").parquet(path)
 
 
-def newest_posts(logged: DataFrame, owner: str) -> DataFrame:
-    """Per owner the entries of the newest post all of whose parts have come.
-
-    Owners that never posted keep nothing, an empty post leaves no row, and until
-    a post is whole the one before it stays. Rows without an owner are left out.
-    """
-    whole = (
+def whole_posts(logged: DataFrame, owner: str) -> DataFrame:
+    """(owner, post): per owner the newest post all of whose parts have come."""
+    return (
         logged.groupBy(owner, "post")
         .agg(F.count_distinct("part").alias("_come"), F.max("parts").alias("_due"))
         .where("_come = _due")
         .groupBy(owner)
         .agg(F.max("post").alias("post"))
     )
-    kept = logged.join(whole, [owner, "post"], "left_semi")
+
+
+def newest_posts(logged: DataFrame, owner: str) -> DataFrame:
+    """Per owner the entries of the newest post all of whose parts have come.
+
+    Owners that never posted keep nothing, an empty post leaves no row, and until
+    a post is whole the one before it stays. Rows without an owner are left out.
+    """
+    kept = logged.join(whole_posts(logged, owner), [owner, "post"], "left_semi")
     return kept.dropDuplicates([owner, "post", "part"]).select(owner, F.inline("entries"))
 
 
