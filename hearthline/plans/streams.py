@@ -11,8 +11,10 @@ from hearthline.plans import views as v
 from hearthline.plans.chat import CLEAN_SQL
 from hearthline.plans.views import C, check
 from hearthline.session import fresh_dir
+from hearthline.sources.payloads import read_loaded_models, stream_captures
 from hearthline.sources.posts import PostedLists
-from hearthline.sources.probes import stream_files
+from hearthline.sources.probes import read_samples, stream_files
+from hearthline.sources.reports import read_counters
 from hearthline.streaming import health as st
 from hearthline.streaming import run
 
@@ -115,6 +117,37 @@ def stream_registry_sink(spark, sf_dir):
     return lists.read()
 
 
+def _captured(spark, rows, fields, read, label):
+    """Captures land as JSON lines; a stream reads one file per batch, stops, and goes on
+    from its checkpoint with files that have landed since."""
+    landed, base = fresh_dir(spark, "captures"), fresh_dir(spark, label)
+    key = rows.columns[0]
+    lines = rows.select(key, F.to_json(F.struct(*rows.columns)).alias("value"))
+    for turn in range(2):
+        part = lines.where(F.pmod(F.xxhash64(key), F.lit(2)) == turn).select("value")
+        # A damaged line lands with each part.
+        broken = spark.range(1).select(F.lit('{"damaged').alias("value"))
+        part.unionByName(broken).repartition(2).write.mode("append").text(landed)
+        done = run.drain_append(read(stream_captures(spark, landed, fields, files_per_batch=1)), label, base)
+    return done
+
+
+def stream_probe_payloads(spark, sf_dir):
+    rows = v.sample_payloads(spark, sf_dir).withColumn("ts", C("ts").cast("string"))
+    fields = "sample_id bigint, service_id bigint, ts timestamp, payload string"
+    return _naive(_captured(spark, rows, fields, read_samples, "samples"), "ts")
+
+
+def stream_loaded_models(spark, sf_dir):
+    rows = v.loaded_payloads(spark, sf_dir)
+    return _captured(spark, rows, "server bigint, payload string", read_loaded_models, "loaded")
+
+
+def stream_counter_reports(spark, sf_dir):
+    rows = v.counter_reports(spark, sf_dir)
+    return _captured(spark, rows, "report_id bigint, report string", read_counters, "counters")
+
+
 # An append-mode window is emitted once the watermark (newest ts less the delay,
 # cut to its millisecond) has reached its end.
 MARK = f"(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
@@ -159,6 +192,9 @@ QUERIES = {
     "stream_registry_join": (stream_registry_join,
         "SELECT event_id, cast(user_id % 30 AS INT) AS id, n_name AS name, CASE WHEN n_name IS NULL THEN 404"
         " ELSE 200 END AS status FROM events LEFT JOIN nation ON user_id % 30 = n_nationkey"),
+    "stream_probe_payloads": (stream_probe_payloads, health.QUERIES["probe_payload_scan"][1]),
+    "stream_loaded_models": (stream_loaded_models, models.QUERIES["loaded_models_scan"][1]),
+    "stream_counter_reports": (stream_counter_reports, models.QUERIES["counter_report_scan"][1]),
     "stream_strip_thinking": (stream_strip_thinking, check(
         f"SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {CLEAN_SQL} ELSE content END AS content"
         " FROM chat", "chat")),

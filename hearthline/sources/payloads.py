@@ -30,6 +30,30 @@ def read_captures(spark: SparkSession, path: str, per_line: bool = False) -> Dat
     )
 
 
+def stream_captures(
+    spark: SparkSession,
+    path: str,
+    fields: str,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int | None = None,
+) -> DataFrame:
+    """Captured answers and reports as they land: JSON lines with ``fields``, of which
+    one holds the answer as it came.
+
+    A file source keeps its own offsets, splits files over tasks and goes on after a
+    restart where it was; either limit is the rate. The readers of this package turn the
+    answers into rows, in a stream as in a table. A line that is no JSON object, or has
+    none of the fields, gives no row. Files must be moved into ``path`` whole.
+    """
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    opened = reader.text(path).select(F.from_json("value", fields).alias("c")).select("c.*")
+    return opened.dropna("all")
+
+
 def search_array(payload: Column) -> Column:
     """The results of one answer in received order; null where there are none."""
     return F.from_json(payload, SEARCH_SCHEMA)["results"]

@@ -11,10 +11,14 @@ from pyspark.sql import types as T
 from hearthline.session import fresh_dir
 
 
-def drain_append(stream: DataFrame, label: str) -> DataFrame:
-    """Process all landed input, append to a fresh table, return it."""
+def drain_append(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
+    """Process all landed input, append to a table, return it.
+
+    The table is a fresh one, or that below ``base``, where an earlier run of the same
+    stream left off.
+    """
     spark = stream.sparkSession
-    base = fresh_dir(spark, label)
+    base = base or fresh_dir(spark, label)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")

@@ -10,7 +10,8 @@ from compare import spark_table
 from hearthline.operators import health, models
 from hearthline.plans import views
 from hearthline.session import MERGE_SESSIONS
-from hearthline.sources.probes import PROBE_SCHEMA, read_probes, stream_files, stream_probes
+from hearthline.sources.payloads import stream_captures
+from hearthline.sources.probes import PROBE_SCHEMA, read_probes, read_samples, stream_files, stream_probes
 from hearthline.streaming import health as st
 from hearthline.streaming import run
 
@@ -177,3 +178,18 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, landed):
         stored.where(part).coalesce(1).write.mode("append").parquet(source)
         go()
     assert spark_table(spark.read.parquet(f"{base}/table")) == spark_table(stored)
+
+
+def test_captured_lines_of_any_kind(spark):
+    """Damaged and empty lines give no row, damaged answers one like any other; a limit in bytes only cuts batches."""
+    path = folder()
+    lines = ['{"sample_id":1,"service_id":7,"ts":"2024-01-01 00:00:00.123456","payload":"{\\"online\\":true,\\"latencyMs\\":5}"}',
+             "", "broken {", "[1]", "{}", '{"sample_id":2,"payload":"<html>"}', '{"sample_id":3,"service_id":7,"payload":null,"more":[1]}']
+    for line in lines:
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
+    fields = "sample_id bigint, service_id bigint, ts timestamp, payload string"
+    for limit in ({"files_per_batch": 2}, {"bytes_per_batch": 100}, {}):
+        got = run.drain_append(read_samples(stream_captures(spark, path, fields, **limit)), "t-captures").orderBy("sample_id").collect()
+        assert [(r["sample_id"], r["service_id"], r["online"], r["latency_ms"]) for r in got] == [
+            (1, 7, True, 5.0), (2, None, False, None), (3, 7, False, None)]
+        assert got[0]["ts"] == datetime.datetime(2024, 1, 1, 0, 0, 0, 123456)
