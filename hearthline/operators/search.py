@@ -168,6 +168,23 @@ def distinct_engines(results: DataFrame, approximate: bool = False) -> DataFrame
     )
 
 
+def engine_sketches(results: DataFrame) -> DataFrame:
+    """Distinct engines and hosts per category and language as sketches, to be stored and
+    merged; an estimate from them is off by 1.6 % in two of three cases."""
+
+    def sketch(c: Column) -> Column:  # of hashes, as sketches take no empty text
+        return F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)))
+
+    return results.groupBy("category", "language").agg(
+        sketch(F.col("engine")).alias("engines"), sketch(text.url_host(F.col("url"))).alias("hosts")
+    )
+
+
+def merged_engines(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Estimated numbers of distinct engines and hosts per ``keys``."""
+    return sketches.groupBy(*keys).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("engines", "hosts")])
+
+
 def keyword_search(
     queries: DataFrame, docs: DataFrame, k: int = K, list_rows: int = word_index.LIST_ROWS
 ) -> DataFrame:

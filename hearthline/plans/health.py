@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from hearthline.operators import health as h
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
+from hearthline.session import cut_lineage
 from hearthline.sources.probes import read_samples
 
 ASOF = "2024-02-01 00:00:00"
@@ -56,6 +59,27 @@ def health_rollup_daily(spark, sf_dir):
     return rolled.withColumn("day", C("day").cast("timestamp_ntz"))
 
 
+def health_rollup_merged(spark, sf_dir):
+    """Days per service from stored sketches of hours."""
+    stored = cut_lineage(h.health_sketches(v.probes(spark, sf_dir)), "sketches")
+    return h.merged_health(stored).withColumn("day", C("day").cast("timestamp_ntz"))
+
+
+def health_fleet_p95(spark, sf_dir):
+    """Days over all services: whether the estimated percentile has nearly its rank among the samples."""
+    probes = v.probes(spark, sf_dir)
+    stored = cut_lineage(h.health_sketches(probes), "sketches")
+    days = h.merged_health(stored, keys=()).withColumn("day", C("day").cast("timestamp_ntz"))
+    own = probes.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), h.timed_hundredths(C("latency_ms")).alias("at"))
+    estimate = F.round(C("p95_ms") * 100).cast("bigint")
+    ranks = days.join(own, "day").groupBy("day", "samples").agg(
+        F.count_if(C("at") < estimate).alias("below"), F.count_if(C("at") <= estimate).alias("up_to"), F.count("at").alias("n"))
+    # Twice the stated error, so that chance does not decide, and one sample for the step of a rank.
+    off = F.lit(2 * h.RANK_ERROR) * C("n") + 1
+    close = (C("below") <= 0.95 * C("n") + off) & (C("up_to") >= 0.95 * C("n") - off)
+    return ranks.select("day", "samples", close.alias("close"))
+
+
 def health_rollup_totals(spark, sf_dir):
     return h.health_rollup_totals(v.probes(spark, sf_dir))
 
@@ -153,6 +177,12 @@ QUERIES = {
     "wait_until_ready_short": (wait_until_ready(1), check(READY_SQL.format(1), "probes")),
     "health_rollup": (health_rollup, _rollup_sql("hour")),
     "health_rollup_daily": (health_rollup_daily, _rollup_sql("day")),
+    "health_rollup_merged": (health_rollup_merged, check(
+        f"SELECT service_id, cast(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS samples, {UPTIME_SQL} AS uptime,"
+        f" {MEAN_SQL} AS mean_ms, cast(quantile_disc(cast(round(latency_ms * 100) AS BIGINT), 0.95) AS DOUBLE) / 100 AS p95_ms"
+        " FROM probes GROUP BY 1, 2", "probes")),
+    "health_fleet_p95": (health_fleet_p95, check(
+        "SELECT cast(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS samples, true AS close FROM probes GROUP BY 1", "probes")),
     "health_rollup_totals": (health_rollup_totals, check(
         f", banded AS (SELECT *, {BAND_SQL} AS band FROM probes) SELECT service_id, band,"
         f" grouping(service_id, band) AS level, count(*) AS samples, {UPTIME_SQL} AS uptime,"

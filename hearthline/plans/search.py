@@ -9,7 +9,7 @@ from hearthline.operators import search as s
 from hearthline.operators import vectors
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
-from hearthline.session import fresh_dir
+from hearthline.session import cut_lineage, fresh_dir
 from hearthline.sources import payloads, sinks
 
 K = fixed.RESULTS_PER_ANSWER
@@ -126,6 +126,16 @@ def distinct_engines(spark, sf_dir):
     return s.distinct_engines(v.results(spark, sf_dir))
 
 
+def distinct_engines_merged(spark, sf_dir):
+    """Engines and hosts per category from stored sketches per category and language:
+    whether the estimates are within eight hundredths, five times their error."""
+    rows = v.results(spark, sf_dir)
+    stored = cut_lineage(s.engine_sketches(rows), "sketches")
+    exact = rows.groupBy("category").agg(F.count_distinct("engine").alias("e"), F.count_distinct("query_id").alias("h"))
+    both = s.merged_engines(stored, "category").join(exact, "category")
+    return both.select("category", *[(F.abs(C(a) - C(b)) <= C(b) * 0.08).alias(a) for a, b in (("engines", "e"), ("hosts", "h"))])
+
+
 def _docs(spark, sf_dir):
     d = v.table(spark, sf_dir, "documents")
     return d.select(
@@ -231,6 +241,8 @@ QUERIES = {
     "distinct_engines": (distinct_engines, check(
         "SELECT category, language, count(DISTINCT engine) AS engines, count(DISTINCT query_id) AS hosts"
         " FROM results GROUP BY 1, 2", "results")),
+    "distinct_engines_merged": (distinct_engines_merged, check(
+        "SELECT DISTINCT category, true AS engines, true AS hosts FROM results", "results")),
     "keyword_search": (keyword_search,
         "WITH asked AS (SELECT item_id AS query_id, text AS q FROM benchmark), " + SCORED
         + " SELECT query_id, doc_id, score, pos FROM ranked"),

@@ -80,3 +80,30 @@ def test_approximate_forms_come_close(spark, sf_dir):
     close = {tuple(r)[:2]: r["hosts"] for r in s.distinct_engines(results, approximate=True).collect()}
     for row in s.distinct_engines(results).collect():
         assert close[tuple(row)[:2]] == pytest.approx(row["hosts"], abs=2)
+
+
+def test_merged_sketches_keep_their_error(spark):
+    """Hours of a service with many samples, merged to a day and over all services."""
+    df = spark.range(40_000).selectExpr(
+        "id AS sample_id", "id % 2 AS service_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(id % 24 AS int), 0, 0) AS ts",
+        "id % 5 <> 0 AS online", "IF(id % 50 = 0, NULL, (id * 7919 % 10007) / 10) AS latency_ms")
+    stored = h.health_sketches(df)
+    assert stored.count() == 24  # an even hour for one service, an odd one for the other
+    for keys, groups in ((("service_id",), [0, 1]), ((), [None])):
+        rows = h.merged_health(stored, keys=keys).collect()
+        assert len(rows) == len(groups)
+        for row in rows:
+            own = sorted(r["latency_ms"] for r in df.where("latency_ms IS NOT NULL").collect() if not keys or r["service_id"] == row["service_id"])
+            rank = sum(x <= row["p95_ms"] for x in own) / len(own)
+            assert abs(rank - 0.95) <= 2 * h.RANK_ERROR
+            assert abs(row["mean_ms"] - sum(own) / len(own)) < 0.01 and row["uptime"] == 0.8
+
+
+def test_latencies_beyond_the_limit_count_as_the_limit(spark):
+    rows = [(i, 1, datetime.datetime(2024, 1, 1), True, x) for i, x in enumerate([5.0, 1e12, None, -3.0])]
+    df = spark.createDataFrame(rows, "sample_id bigint, service_id bigint, ts timestamp, online boolean, latency_ms double")
+    counted = [r[0] for r in df.select(h.timed_hundredths(df.latency_ms)).collect()]
+    assert sorted(x for x in counted if x is not None) == [0, 500, 300_000]
+    assert h.health_rollup(df).collect()[0]["p95_ms"] <= 3000
+    nothing = h.merged_health(h.health_sketches(df.where("latency_ms IS NULL"))).collect()
+    assert [(r["samples"], r["mean_ms"], r["p95_ms"]) for r in nothing] == [(1, None, None)]
