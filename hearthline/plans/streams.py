@@ -17,10 +17,12 @@ from hearthline.sources.probes import read_samples, stream_files
 from hearthline.sources.reports import read_counters
 from hearthline.streaming import health as st
 from hearthline.streaming import run
+from hearthline.streaming.asof import stream_asof
 
 DELAY = "1 hour"
 GRACE = 6 * 3600
 LANDINGS = 5
+ASOF_DELAY = "2 days"
 
 
 def _events(spark, sf_dir):
@@ -90,6 +92,31 @@ def stream_registry_join(spark, sf_dir):
     return run.drain_append(st.stream_enrich(ids, nations), "enrich")
 
 
+def registry_changes(spark, sf_dir):
+    """Every nation changes its name each third day, from a day of its own on; some are
+    removed in between. The last changes come after all events."""
+    days = F.explode(F.sequence(F.lit(0), F.lit(30))).alias("day")
+    n = C("n_nationkey") + C("day")
+    start = F.timestamp_micros(F.lit(1704067200000000))
+    return v.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", days).where((n % 3 == 0) | (C("day") == 30)).select(
+        C("n_nationkey").cast("int").alias("id"), (start + F.make_dt_interval("day")).alias("ts"),
+        F.when(n % 5 != 0, F.concat("n_name", F.lit(" "), "day")).alias("name"))
+
+
+def stream_registry_asof(spark, sf_dir):
+    """Events meet the name their nation had at their time. Changes land in three files,
+    one per batch, that overlap in time, while all events are there from the first batch on."""
+    landed = fresh_dir(spark, "changes")
+    changes = registry_changes(spark, sf_dir)
+    turn = F.floor((F.dayofmonth("ts") + C("id") % 2) / 11)
+    for i in range(3):
+        turned = turn.isin(2, 3) if i == 2 else turn == i
+        changes.where(turned).coalesce(1).write.mode("append").parquet(landed)
+    ids = _events(spark, sf_dir).select("event_id", (C("user_id") % 30).cast("int").alias("id"), "ts")
+    told = stream_files(spark, landed, changes.schema, files_per_batch=1)
+    return _naive(run.drain_append(stream_asof(ids, told, "id", ["name"], ASOF_DELAY), "asof"), "ts")
+
+
 def stream_strip_thinking(spark, sf_dir):
     chat = v.as_chat(v.stream_of(spark, sf_dir, "conversations"))
     return run.drain_append(st.stream_clean(chat), "clean")
@@ -163,6 +190,16 @@ def _windows_sql(hours: int, slide: int) -> str:
         f" WHERE window_start + INTERVAL {hours} HOUR <= {MARK} GROUP BY 1, 2, 3", "probes")
 
 
+ASOF_SQL = (
+    "WITH changes AS (SELECT CAST(n_nationkey AS INTEGER) AS id, TIMESTAMP '2024-01-01' + to_days(CAST(day AS INTEGER)) AS ts,"
+    " CASE WHEN (n_nationkey + day) % 5 <> 0 THEN n_name || ' ' || day END AS name FROM nation, range(0, 31) r(day)"
+    " WHERE (n_nationkey + day) % 3 = 0 OR day = 30), ids AS (SELECT event_id, CAST(user_id % 30 AS INTEGER) AS id, ts FROM events"
+    " WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events))"
+    " SELECT event_id, i.id, i.ts, c.name, CASE WHEN c.name IS NULL THEN 404 ELSE 200 END AS status"
+    " FROM ids i ASOF LEFT JOIN changes c ON i.id = c.id AND i.ts >= c.ts"
+)
+
+
 CONTAINER_SQL = check(
     f", passed AS (SELECT * FROM probes WHERE ts <= {MARK}),"
     " first AS (SELECT service_id, min(ts) AS first_ts, min(ts) FILTER (online) AS first_ok FROM passed"
@@ -192,6 +229,7 @@ QUERIES = {
     "stream_registry_join": (stream_registry_join,
         "SELECT event_id, cast(user_id % 30 AS INT) AS id, n_name AS name, CASE WHEN n_name IS NULL THEN 404"
         " ELSE 200 END AS status FROM events LEFT JOIN nation ON user_id % 30 = n_nationkey"),
+    "stream_registry_asof": (stream_registry_asof, ASOF_SQL),
     "stream_probe_payloads": (stream_probe_payloads, health.QUERIES["probe_payload_scan"][1]),
     "stream_loaded_models": (stream_loaded_models, models.QUERIES["loaded_models_scan"][1]),
     "stream_counter_reports": (stream_counter_reports, models.QUERIES["counter_report_scan"][1]),

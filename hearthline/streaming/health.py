@@ -100,7 +100,7 @@ class ContainerHealth(StatefulProcessor):
     they are stepped; a key holds those of one delay and one batch at most.
     """
 
-    OUTPUT = "service_id bigint, ts_us bigint, state string"
+    OUTPUT = "service string, ts_us bigint, state string"
     MEMORY = "state string, streak int, first_us bigint, started boolean"
     #: When the key is due: the time of its first waiting sample, in milliseconds.
     DUE = "ms bigint"
@@ -171,7 +171,7 @@ class ContainerHealth(StatefulProcessor):
             self.waiting.clear()
             self.due.clear()
         if changes:
-            yield pd.DataFrame(changes, columns=["service_id", "ts_us", "state"])
+            yield pd.DataFrame(changes, columns=["service", "ts_us", "state"])
 
     def close(self) -> None:
         pass
@@ -188,14 +188,15 @@ def stream_container_health(
     return (
         probes.where(F.col("ts").isNotNull())
         .withWatermark("ts", delay)
-        .select("service_id", "sample_id", "ts", micros(F.col("ts")).alias("ts_us"),
-                F.coalesce("online", F.lit(False)).alias("online"))
-        .groupBy("service_id")
+        # State keeps no key apart that is null, so a missing service goes as empty text.
+        .select(F.coalesce(F.col("service_id").cast("string"), F.lit("")).alias("service"), "sample_id", "ts",
+                micros(F.col("ts")).alias("ts_us"), F.coalesce("online", F.lit(False)).alias("online"))
+        .groupBy("service")
         .transformWithStateInPandas(
             statefulProcessor=ContainerHealth(retries, start_period_seconds),
             outputStructType=ContainerHealth.OUTPUT,
             outputMode="Append",
             timeMode="EventTime",
         )
-        .select("service_id", F.timestamp_micros("ts_us").alias("ts"), "state")
+        .select(F.nullif("service", F.lit("")).cast("bigint").alias("service_id"), F.timestamp_micros("ts_us").alias("ts"), "state")
     )

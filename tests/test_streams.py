@@ -14,6 +14,7 @@ from hearthline.sources.payloads import stream_captures
 from hearthline.sources.probes import PROBE_SCHEMA, read_probes, read_samples, stream_files, stream_probes
 from hearthline.streaming import health as st
 from hearthline.streaming import run
+from hearthline.streaming.asof import stream_asof
 
 
 def folder():
@@ -116,9 +117,10 @@ def test_container_samples_without_time_outcome_or_service(spark):
     rows = [(1, 1, 1, "+"), (2, 1, 2, None), (3, 1, 3, "-"), (4, 1, 4, "-"), (5, 1, None, "+")]
     assert container_changes(spark, [rows]) == [(1, 0, "healthy"), (1, 3, "unhealthy")]
     path = folder()
-    spark.createDataFrame([(1, None, START, True, 1.0)], PROBE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    mixed = [(i, service, START + datetime.timedelta(seconds=i), service is None, 1.0) for i in range(30) for service in (None, 1, 2)]
+    spark.createDataFrame(mixed, PROBE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     out = run.drain_append(st.stream_container_health(stream_probes(spark, path), "0 seconds"), "t-null").collect()
-    assert [(r["service_id"], r["state"]) for r in out] == [(None, "healthy")]
+    assert sorted(((r["service_id"], r["state"]) for r in out), key=repr) == [(1, "unhealthy"), (2, "unhealthy"), (None, "healthy")]
 
 
 def test_late_container_samples_are_dropped(spark):
@@ -193,3 +195,30 @@ def test_captured_lines_of_any_kind(spark):
         assert [(r["sample_id"], r["service_id"], r["online"], r["latency_ms"]) for r in got] == [
             (1, 7, True, 5.0), (2, None, False, None), (3, 7, False, None)]
         assert got[0]["ts"] == datetime.datetime(2024, 1, 1, 0, 0, 0, 123456)
+
+
+@pytest.mark.parametrize("batches", [1, 6])
+def test_rows_meet_the_version_valid_at_their_time(spark, batches):
+    """Rows and changes up to 9 seconds late, in any split into batches, against a plain loop."""
+    rng = random.Random(batches)
+    second = lambda s: START + datetime.timedelta(seconds=s, microseconds=s)
+    rows = [(i, rng.choice([1, 2, 3, None]), rng.randrange(100)) for i in range(200)] + [(200, 1, 130)]
+    changes = [(rng.choice([1, 2, None]), s, rng.choice(["a", "b", "é", None]), rng.choice([None, s])) for s in rng.sample(range(100), 40)] + [(9, 130, "z", 1)]
+    paths = folder(), folder()
+    kinds = "row_id int, id int, ts timestamp", "id int, ts timestamp, name string, size int"
+    late = [[r[-1 if k == 0 else 1] + rng.randrange(10) for r in side] for k, side in enumerate((rows, changes))]
+    for batch in range(batches):
+        for path, kind, side, arrivals in zip(paths, kinds, (rows, changes), late, strict=True):
+            part = [r for r, at in zip(side, arrivals, strict=True) if min(at * batches // 110, batches - 1) == batch]
+            stamped = [(r[0], r[1], second(r[2])) if path == paths[0] else (r[0], second(r[1]), r[2], r[3]) for r in part]
+            spark.createDataFrame(stamped, kind).coalesce(1).write.mode("append").parquet(path)
+    streams = [stream_files(spark, p, k, files_per_batch=1) for p, k in zip(paths, kinds, strict=True)]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    got = run.drain_append(stream_asof(*streams, "id", ["name", "size"], "10 seconds"), "t-asof").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = []
+    for row_id, key, s in rows[:-1]:
+        known = max(((t, name, size) for k, t, name, size in changes if k == key and t <= s), key=lambda c: c[0], default=(0, None, None))
+        gone = known[1] is None and known[2] is None
+        want.append((row_id, key, second(s), None if gone else known[1], None if gone else known[2], 404 if gone else 200))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
