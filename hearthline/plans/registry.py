@@ -11,7 +11,7 @@ from hearthline.operators import graph
 from hearthline.operators import registry as r
 from hearthline.plans import views as v
 from hearthline.plans.views import C, check
-from hearthline.session import fresh_dir
+from hearthline.session import cut_lineage, fresh_dir
 from hearthline.sources import sinks
 from hearthline.sources.posts import PostedLists
 
@@ -187,21 +187,68 @@ def registry_json_body(spark, sf_dir):
     return sinks.registry_json(s, "owner", "id", ["enable"], ["name"], part_rows=10)
 
 
-def dependency_closure(spark, sf_dir):
+def _dependencies(spark, sf_dir) -> DataFrame:
     """Order → customer → nation → region, and supplier → nation."""
     def edges(name: str, a: str, a_key: str, b: str, b_key: str) -> DataFrame:
         return v.table(spark, sf_dir, name).select(
             F.concat(F.lit(a), a_key).alias("svc"), F.concat(F.lit(b), b_key).alias("dep")
         )
 
-    return graph.dependency_closure(reduce(DataFrame.unionByName, [
+    return reduce(DataFrame.unionByName, [
         edges("orders", "order ", "o_orderkey", "customer ", "o_custkey"),
         edges("customer", "customer ", "c_custkey", "nation ", "c_nationkey"),
         edges("supplier", "supplier ", "s_suppkey", "nation ", "s_nationkey"),
         edges("nation", "nation ", "n_nationkey", "region ", "n_regionkey"),
-    ]))
+    ])
+
+
+def _with_cycles(spark, sf_dir) -> DataFrame:
+    """The same, and each region depends on its first nation, which depends on it."""
+    first = v.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n"))
+    back = first.select(F.concat(F.lit("region "), "n_regionkey").alias("svc"), F.concat(F.lit("nation "), "n").alias("dep"))
+    return _dependencies(spark, sf_dir).unionByName(back)
+
+
+def dependency_closure(spark, sf_dir):
+    return graph.dependency_closure(_dependencies(spark, sf_dir))
+
+
+def dependency_cycles(spark, sf_dir):
+    return graph.components(_with_cycles(spark, sf_dir))
+
+
+def dependency_condensed(spark, sf_dir):
+    edges = _with_cycles(spark, sf_dir)
+    return graph.condensed(edges, cut_lineage(graph.components(edges), "members"))
 
 
+def hit_by_outage(spark, sf_dir):
+    """All that stops when regions 1 and 3 do."""
+    failed = v.table(spark, sf_dir, "region").where(C("r_regionkey").isin(1, 3)).select(F.concat(F.lit("region "), "r_regionkey").alias("svc"))
+    return graph.hit_by_outage(_with_cycles(spark, sf_dir), failed)
+
+
+def registry_json_models(spark, sf_dir):
+    """The other document of the setup: lists under a name of their own, without details."""
+    s = v.table(spark, sf_dir, "supplier").select(
+        C("s_nationkey").alias("owner"), C("s_suppkey").alias("id"), F.concat(F.lit("http://host/"), "s_suppkey").alias("url"), (C("s_acctbal") > 0).alias("enable"))
+    return sinks.registry_json(s, "owner", "id", ["enable"], [], part_rows=10, name="models")
+
+
+EDGES_SQL = (
+    "edges AS (SELECT 'order ' || o_orderkey AS svc, 'customer ' || o_custkey AS dep FROM orders"
+    " UNION SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer"
+    " UNION SELECT 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier"
+    " UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation)"
+)
+# The only cycles are those of a region and its first nation, whose name comes first.
+CYCLES_SQL = (
+    "firsts AS (SELECT 'region ' || n_regionkey AS svc, 'nation ' || min(n_nationkey) AS dep FROM nation GROUP BY n_regionkey),"
+    " looped AS (SELECT * FROM edges UNION SELECT * FROM firsts),"
+    " members AS (SELECT svc, coalesce(f.dep, svc) AS component FROM (SELECT svc FROM looped UNION SELECT dep FROM looped) n"
+    " LEFT JOIN firsts f USING (svc))"
+)
+
 QUERIES = {
     "engine_registry_scan": (engine_registry_scan, check(
         "SELECT name, disabled, array_to_string(categories, ',') AS categories FROM engines", "engines")),
@@ -255,12 +302,22 @@ QUERIES = {
         " (s_acctbal > 0) || '},\"info\":{\"id\":' || s_suppkey || ',\"name\":\"' || s_name || '\"}}',"
         " ',' ORDER BY s_suppkey) || ']}' AS body FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n,"
         " row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier) GROUP BY 1, 2"),
+    "registry_json_models": (registry_json_models,
+        "SELECT s_nationkey AS owner, CAST(place // 10 AS INTEGER) AS part, CAST((any_value(n) + 9) // 10 AS INTEGER) AS parts,"
+        " '{\"models\":[' || string_agg('{\"url\":\"http://host/' || s_suppkey || '\",\"config\":{\"enable\":' ||"
+        " (s_acctbal > 0) || '}}', ',' ORDER BY s_suppkey) || ']}' AS body FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n,"
+        " row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier) GROUP BY 1, 2"),
+    "dependency_cycles": (dependency_cycles,
+        f"WITH {EDGES_SQL}, {CYCLES_SQL} SELECT svc, component FROM members"),
+    "dependency_condensed": (dependency_condensed,
+        f"WITH {EDGES_SQL}, {CYCLES_SQL} SELECT DISTINCT a.component AS svc, b.component AS dep FROM looped e JOIN members a USING (svc)"
+        " JOIN members b ON e.dep = b.svc WHERE a.component <> b.component"),
+    "hit_by_outage": (hit_by_outage,
+        f"WITH RECURSIVE {EDGES_SQL}, {CYCLES_SQL}, hit AS (SELECT 'region ' || r_regionkey AS svc, 0 AS depth FROM region"
+        " WHERE r_regionkey IN (1, 3) UNION SELECT e.svc, depth + 1 FROM hit JOIN looped e ON e.dep = hit.svc WHERE depth < 6)"
+        " SELECT svc, min(depth) AS depth FROM hit GROUP BY 1"),
     "dependency_closure": (dependency_closure,
-        "WITH RECURSIVE edges AS (SELECT 'order ' || o_orderkey AS svc, 'customer ' || o_custkey AS dep FROM orders"
-        " UNION SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer"
-        " UNION SELECT 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier"
-        " UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation),"
-        " closure AS (SELECT svc, dep, 1 AS depth FROM edges UNION"
+        f"WITH RECURSIVE {EDGES_SQL}, closure AS (SELECT svc, dep, 1 AS depth FROM edges UNION"
         " SELECT c.svc, e.dep, c.depth + 1 FROM closure c JOIN edges e ON c.dep = e.svc)"
         " SELECT svc, dep, min(depth) AS depth FROM closure GROUP BY 1, 2"),
 }

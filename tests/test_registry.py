@@ -1,6 +1,7 @@
 """Registries, reports, sinks and graphs on hand-made rows."""
 
 import json
+import random
 import tempfile
 
 import pytest
@@ -42,6 +43,45 @@ def test_dependency_closure(spark, edges):
     assert rows(graph.dependency_closure(df)) == closure_by_hand(edges)
 
 
+def reach(pairs):
+    known = {a for p in pairs for a in p}
+    out = {a: {b for x, b in pairs if x == a} for a in known}
+    for _ in known:
+        out = {a: bs | {c for b in bs for c in out[b]} for a, bs in out.items()}
+    return out
+
+
+def test_components_and_outages_of_random_graphs(spark):
+    """Cycles inside cycles, chains between them, loops on one node, and acyclic parts."""
+    rng = random.Random(6)
+    for nodes, n in ((9, 12), (30, 45), (30, 25), (6, 20)):
+        name = lambda i: f"s{i:02}"
+        pairs = {(name(rng.randrange(nodes)), name(rng.randrange(nodes))) for _ in range(n)}
+        df = spark.createDataFrame(sorted(pairs) + sorted(pairs)[:2], "svc string, dep string")
+        to = reach(pairs)
+        want = {a: min([a, *(b for b in to[a] if a in to[b])]) for a in to}
+        members = graph.components(df).cache()
+        assert dict(rows(members)) == want and members.count() == len(want)
+        between = rows(graph.condensed(df, members))
+        assert between == sorted({(want[a], want[b]) for a, b in pairs if want[a] != want[b]})
+        acyclic = reach(between)
+        assert all(a not in bs for a, bs in acyclic.items())
+        failed = [name(0), name(1), "unknown"]
+        depth, last = dict.fromkeys(failed, 0), set(failed)
+        while last:
+            last = {a for a, b in pairs if b in last and a not in depth}
+            depth |= dict.fromkeys(last, max(depth.values()) + 1)
+        hit = graph.hit_by_outage(df, spark.createDataFrame([(f,) for f in failed], "svc string"))
+        assert dict(rows(hit)) == depth
+
+
+def test_graphs_without_edges(spark):
+    nothing = spark.createDataFrame([], "svc string, dep string")
+    assert rows(graph.components(nothing)) == rows(graph.hit_by_outage(nothing, nothing.select("svc"))) == []
+    loose = spark.createDataFrame([("a", None), (None, "b"), ("c", "c")], "svc string, dep string")
+    assert rows(graph.components(loose)) == [("c", "c")]
+
+
 def test_dependency_closure_of_nothing(spark):
     assert rows(graph.dependency_closure(spark.createDataFrame([], "svc string, dep string"))) == []
 
