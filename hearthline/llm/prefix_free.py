@@ -47,7 +47,7 @@ GRAM = 8
 #: One in 2**TRIGGER grams is a trigger.
 TRIGGER = 4
 #: Distinct phrases of one seed that are gathered in one task, some 300 bytes each.
-GROUP = 2000
+GROUP = 500
 #: Bytes of gathered phrases put in order at once.
 BLOCK = 1 << 21
 
