@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import tokens
@@ -164,6 +164,11 @@ def _tilings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def row_key() -> Column:
+    """Names a row by its id and text, so rows that share an id are told apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, row_key, item_id, n_tiles, longest, covered, item_words, coverage of every pair found."""
     spark = docs.sparkSession
@@ -182,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     for row in rows:
         at = (row.bucket - 1) * len(row.bits)
         bitmap[at : at + len(row.bits)] = row.bits
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row_key"), "text")
+    texts = docs.select("doc_id", row_key().alias("row_key"), "text")
     stretches = cut_lineage(
         texts.mapInArrow(_stretches(spark.sparkContext.broadcast(bytes(bitmap))), "doc_id long, row_key long, words array<long>, seeds array<long>"),
         "stretches",

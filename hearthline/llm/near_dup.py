@@ -1,12 +1,22 @@
-"""Near duplicates by minwise nodes and an exact prefix-filter join.
-
-Every distinct set of word shingles joins one node per minwise token. The members of
-a node are first compared with one leader; members of one component need no further
-comparison, so large groups of near copies are never paired in full. Where few members
-lie outside the leader's component, they are compared with the whole node. Members of
-all other nodes go through a prefix-filter join, which loses no pair: sets that are
-linked share one of the rarest quarter of their shingles. Every link is confirmed on
-the full sets; components come from min labels.
+"""Near duplicates by a chosen-path similarity join.
+
+The join grows ``TREES`` independent trees. Below its root a set branches into one node
+per chosen minwise token, ``FAN`` of them per tree. A large node chooses ``BRANCH``
+coordinates of its own, seeded by its path, and its members branch again by the minwise
+tokens they have there, so that sets which are alike stay together and others part.
+Small nodes are compared exhaustively. Pairs are settled where they lie: first by
+sketches, which leaves clusters of sets that may be linked, each handled once whatever
+number of nodes shows it, then on the full sets. Only links leave a task, never more
+than the members of a cluster.
+
+Sets known to be in one component need no comparison. Members of a node are therefore
+compared with one leader first, and a node whose members outside the leader's component
+are few is small too: these are compared with all of its members, in blocks. What is
+still large after ``DEPTH`` levels is compared whole, in pairs of blocks; no member, pair
+or node is dropped for its size.
+
+A pair at the threshold shares a first node but for 0.25 ** 12 = 6e-8. At any depth below,
+one of its nodes is alive in a tree with 0.96 at least, in one of the trees but for 2e-6.
 
 Null or empty text, or text without words: no shingles, a component of its own.
 Repeated rows share a component. A null id never names a component that also has
@@ -19,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import tokens
@@ -27,22 +37,31 @@ from hearthline.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
-#: Nodes of every set. A pair at the threshold shares none with 0.25 ** 16 = 2.3e-10.
-NODES = 16
-#: Members outside their leader's component that are compared with the whole node.
-SMALL = 40
-#: Members of one block of a longer list; every pair of blocks is one group of rows.
-BLOCK = 1000
+#: Independent trees, and nodes of a set below each root.
+TREES = 4
+FAN = 3
+NODES = TREES * FAN
+#: Coordinates a large node chooses, out of ``COORDINATES`` minwise tokens of a set.
+BRANCH = 2
+COORDINATES = 64
+DEPTH = 8
+#: Members of a node that are compared with each other; of larger ones, members outside the leader's component.
+SMALL = 2000
+#: Members of a node up to which it is known, before the leaders are compared, who may be linked.
+FEW = 40
+#: Members of one block of a node with more than ``SMALL``.
+BLOCK = 2000
+#: Shingles of one block of a cluster; every pair of blocks is compared in a task of its own.
+HELD = 1 << 21
 #: Minwise tokens per set; each gives a bit of the sketch, the first also name nodes.
 TOKENS = 128
 #: Of 128 bits a pair at the threshold differs in 16 on average; 40 is 6.4 deviations more.
 BITS_APART = 40
-#: Counters of shingles by hash; their order only decides which shingles count as rare.
-COUNTERS = 1 << 18
 
 _PATHS = TOKENS // 2
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, _PATHS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HALF = np.uint64(32)
+_CHOICES = np.random.default_rng(11).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -101,6 +120,7 @@ def _features(width: int):
                     [
                         own.column("doc_id"),
                         own.column("row_key"),
+                        own.column("text_key"),
                         pa.array(sizes, pa.int64()),
                         pa.array(tokens.signed(names), pa.int64(), mask=sizes == 0),
                         pa.array(tokens.signed(bits[0])),
@@ -109,7 +129,7 @@ def _features(width: int):
                             pa.binary(NODES * 4), last - first, [None, pa.py_buffer(paths.tobytes())]
                         ).cast(pa.binary()),
                     ],
-                    names=["doc_id", "row_key", "n_shingles", "sid", "bits_a", "bits_b", "paths"],
+                    names=["doc_id", "row_key", "text_key", "n_shingles", "sid", "bits_a", "bits_b", "paths"],
                 )
 
     return run
@@ -237,12 +257,17 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(known.union(joined.join(labels.select("sid"), "sid", "left_anti").select("sid", "label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row per row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row_key"), "text")
+def classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, n_shingles, group, component_id, one row per row of ``docs`` (doc_id, text).
+
+    ``text_key`` is the hash of the text; ``group`` names the component, whatever the ids,
+    and is null without shingles.
+    """
+    texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row_key"), F.xxhash64("text").alias("text_key"), "text")
     features = cut_lineage(
-        texts.mapInArrow(_features(width), "doc_id long, row_key long, n_shingles long, sid long, bits_a long, bits_b long, paths binary"),
+        texts.mapInArrow(
+            _features(width), "doc_id long, row_key long, text_key long, n_shingles long, sid long, bits_a long, bits_b long, paths binary"
+        ),
         "features",
     )
     sets_of = cut_lineage(
@@ -264,109 +289,42 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         .select(F.col("lead.sid").alias("a"), F.col("m.sid").alias("b")).distinct()
     )
     labels = _components(_confirmed(cut_lineage(star, "pairs"), shingles))
-    found, many = _open_nodes(led, labels)
-    labels = _merged(labels, _confirmed(cut_lineage(found, "pairs"), shingles))
-    many = cut_lineage(many, "many")
-    if not many.isEmpty():
-        labels = _merged(labels, _confirmed(cut_lineage(_prefix_pairs(many, shingles, labels), "pairs"), shingles))
+    labels = _merged(labels, _tree_links(led, labels, shingles))
     linked = labels.join(sets_of.select("sid", "first_id"), "sid")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    in_group = linked.join(least, "label").select("sid", "component_id")
+    in_group = linked.join(least, "label").select("sid", "label", "component_id")
     of_set = sets_of.select("sid", "first_id").join(in_group, "sid", "left").select(
-        "sid", F.coalesce("component_id", "first_id").alias("component_id")
+        "sid", F.coalesce("label", "sid").alias("group"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    return features.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left").select(
+    return features.select("doc_id", "text_key", "n_shingles", "sid").join(of_set, "sid", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
+        "group",
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall to each counter, per task."""
-    counts = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        counts += np.bincount(_counter(batch.column("shingles").flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["counter", "n"])
-
-
-def _counter(shingles: np.ndarray) -> np.ndarray:
-    return (tokens.mix(shingles) % np.uint64(COUNTERS)).astype(np.int64)
-
+    )
 
-def _prefixes(shingles: DataFrame) -> DataFrame:
-    """(node, sid): the rarest shingles of every set, as many as a linked set cannot do without."""
-    rarity = np.zeros(COUNTERS, np.int64)
-    counted = shingles.select("shingles").mapInArrow(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    rarity[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
-    shared = shingles.sparkSession.sparkContext.broadcast(rarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
-        for batch in batches:
-            lists = batch.column("shingles")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            joined = lists.flatten().to_numpy()
-            of_set = np.repeat(np.arange(sizes.size), sizes)
-            order = np.lexsort((joined, rarity[_counter(joined.view(np.uint64))], of_set))
-            place = np.arange(joined.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            # Of n shingles a linked set shares ceil(n * PERCENT / 100) at least.
-            first = place < (sizes + (-sizes * PERCENT) // 100 + 1)[of_set]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(joined[order][first]), batch.column("sid").take(pa.array(of_set[first]))], names=["node", "sid"]
-            )
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, one row per row of ``docs`` (doc_id, text)."""
+    found = classes(docs, width).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    return shingles.mapInArrow(run, "node long, sid long")
 
+def representatives(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, copies: the row that stays of every component with shingles.
 
-def _prefix_pairs(many: DataFrame, shingles: DataFrame, labels: DataFrame) -> DataFrame:
-    """All plausible pairs among ``many`` that are not in one component and may be linked."""
-    members = cut_lineage(_with_label(many, labels, "sid", "label"), "members")
-    rows = cut_lineage(_prefixes(shingles).join(members.select("sid", "label"), "sid"), "prefixes")
-    lists = (
-        rows.groupBy("node").agg(
-            F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.bit_xor(F.xxhash64("sid")).alias("who"), F.sum(F.hash("sid").cast("long")).alias("whose"),
-        ).where("low < high")
-        # Lists of the same members need one comparison.
-        .groupBy("members", "low", "high", "who", "whose").agg(F.min("node").alias("node")).select("node", "members")
-    )
-    mixed = cut_lineage(rows.select("node", "sid").join(lists, "node").join(members, "sid"), "mixed")
-    a, b = (mixed.where(F.col("members") <= SMALL).alias(x) for x in "ab")
-    short = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b"))
-    return short.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).union(_block_pairs(mixed.where(F.col("members") > SMALL))).distinct()
-
-
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Plausible pairs of long lists: each pair of blocks is a group of its own, so no list lies in one task."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    own = rows.withColumn("own", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    placed = own.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "label", "n_shingles", "bits_a", "bits_b")
-
-    def compare(table: pa.Table) -> pa.Table:
-        own, sid, label, size, bits_a, bits_b = (table.column(c).to_numpy() for c in ("own", "sid", "label", "n_shingles", "bits_a", "bits_b"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = [np.zeros((2, 0), np.int64)]
-        for k in left:
-            apart = np.bitwise_count((bits_a[k] ^ bits_a[right]).view(np.uint64)) + np.bitwise_count((bits_b[k] ^ bits_b[right]).view(np.uint64))
-            good = (apart <= BITS_APART) & (label[right] != label[k])
-            good &= np.minimum(size[right], size[k]) * 100 >= np.maximum(size[right], size[k]) * PERCENT
-            if i == j:
-                good &= sid[right] > sid[k]
-            hit = sid[right[good]]
-            if hit.size:
-                found.append(np.stack([np.minimum(hit, sid[k]), np.maximum(hit, sid[k])]))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": a, "b": b})
-
-    return placed.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
+    It is the one with the smallest id, then the smallest hash of the text; rows without
+    an id come last. ``copies`` counts the rows with this very id and text.
+    """
+    of_row = classes(docs, width).where("group is not null").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    best = F.min_by(F.struct("doc_id", "text_key", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")
+    return of_row.groupBy("group").agg(best).select("best.*")
 
 
 def _with_prospects(members: DataFrame) -> DataFrame:
-    """Sets that a link is possible for."""
-    small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
+    """Sets that a link is possible for, and all members of nodes with more than ``FEW``."""
+    small, large = members.where(F.col("members") <= FEW), members.where(F.col("members") > FEW)
     a, b = small.alias("a"), small.alias("b")
     near = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") != F.col("b.sid")) & _plausible("a", "b"), "left_semi")
     return near.select("sid").union(large.select("sid")).distinct()
@@ -379,20 +337,233 @@ def _with_label(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataF
     return joined.withColumn(name, F.coalesce("so_far", of)).drop("labelled", "so_far")
 
 
-def _open_nodes(led: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to confirm, and the members of all other nodes, each once.
+def _tree_links(led: DataFrame, labels: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links between components so far, from all nodes of all trees."""
+    rows = _with_label(led.select("node", "sid", "n_shingles", "bits_a", "bits_b"), labels, "sid", "label")
+    found, coordinates = [], None
+    for depth in range(1, DEPTH + 1):
+        mixed = _mixed(rows)
+        small, large = mixed.where(F.col("members") <= SMALL), mixed.where(F.col("members") > SMALL)
+        found.append(_clusters(_placed(small, F.lit(0), F.array(F.lit(0)))))
+        if large.isEmpty():
+            break
+        outside = large.groupBy("node").agg(F.count_if(F.col("label") != F.col("lead")).alias("outside"))
+        large = large.join(outside, "node")
+        found.append(_clusters(_beside_leader(large.where(F.col("outside") <= SMALL))))
+        large = large.where(F.col("outside") > SMALL)
+        if depth == DEPTH:
+            found.append(_clusters(_block_pairs(large, F.ceil(F.col("members") / BLOCK).cast("int"))))
+            break
+        if coordinates is None:
+            coordinates = cut_lineage(shingles.join(large.select("sid").distinct(), "sid", "left_semi").mapInArrow(_coordinates, "sid long, least binary"), "coordinates")
+        rows = _branches(large.drop("members", "lead", "outside").join(coordinates, "sid"))
+    clusters = found[0]
+    for further in found[1:]:
+        clusters = clusters.union(further)
+    return _settled(cut_lineage(clusters.distinct(), "clusters"), shingles)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Members of nodes with several components, the number of members and the leader's component."""
+    of_node = rows.groupBy("node").agg(
+        F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.max_by("label", F.xxhash64("node", "sid")).alias("lead"),
+    ).where("low < high").drop("low", "high")
+    return cut_lineage(rows.join(of_node, "node"), "mixed")
+
+
+def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minwise tokens that large nodes choose from."""
+    for batch in batches:
+        lists = batch.column("shingles")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not sizes.size:
+            continue
+        joined, at = lists.flatten().to_numpy().view(np.uint64), np.cumsum(sizes) - sizes
+        least = np.zeros((sizes.size, COORDINATES), np.uint32)
+        for i in range(COORDINATES):
+            scrambled = joined * _CHOICES[i]
+            scrambled ^= scrambled >> _HALF
+            scrambled *= np.uint64(0x94D049BB133111EB)
+            least[:, i] = np.minimum.reduceat((scrambled >> _HALF).astype(np.uint32), at)
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES * 4), sizes.size, [None, pa.py_buffer(least.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), packed.cast(pa.binary())], names=["sid", "least"])
+
+
+def _branches(rows: DataFrame) -> DataFrame:
+    """Every row once per coordinate that its node chooses, in the node named by path and token."""
+    carried = ("sid", "n_shingles", "bits_a", "bits_b", "label")
 
-    Members outside the component of their leader are open. Where few are, they are
-    compared with the whole node; members of one component need no comparison.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy().view(np.uint64)
+            least = np.frombuffer(b"".join(batch.column("least").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            first = tokens.mix(node ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(COORDINATES)
+            step = tokens.mix(node + np.uint64(0x14057B7EF767814F)) % np.uint64(COORDINATES // BRANCH)
+            for k in range(BRANCH):
+                # Steps below COORDINATES / BRANCH, plus one, keep the choices of a node apart.
+                at = (first + np.uint64(k) * (step + np.uint64(1))) % np.uint64(COORDINATES)
+                token = least[np.arange(at.size), at.astype(np.int64)].astype(np.uint64)
+                child = tokens.mix(tokens.mix(node + np.uint64(k + 1)) ^ token)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens.signed(child)), *(batch.column(c) for c in carried)], names=["node", *carried]
+                )
+
+    return rows.mapInArrow(run, "node long, sid long, n_shingles long, bits_a long, bits_b long, label long")
+
+
+def _placed(rows: DataFrame, own: Column, others: Column) -> DataFrame:
+    """Members in the groups that compare block ``own`` with each of ``others``."""
+    at = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(others.cast("array<int>")))
+    return at.select("node", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), "own", "sid", "label", "n_shingles", "bits_a", "bits_b")
+
+
+def _beside_leader(rows: DataFrame) -> DataFrame:
+    """Members outside the leader's component, block -1, against each other and all blocks of the component."""
+    inside = F.col("label") == F.col("lead")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.when(inside, F.pmod(F.xxhash64("sid"), blocks)).otherwise(-1)
+    return _placed(rows, own, F.when(inside, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(-1), blocks - 1)))
+
+
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    return _placed(rows, F.pmod(F.xxhash64("sid"), blocks), F.sequence(F.lit(0), blocks - 1))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups, and the first row of each; rows of a group come one after the other."""
+    held: list[pa.RecordBatch] = []
+    begins: list[np.ndarray] = []
+    rows, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        new[0] = tuple(c[0] for c in columns) != last
+        last = tuple(c[-1] for c in columns)
+        starts = np.flatnonzero(new)
+        if not starts.size:
+            held.append(batch)
+            rows += batch.num_rows
+            continue
+        cut = int(starts[-1])
+        if rows + cut:
+            yield _joined([*held, batch.slice(0, cut)]), np.concatenate([*begins, rows + starts[:-1]])
+        held, begins, rows = [batch.slice(cut)], [np.zeros(1, np.int64)], batch.num_rows - cut
+    if held:
+        yield _joined(held), np.concatenate(begins)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches([b for b in batches if b.num_rows])
+
+
+def _united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after joining a[k] with b[k]; the root of a component is its smallest row."""
+    while True:
+        one, two = parent[a], parent[b]
+        apart = one != two
+        if not apart.any():
+            return parent
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(parent, np.maximum(one, two), np.minimum(one, two))
+        while True:
+            further = parent[parent]
+            if np.array_equal(further, parent):
+                break
+            parent = further
+
+
+def _clusters(placed: DataFrame) -> DataFrame:
+    """(cluster, sid, label, n_shingles): sets of a group that neither sizes nor sketches keep apart.
+
+    Clusters of the same members have the same name, so those of many nodes are one.
     """
-    flat = led.select("node", "sid", "n_shingles", "bits_a", "bits_b", F.col("lead.sid").alias("lead_sid"))
-    marked = _with_label(_with_label(flat, labels, "sid", "label"), labels, "lead_sid", "lead_label")
-    marked = marked.withColumn("open", F.col("label") != F.col("lead_label"))
-    opens = marked.groupBy("node").agg(F.count_if("open").alias("opens")).where("opens > 0")
-    marked = cut_lineage(marked.join(opens, "node"), "marked")
-    few, many = marked.where(F.col("opens") <= SMALL), marked.where(F.col("opens") > SMALL)
-    a, b = few.where("open").alias("a"), few.alias("b")
-    found = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _plausible("a", "b")).select(
-        F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")
-    )
-    return found.distinct(), many.select("sid", "n_shingles", "bits_a", "bits_b").distinct()
+    names = ["cluster", "sid", "label", "n_shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, ("node", "i", "j")):
+            i, j, own, sid, label, size, bits_a, bits_b = (
+                batch.column(c).to_numpy() for c in ("i", "j", "own", "sid", "label", "n_shingles", "bits_a", "bits_b")
+            )
+            end = np.repeat(np.append(starts[1:], sid.size), np.diff(np.append(starts, sid.size)))
+            parent, left, step = np.arange(sid.size), np.arange(sid.size), 0
+            while left.size:
+                step += 1
+                left = left[left + step < end[left]]
+                right = left + step
+                good = (label[left] != label[right]) & ((i[left] == j[left]) | (own[left] != own[right]))
+                a, b = left[good], right[good]
+                a_size, b_size = size[a], size[b]
+                alike = np.minimum(a_size, b_size) * 100 >= np.maximum(a_size, b_size) * PERCENT
+                a, b = a[alike], b[alike]
+                apart = np.bitwise_count((bits_a[a] ^ bits_a[b]).view(np.uint64)) + np.bitwise_count((bits_b[a] ^ bits_b[b]).view(np.uint64))
+                near = apart <= BITS_APART
+                parent = _united(parent, a[near], b[near])
+            many = np.bincount(parent, minlength=parent.size)
+            picked = np.flatnonzero(many[parent] > 1)
+            if not picked.size:
+                continue
+            named = np.zeros(parent.size, np.uint64)
+            np.add.at(named, parent[picked], tokens.mix(sid[picked].view(np.uint64)))
+            cluster = tokens.mix(named + many.astype(np.uint64))[parent[picked]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens.signed(cluster), sid[picked], label[picked], size[picked])], names=names)
+
+    dealt = placed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return dealt.mapInArrow(run, "cluster long, sid long, label long, n_shingles long")
+
+
+def _settled(clusters: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b): links of the clusters on the full sets, as many as join what they join."""
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("blocks"))
+    own = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    at = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = at.select("cluster", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), "own", "sid", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, ("cluster", "i", "j")):
+            found = [np.zeros((2, 0), np.int64)]
+            ends = np.append(starts[1:], batch.num_rows)
+            for start, end in zip(starts.tolist(), ends.tolist()):
+                found += _links_of(batch.slice(start, end - start))
+            a, b = np.concatenate(found, axis=1)
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = placed.join(shingles, "sid").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return cut_lineage(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
+
+
+def _links_of(group: pa.RecordBatch) -> list[np.ndarray]:
+    """Pairs of the group that are linked, at most one fewer than its members."""
+    sid, own = group.column("sid").to_numpy(), group.column("own").to_numpy()
+    within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    lists = group.column("shingles")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.append(0, np.cumsum(sizes))
+    _, joined = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    _, part = np.unique(group.column("label").to_numpy(), return_inverse=True)
+    held, found = np.zeros(joined.max() + 1, np.int32), []
+    for k in range(sid.size - 1):
+        rest = np.arange(k + 1, sid.size)
+        open_ = (part[rest] != part[k]) & (np.minimum(sizes[rest], sizes[k]) * 100 >= np.maximum(sizes[rest], sizes[k]) * PERCENT)
+        if not within:
+            open_ &= own[rest] != own[k]
+        rest = rest[open_]
+        if not rest.size:
+            continue
+        mine = joined[offsets[k] : offsets[k + 1]]
+        held[mine] = 1
+        first = rest[0]
+        common = np.add.reduceat(held[joined[offsets[first] :]], offsets[first:-1] - offsets[first])[rest - first]
+        held[mine] = 0
+        for at in rest[common * 100 >= (sizes[rest] + sizes[k] - common) * PERCENT]:
+            if part[at] != part[k]:
+                part[part == part[at]] = part[k]
+                found.append(np.array([[sid[k]], [sid[at]]]))
+    return found
