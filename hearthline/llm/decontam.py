@@ -9,12 +9,13 @@ found by Karp-Rabin hashes, and the share of the item that ends up covered decid
 so the order of the passages does not matter.
 
 Null, empty and short texts match nothing. Items of fewer than SEED words are no
-evidence and never match. Repeated item ids and repeated text ids are each taken as
-one, with all their words. Further columns are ignored.
+evidence and never match. Repeated rows are taken as one; of rows that share id and text or item id, the one that covers most counts.
+Rows are told apart by id and text. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,9 @@ FILTER_BITS = 24
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+#: Odd base of the window hashes, and its inverse modulo 2 ** 64.
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
 
 def _scan(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -99,52 +103,74 @@ def _joined(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.concatenate(parts[:-1])
 
 
-def _hashes(words: np.ndarray, free: np.ndarray, width: int) -> dict[int, list[int]]:
-    """Karp-Rabin hashes of the windows without a marked word, with their starts."""
-    if words.size < width:
-        return {}
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(width - 1, 0x5851F42D4C957F2D, np.uint64)]))
-    rolled = np.zeros(words.size - width + 1, np.uint64)
-    for k in range(width):
-        rolled += words[k : words.size - width + 1 + k] * powers[k]
-    busy = np.concatenate([[0], np.cumsum(~free)])
-    found: dict[int, list[int]] = {}
-    for i in np.flatnonzero(busy[width:] == busy[: words.size - width + 1]).tolist():
-        found.setdefault(int(rolled[i]), []).append(i)
-    return found
+class _Line:
+    """Words with Karp-Rabin hashes of all windows of any width, from prefix sums."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray):
+        self.words, self.free = words, free
+        self.sums = np.zeros(words.size + 1, np.uint64)
+        self.back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(words.size, _BACK, np.uint64)]))
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(words.size, _BASE, np.uint64)]))
+        np.cumsum(words * powers[:-1], out=self.sums[1:])
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows without a marked word, and their hashes."""
+        count = self.words.size - width + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        starts = np.flatnonzero(marked[width:] == marked[:count])
+        return starts, (self.sums[starts + width] - self.sums[starts]) * self.back[starts]
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """(start in the text, start in the item, length) of the greedy tiling."""
+    """(start in the text, start in the item, length) of the greedy tiling; a word 0 of the text matches nothing.
+
+    Each round finds the greatest width with a common unmarked window, by halving, and
+    marks its matches by start in the text, then in the item. No match of this width is
+    left then, so widths fall, and what a longer match cut is found at its new width.
+    """
     text, item = text.astype(np.uint64), item.astype(np.uint64)
-    free_text, free_item = text != 0, np.ones(item.size, bool)
+    of_text, of_item = _Line(text, text != 0), _Line(item, np.ones(item.size, bool))
     marked: list[tuple[int, int, int]] = []
-    width = max(item.size, least)
-    while width >= least:
-        index = _hashes(text, free_text, width)
-        found = []
-        for code, starts in _hashes(item, free_item, width).items() if index else ():
-            for j in starts:
-                for i in index.get(code, ()):
-                    size = 0
-                    while (
-                        i + size < text.size and j + size < item.size and text[i + size] == item[j + size]
-                        and free_text[i + size] and free_item[j + size]
-                    ):
-                        size += 1
-                    if size >= width:
-                        found.append((size, i, j))
-        for size, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_text[i : i + size].all() and free_item[j : j + size].all():
-                free_text[i : i + size] = free_item[j : j + size] = False
-                marked.append((i, j, size))
-        # A match cut short by a longer one is still found at a smaller width.
-        width = max(width // 2, least) if width > least else (0 if not found else least)
-        if width == least and found and not (free_item.sum() >= least):
+    most = min(text.size, item.size)
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            width = (low + high + 1) // 2
+            if np.isin(of_text.windows(width)[1], of_item.windows(width)[1]).any():
+                low = width
+            else:
+                high = width - 1
+        if low < least:
             break
+        marked += _marked(of_text, of_item, low)
+        most = low - 1
     return marked
 
 
+def _marked(text: _Line, item: _Line, width: int) -> list[tuple[int, int, int]]:
+    """Marks the matches of ``width`` that do not overlap, the first in the text with the first in the item."""
+    starts, hashes = text.windows(width)
+    of_item: dict[int, collections.deque[int]] = {}
+    for j, code in zip(*(x.tolist() for x in item.windows(width)), strict=True):
+        of_item.setdefault(code, collections.deque()).append(j)
+    common = np.isin(hashes, np.fromiter(of_item, np.uint64, len(of_item)))
+    done, end = [], 0
+    for i, code in zip(starts[common].tolist(), hashes[common].tolist(), strict=True):
+        if i < end:
+            continue
+        places = of_item[code]
+        # Tiles of this round are as wide as the window, so one that overlaps it holds an end of it.
+        while places and not (item.free[places[0]] and item.free[places[0] + width - 1]):
+            places.popleft()
+        if places and np.array_equal(text.words[i : i + width], item.words[places[0] : places[0] + width]):
+            j, end = places.popleft(), i + width
+            text.free[i:end] = item.free[j : j + width] = False
+            done.append((i, j, width))
+    return done
+
+
 def _tilings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, longest, covered = [], [], []
