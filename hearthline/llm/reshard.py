@@ -6,10 +6,10 @@ shard is a line of rows in hash order, cut where the flow ends, so a transfer is
 range of hashes and the rows need no join to find their shard. Only shards that gain
 or lose rows are written anew.
 
-A row's size is its text's UTF-8 bytes plus 8; a null text has none. Rows with equal
-id and text share a hash and stay together; null ids are spread by their text.
-Further columns of the input are carried into the files, so none may be named
-shard, slot, size, old_shard, order_key, block or part.
+A row's size is its text's UTF-8 bytes plus 8; a null text has none. Repeated rows
+are numbered, so each has a hash of its own and any number of them can be parted; null
+ids are spread by their text. Further columns of the input are carried into the files,
+whatever their names, but for those named shard or slot, which give way.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.session import fresh_dir
+from hearthline.session import cut_lineage, fresh_dir
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
@@ -29,6 +29,8 @@ NEW_SHARDS = 24
 BLOCK_BITS = 10
 #: Text bytes per written file.
 FILE_BYTES = 128 << 20
+#: Copies of a row that one task makes.
+CHUNK = 10000
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost) -> list[list[int]]:
@@ -95,12 +97,36 @@ class Plan:
         return [j for j in range(new) if gains[j] or loses[j]]
 
 
+def _order_key(number: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("name", number), 1)
+
+
 def placed(docs: DataFrame, old_shards: int = OLD_SHARDS) -> DataFrame:
-    """``docs`` with size, old_shard, and the row's place in it (order_key, block)."""
-    key = F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    return docs.withColumns(
-        {"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), "order_key": F.shiftrightunsigned(key, 1), "old_shard": F.pmod(key, F.lit(old_shards)).cast("int")}
-    ).withColumn("block", F.shiftright("order_key", 63 - BLOCK_BITS).cast("int"))
+    """Rows of ``docs`` as a column ``doc``, with size, old_shard, and the place in it (order_key, block).
+
+    Rows that share id and text are gathered by content, with their number in the map
+    tasks already, and numbered. Without such rows nothing but the keys is shuffled.
+    """
+    name = F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    rows = docs.select(F.struct(*(c for c in docs.columns if c not in ("shard", "slot"))).alias("doc"), name.alias("name"))
+    ties = cut_lineage(rows.groupBy("name").count().where("count > 1").select("name"), "ties")
+    zero = F.lit(0).cast("long")
+    if ties.isEmpty():
+        rows = rows.select("doc", _order_key(zero).alias("order_key"))
+    else:
+        again = rows.join(ties, "name", "left_semi").groupBy("doc", "name").agg(F.count("*").alias("copies"))
+        # Numbers in two steps, so that the copies of a frequent row are made in many tasks.
+        dealt = again.withColumn("first", F.explode(F.sequence(zero, F.col("copies") - 1, F.lit(CHUNK).cast("long")))).repartition("name", "first")
+        numbered = dealt.withColumn("number", F.explode(F.sequence("first", F.least(F.col("first") + CHUNK, "copies") - 1)))
+        numbered = cut_lineage(numbered.select("doc", _order_key(F.col("number")).alias("order_key")), "numbered")
+        rows = rows.join(ties, "name", "left_anti").select("doc", _order_key(zero).alias("order_key")).union(numbered)
+    return rows.withColumns(
+        {
+            "size": (F.coalesce(F.octet_length("doc.text"), F.lit(0)) + 8).cast("long"),
+            "old_shard": F.pmod("order_key", F.lit(old_shards)).cast("int"),
+            "block": F.shiftright("order_key", 63 - BLOCK_BITS).cast("int"),
+        }
+    )
 
 
 def plan(rows: DataFrame, old_shards: int, new_shards: int) -> Plan:
@@ -157,7 +183,7 @@ def assigned(rows: DataFrame, moves: Plan) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(offsets, "shard int, old_shard int, block int, before long"))
     files = max(1, math.ceil(moves.total / max(len(filled), 1) / FILE_BYTES))
     part = F.col("shard") * files + F.pmod("block", F.lit(files))
-    line = Window.partitionBy("part", "shard", "old_shard", "block").orderBy("order_key", F.col("doc_id"))
+    line = Window.partitionBy("part", "shard", "old_shard", "block").orderBy("order_key", "doc.doc_id")
     return (
         rows.join(table, ["shard", "old_shard", "block"]).withColumn("part", part)
         .repartition(max(1, len(filled) * files), "part")
@@ -171,10 +197,10 @@ def reshard(docs: DataFrame, path: str | None = None, old_shards: int = OLD_SHAR
     rows = placed(docs, old_shards)
     moves = plan(rows, old_shards, new_shards)
     if not moves.total:
-        return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).limit(0)
+        return docs.drop("shard", "slot").withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).limit(0)
     path = path or fresh_dir(spark, "shards")
-    columns = [*docs.columns, "slot", "shard"]
-    whole = assigned(rows, moves).select(*columns)
+    columns = [*(c for c in docs.columns if c not in ("shard", "slot")), "slot", "shard"]
+    whole = assigned(rows, moves).select("doc.*", "slot", "shard")
     affected = moves.affected
     whole.where(F.col("shard").isin(affected)).write.partitionBy("shard").parquet(path)
     written = spark.read.schema(whole.schema).parquet(path).select(*columns)
