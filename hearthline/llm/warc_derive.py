@@ -2,7 +2,8 @@
 
 Both records refer to the response by its record id and keep its target, date,
 source headers and digests; the metadata record lists title and links, the
-conversion record holds the text. Identifiers follow from the response's id, so a
+conversion record holds the text. Links are those of anchors, in double, single or
+no quotes. Identifiers follow from the response's id, so a
 repeated run or a lost executor gives the same records.
 
 A null payload is empty; null headers, digests, dates and targets are left out. A
@@ -19,7 +20,13 @@ DATE = "1970-01-01T00:00:00Z"
 #: The version line, line ends and record end of the format.
 VERSION, EOL, RECORD_END = "WARC/1.1", "\r\n", "\r\n\r\n"
 
-_HIDDEN = "(?is)<!--.*?-->|<(script|style|noscript|template|head)\\b[^>]*>.*?</\\1\\s*>"
+# Comments, scripts and styles that are never closed reach to the end, so each is read once.
+_HIDDEN = (
+    "(?is)<!--.*?(?:-->|\\z)|<(script|style)\\b[^>]*(?:>.*?(?:</\\1\\s*>|\\z)|\\z)"
+    "|<(noscript|template|head)\\b[^>]*>.*?</\\2\\s*>"
+)
+#: The value of an anchor's own href, with its quotes if it has some.
+_HREF = "(?i)<a\\s(?:[^<>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'<>]+)"
 _BLOCK = "(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|body|html|blockquote|pre|hr|form)\\b[^>]*>"
 _TAG = "<[a-zA-Z/!?][^>]*>"
 #: Named characters, the ampersand last.
@@ -46,7 +53,8 @@ def _numeric(text: Column) -> Column:
         code = F.regexp_extract(piece, "^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
         number = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
         valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        # An ampersand takes its named form, which is decoded last and once.
+        char = F.when(number == 38, "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         return F.when(valid, F.concat(char, F.substr(piece, F.char_length(code) + 2))).otherwise(F.concat(F.lit("&#"), piece))
 
     def whole(bound: Column) -> Column:
@@ -92,7 +100,10 @@ def _field(name: str, value: Column) -> Column:
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response (record_id, target_uri, date, http_header, payload, payload_digest, block_digest)."""
     payload = F.coalesce("payload", F.lit(""))
-    links = F.regexp_extract_all(payload, F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    quoted = lambda x: x.startswith('"') | x.startswith("'")
+    links = F.transform(
+        F.regexp_extract_all(payload, F.lit(_HREF), F.lit(1)), lambda x: F.when(quoted(x), F.substr(x, F.lit(2), F.char_length(x) - 2)).otherwise(x)
+    )
     title = F.regexp_replace(F.regexp_extract(payload, "(?is)<title[^>]*>(.*?)</title", 1), "\\s+", " ")
     headers = F.filter(F.split(F.coalesce("http_header", F.lit("")), EOL), lambda x: x != "")
     lines = lambda name, items: F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"{name}: "), x, F.lit(EOL))), "")
