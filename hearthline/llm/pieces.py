@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from hearthline.llm import tokens
 
-#: Bytes of text whose units are looked up together.
-BATCH = 1 << 22
+#: Bytes of text whose units are looked up together; a task needs some 60 times as much memory.
+BATCH = 1 << 19
 #: Units whose ids a task keeps; it starts afresh above that.
 KEPT_UNITS = 1 << 19
 #: Units above this many bytes are relaxed with a queue each instead of side by side.
@@ -55,6 +56,14 @@ class Vocabulary:
     def width(self) -> int:
         return self.names.dtype.itemsize
 
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of all pieces; numbers of the short ones, and the least and greatest eight bytes that begin with each."""
+        sizes = np.char.str_len(self.names)
+        short = np.flatnonzero(sizes <= 8)
+        low, high = (np.frombuffer(b"".join(x.ljust(8, end) for x in self.names[short].tolist()), ">u8").astype(np.uint64) for end in (b"\0", b"\xff"))
+        return sizes, short, low, high
+
 
 def load(path: str) -> Vocabulary:
     """Read a model file on the driver; tasks get the vocabulary, whose size the model bounds."""
@@ -121,13 +130,10 @@ def edges(v: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     sorted once more by as many bytes as the longest piece has. A break is in no
     piece, so no occurrence reaches past a unit.
     """
-    sizes = np.char.str_len(v.names)
+    sizes, short, low, high = v.bounds
     key = _packed(data)
     order = np.argsort(key)
     ranked = key[order]
-    short = np.flatnonzero(sizes <= 8)
-    low = np.frombuffer(b"".join(x.ljust(8, b"\0") for x in v.names[short].tolist()), ">u8").astype(np.uint64)
-    high = np.frombuffer(b"".join(x.ljust(8, b"\xff") for x in v.names[short].tolist()), ">u8").astype(np.uint64)
     first, count = _ranges(ranked, low, high)
     at, piece = [ragged(order, first, count)], [np.repeat(short, count)]
 
@@ -297,8 +303,10 @@ def decode(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return ragged(v.pool, starts, sizes), np.append(0, np.cumsum(sizes))[offsets]
 
 
-def _plain_space(column: pa.Array) -> pa.Array:
-    return pc.replace_substring(column, "▁", " ")
+def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of a text column, with spaces for U+2581; only one block is copied at a time."""
+    for first, last, _, _ in tokens.blocks(column, BATCH):
+        yield first, last, *tokens.buffers(pc.replace_substring(column.slice(first, last - first), "▁", " "))
 
 
 def encode_texts(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -308,7 +316,7 @@ def encode_texts(docs: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for first, last, data, offsets in tokens.blocks(_plain_space(batch.column("text")), BATCH):
+            for first, last, data, offsets in _blocks(batch.column("text")):
                 ids, border = encoder.encode(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(ids, pa.int32()))],
@@ -351,7 +359,7 @@ def round_trip(docs: DataFrame, v: Vocabulary) -> DataFrame:
         for batch in batches:
             # The mark itself comes back as a space.
             marked = pc.fill_null(pc.match_substring(batch.column("text"), "▁"), False).to_numpy(zero_copy_only=False)
-            for first, last, data, offsets in tokens.blocks(_plain_space(batch.column("text")), BATCH):
+            for first, last, data, offsets in _blocks(batch.column("text")):
                 ids, border = encoder.encode(data, offsets)
                 back, ends = decode(shared.value, ids, border)
                 same = np.diff(ends) == np.diff(offsets)
