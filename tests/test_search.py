@@ -139,6 +139,26 @@ def test_keyword_search_with_frequent_words_and_ties(spark, list_rows):
     assert s.keyword_search(q, d.limit(0)).count() == s.keyword_search(q.limit(0), d).count() == 0
 
 
+def test_hits_by_groups_equal_those_by_pairs(spark, monkeypatch):
+    """Above ``pairs`` entries no pair of query and document is stored; ties, missing and equal ids as before."""
+    rng = random.Random(6)
+    vocabulary = ["word" + a + b for a in "abcdefgh" for b in "abcde"]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 2, 9, 40])))) for i in range(300)]
+    docs += [(300, None), (None, " ".join(vocabulary)), (7, " ".join(vocabulary[:9])), (3, docs[3][1])]
+    asked = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 12])))) for i in range(50)] + [(50, None), (51, "nothing here")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    q = spark.createDataFrame(asked, "query_id bigint, q string").select("query_id", text.tokens(F.col("q")).alias("words"))
+    twice = q.unionByName(q.where("query_id % 3 = 0")).unionByName(q.limit(5).withColumn("query_id", F.lit(None).cast("bigint")))
+    index = word_index.build(d)
+    monkeypatch.setattr(word_index, "ENTRIES", 500)
+    stored = []
+    monkeypatch.setattr(word_index, "candidates", lambda *a: stored.append(a))
+    for longest in (100, 2):  # with and without a score that is known in front
+        got = word_index.best_hits(twice, index, 4, longest, pairs=0)
+        assert {(r["query_id"], r["doc_id"], r["score"], r["pos"]) for r in got.collect()} == plain_hits(docs, asked, 4)
+    assert not stored
+
+
 def test_frequent_lists_are_not_read(spark, sf_dir):
     """Candidates are far fewer than the pairs that share a word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
