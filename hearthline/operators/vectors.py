@@ -25,6 +25,10 @@ QUERY_BLOCK = 10_000
 VECTOR_BLOCK = 10_000
 SLICE = 500
 PLACES = 9
+#: Pairs of groups that a search has at least, where blocks are not larger; and the most
+#: numbers of a group, 64 MB, where a block is not larger.
+GROUPS = 64
+GROUP_VALUES = 1 << 23
 #: Vectors that cells lie around; their directions go to every task.
 PIVOTS = 256
 #: Similarities this near to the k-th best are still looked at, far above what rounding and angles are off.
@@ -76,6 +80,14 @@ def _best_of_slice(query_ids, queries, vec_ids, vectors, k: int) -> pa.Table:
     )
 
 
+def _cut(hits: pa.Table, k: int) -> pa.Table:
+    """The k best hits of each query among those of several blocks."""
+    query_ids, vec_ids, found = (hits.column(c).to_numpy() for c in ("query_id", "vec_id", "similarity"))
+    order = np.lexsort((vec_ids, -found, query_ids))
+    own = query_ids[order]
+    return hits.take(pa.array(order[np.arange(len(own)) - np.searchsorted(own, own) < k]))
+
+
 def _ids(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
@@ -179,32 +191,46 @@ def _visits(homes: DataFrame, pivots: np.ndarray, cells: np.ndarray) -> DataFram
 def _search(visits: DataFrame, placed: DataFrame, sizes: np.ndarray, k: int, query_block: int, vector_block: int) -> DataFrame:
     """The k best of each visited cell for each of its visitors.
 
-    A cell is cut into blocks of vectors and its visitors into blocks of queries, both
-    by hash; one group of rows per pair of blocks. Cells nobody visits do not move.
+    A cell and its visitors are cut into groups of one or more blocks, by hash; a pair of
+    groups is one group of rows, multiplied block by block. So a row moves once per group of
+    the other side and not once per block, and while cells are below ``GROUP_VALUES`` the
+    number of groups, and how often a row moves, stays as it is however many rows there are.
+    Cells nobody visits do not move.
     """
     spark = placed.sparkSession
     visited = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    head = placed.select(F.size("embedding")).first()
+    most = GROUP_VALUES // max(head[0] if head else 1, 1)
+    v_rows = max(vector_block, most)
+    q_rows = max(query_block, min(most, -(-sum(visited.values()) // GROUPS)))
     # One row per pivot at most, so the broadcast is bounded by their number.
     blocks = F.broadcast(spark.createDataFrame(
-        [(c, -(-n // query_block), -(-int(sizes[c]) // vector_block)) for c, n in visited.items() if sizes[c]],
-        "cell bigint, q_blocks bigint, v_blocks bigint"))
+        [(c, -(-n // q_rows), -(-int(sizes[c]) // v_rows)) for c, n in visited.items() if sizes[c]],
+        "cell bigint, q_groups bigint, v_groups bigint"))
 
     def numbers(n: str):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
     left = visits.join(blocks, "cell").select(
-        "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("q_block"), numbers("v_blocks").alias("v_block"))
+        "query_id", "embedding", "cell", F.pmod(F.xxhash64("query_id"), F.col("q_groups")).alias("q_group"), numbers("v_groups").alias("v_group"))
     right = placed.join(blocks, "cell").select(
-        "vec_id", "embedding", "cell", numbers("q_blocks").alias("q_block"), F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).alias("v_block"))
+        "vec_id", "embedding", "cell", numbers("q_groups").alias("q_group"), F.pmod(F.xxhash64("vec_id"), F.col("v_groups")).alias("v_group"))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
                              "similarity": pa.array([], pa.float64())})
-        return _best(_ids(a["query_id"]), _unit_rows(a["embedding"]),
-                     _ids(b["vec_id"]), _unit_rows(b["embedding"]), k)
-
-    keys = ["cell", "q_block", "v_block"]
+        query_ids, queries = _ids(a["query_id"]), _unit_rows(a["embedding"])
+        vec_ids, vectors = _ids(b["vec_id"]), _unit_rows(b["embedding"])
+        return pa.concat_tables(
+            _cut(pa.concat_tables(
+                _best(query_ids[i : i + query_block], queries[i : i + query_block], vec_ids[j : j + vector_block], vectors[j : j + vector_block], k)
+                for j in range(0, len(vec_ids), vector_block)
+            ), k)
+            for i in range(0, len(query_ids), query_block)
+        )
+
+    keys = ["cell", "q_group", "v_group"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, HITS)
 
 

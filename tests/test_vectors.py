@@ -93,3 +93,17 @@ def test_centroids(spark, sets):
     got = {r[0]: r[1] for r in vectors.centroids(c.selectExpr("vec_id % 2 AS label", "embedding")).collect()}
     for label in (0, 1):
         np.testing.assert_allclose(got[label], corpus[label::2].mean(axis=0), atol=1e-6)
+
+
+def test_rows_move_once_per_group_not_per_block(spark):
+    """With blocks of four rows every vector would move to some hundred blocks of queries."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(600, 4))
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    q = c.withColumnRenamed("vec_id", "query_id")
+    placed = vectors._in_cells(c, vectors._unit_pivots(c, 1))
+    visits = q.withColumn("cell", F.lit(0).cast("bigint"))
+    hits = vectors._search(visits, placed, np.array([600]), 3, 4, 4)
+    got = {(r["query_id"], r["pos"], r["vec_id"]) for r in vectors._ranked(hits).where("pos <= 3").collect()}
+    assert got == brute(rows, rows, 3)
+    assert hits.count() == 600 * 3  # one group of vectors; 150 blocks would give 150 times as many
