@@ -5,9 +5,10 @@ first, by one job that reads nothing but the key columns. While every key fits i
 ``rows_per_chunk`` rows, a plain window is the plan: one shuffle and one sort.
 
 The rows of keys above the limit are sorted across tasks instead, by key and by the
-whole order, and stored so; what one task held is a chunk. Equal, missing and clustered
-times are spread like others, as the last column of the order tells them apart. Chunks
-are joined up by a scan over what each of them passes on:
+whole order, and stored so. A task holds ``ROWS_PER_TASK`` rows or one chunk, whichever
+is more, and numbers its chunks by the places of its rows, so short chunks cost rows and
+not tasks. Equal, missing and clustered times are spread like others, as the last column
+of the order tells them apart. Chunks are joined up by a scan over what each passes on:
 
 * a look-back of n rows gets the last n rows before each chunk as extra rows;
 * a running count gets the sum over the earlier chunks as an offset.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from hearthline.session import cut_lineage
 
 ROWS_PER_CHUNK = 8_000_000
+#: Rows of hot keys that a task sorts, where chunks are shorter.
+ROWS_PER_TASK = 200_000
 _CHUNK, _EXTRA = "_chunk", "_extra"
 
 
@@ -64,10 +67,13 @@ class Ordered:
         With ``ahead`` the order is turned round, so that ``F.lag`` reads the next row.
         """
         turn, back = (F.desc, F.asc) if ahead else (F.asc, F.desc)
-        w = W.partitionBy(*self._part).orderBy(*[turn(c) for c in self.order])
-        added = {name: make(w) for name, make in columns.items()}
+        turned = [turn(c) for c in self.order]
         if not self.split:
-            return replace(self, rows=self.rows.withColumns(added))
+            w = W.partitionBy(*self._part).orderBy(*turned)
+            return replace(self, rows=self.rows.withColumns({name: make(w) for name, make in columns.items()}))
+        # Extra rows come first, also where their order equals that of the chunk's own.
+        w = W.partitionBy(*self._part).orderBy(F.desc(_EXTRA), *turned)
+        added = {name: make(w) for name, make in columns.items()}
         from_end = W.partitionBy(*self._part).orderBy(*[back(c) for c in self.order])
         edges = (
             self.rows.where(F.col(_CHUNK).isNotNull())
@@ -123,9 +129,12 @@ def in_order(
         return Ordered(df, keys, order, False)
     hot = cut_lineage(counted.select(*_renamed(keys, "_k_"), "_n"), "hot-keys")
     total = hot.agg(F.sum("_n")).first()[0]
-    # Twice the chunks that would do: bounds come from a sample.
-    chunks = 2 * -(-total // rows_per_chunk)
-    ranged = df.join(hot, _same(keys, "_k_"), "left_semi").repartitionByRange(chunks, *keys, *order)
-    placed = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
-    rest = df.join(hot, _same(keys, "_k_"), "left_anti").withColumn(_CHUNK, F.lit(None).cast("int"))
+    # Twice the tasks that would do: bounds come from a sample.
+    tasks = 2 * -(-total // max(rows_per_chunk, ROWS_PER_TASK))
+    ranged = df.join(hot, _same(keys, "_k_"), "left_semi").repartitionByRange(tasks, *keys, *order).sortWithinPartitions(*keys, *order)
+    # Task number and place within the task, in one number; cut to the first place of the chunk.
+    at = ranged.withColumn(_CHUNK, F.monotonically_increasing_id())
+    place = F.col(_CHUNK).bitwiseAND((1 << 33) - 1)
+    placed = cut_lineage(at.withColumn(_CHUNK, F.col(_CHUNK) - place % max(rows_per_chunk // 2, 1)), "chunks")
+    rest = df.join(hot, _same(keys, "_k_"), "left_anti").withColumn(_CHUNK, F.lit(None).cast("bigint"))
     return Ordered(rest.unionByName(placed), keys, order, True)

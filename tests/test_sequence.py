@@ -140,3 +140,15 @@ def test_text_keys_are_cut_along_their_order(spark):
     df = spark.createDataFrame([("o", w) for w in words], "owner string, name string")
     got = {r["name"]: r["position"] for r in registry.with_position(df, "owner", "name", rows_per_chunk=5).collect()}
     assert got == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
+
+
+def test_short_chunks_share_tasks(spark):
+    """Many short chunks make no tasks or files of their own, and repeated rows at their borders keep their order."""
+    df = spark.range(3000).selectExpr("1 AS k", "id DIV 3 AS place")
+    ordered = sequence.in_order(df, ["k"], ["place"], 8)
+    sizes = chunk_sizes(ordered, "k = 1")
+    assert len(ordered.rows.inputFiles()) <= 4 and max(sizes.values()) <= 8 and sum(sizes.values()) == 3000
+    for ahead, apart in ((False, 1), (True, -1)):
+        rows = ordered.look_around(1, {"other": lambda w: F.lag("place").over(w)}, ahead).done()
+        got = {r[0]: r[1] for r in rows.groupBy((F.col("place") - F.col("other")).alias("d")).count().collect()}
+        assert got == {None: 1, 0: 2000, apart: 999}
