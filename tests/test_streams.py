@@ -3,7 +3,9 @@
 import datetime
 import random
 import tempfile
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from compare import spark_table
 
@@ -12,6 +14,7 @@ from hearthline.plans import views
 from hearthline.session import MERGE_SESSIONS
 from hearthline.sources.payloads import stream_captures
 from hearthline.sources.probes import PROBE_SCHEMA, read_probes, read_samples, stream_files, stream_probes
+from hearthline.streaming import asof
 from hearthline.streaming import health as st
 from hearthline.streaming import run
 from hearthline.streaming.asof import stream_asof
@@ -222,3 +225,59 @@ def test_rows_meet_the_version_valid_at_their_time(spark, batches):
         gone = known[1] is None and known[2] is None
         want.append((row_id, key, second(s), None if gone else known[1], None if gone else known[2], 404 if gone else 200))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+class Kept:
+    """State of one key, as a processor sees it."""
+
+    def __init__(self):
+        self.entries, self.timers = {}, []
+
+    def state(self, name, schema):
+        entries = self.entries.setdefault(name, [])
+        return SimpleNamespace(
+            exists=lambda: bool(entries), get=lambda: entries[0] if name in ("due", "known", "health") else iter(list(entries)),
+            update=lambda value: entries.__setitem__(slice(None), [value]), put=lambda values: entries.__setitem__(slice(None), values),
+            appendValue=entries.append, appendList=entries.extend, clear=entries.clear)
+
+    getValueState = getListState = state
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def fire(processor, kept, mark_ms):
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark_ms)
+    return [part for ms in list(kept.timers) for part in processor.handleExpiredTimer(("k",), clock, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))]
+
+
+def test_services_of_a_bucket_are_stepped_side_by_side():
+    """A hundred services are one key of state, and give what a loop over each gives."""
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(100), rng.randrange(400) + 1, rng.choice("+---")) for i in range(6000)]
+    kept, processor = Kept(), st.ContainerHealth(3, 9)
+    processor.init(kept)
+    got = []
+    for half in (rows[:3000], rows[3000:]):
+        part = pd.DataFrame([(s, False, (at - 1) * 1_000_000, i, m == "+") for i, s, at, m in half], columns=["service", "missing", "ts_us", "sample_id", "online"])
+        processor.handleInputRows(("k",), iter([part]), None)
+    for mark in (200_000, 399_000):
+        got += [(r.service, r.ts_us // 1_000_000, r.state) for out in fire(processor, kept, mark) for r in out.itertuples()]
+    assert sorted(got) == stepped(rows, 9)
+    assert not kept.entries["waiting"] and len(kept.entries["health"]) == 1
+
+
+def test_waiting_rows_are_kept_in_runs():
+    """A piece of a batch is one entry of state whatever rows it has; each row meets the version of its time."""
+    kept, processor = Kept(), asof.AsOf()
+    processor.init(kept)
+    changes = [(100, "a"), (200, None), (300, "b"), (300, "c"), (900_000, "later")]
+    rows = [(at, 0, body) for at, body in changes] + [(at, 1, str(at)) for at in range(50, 950, 50)] + [(800_000, 1, "waits")]
+    processor.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=["at", "kind", "body"])]), None)
+    assert len(kept.entries["waiting"]) == 1
+    got = {int(r.body): r.version for out in fire(processor, kept, 1) for r in out.itertuples()}
+    want = {at: "a" if 100 <= at < 200 else "c" if at >= 300 else None for at in range(50, 950, 50)}
+    assert got == want and kept.entries["known"] == [("c",)] and len(kept.entries["changes"]) == 1
+    late = [r for out in fire(processor, kept, 1000) for r in out.itertuples()]
+    assert [(r.body, r.version) for r in late] == [("waits", "c")]
+    assert not kept.entries["waiting"] and kept.entries["known"] == [("later",)]
