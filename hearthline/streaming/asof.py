@@ -11,7 +11,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +30,36 @@ _CHANGE, _ROW = 0, 1
 _ID, _AT, _KIND, _BODY = "id", "at", "kind", "body"
 
 
+def _packed(at: pa.Array, bodies: pa.Array) -> bytes:
+    batch = pa.record_batch([at, bodies], names=[_AT, _BODY])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(run: bytes) -> list[pa.Array]:
+    return pa.ipc.open_stream(bytes(run)).read_next_batch().columns
+
+
 class AsOf(StatefulProcessor):
-    """Waiting rows and changes of one id, and the version that is valid by now."""
+    """Waiting rows and changes of one id, and the version that is valid by now.
+
+    Rows wait as Arrow runs, one per piece of a batch, and meet their versions run by
+    run; only changes, which are few, are kept and sorted one by one.
+    """
 
     OUTPUT = "body string, version string"
     KNOWN = "version string"
     DUE = "ms bigint"
-    WAITING = "at bigint, kind int, body string"
+    CHANGES = "at bigint, body string"
+    WAITING = "run binary"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = handle.getValueState("known", self.KNOWN)
         self.due = handle.getValueState("due", self.DUE)
+        self.changes = handle.getListState("changes", self.CHANGES)
         self.waiting = handle.getListState("waiting", self.WAITING)
 
     def _wake(self, first_us: int) -> None:
@@ -51,8 +71,14 @@ class AsOf(StatefulProcessor):
         first_us = None
         for part in rows:
             if len(part):
-                bodies = (None if pd.isna(b) else b for b in part[_BODY])
-                self.waiting.appendList([(int(at), int(kind), body) for at, kind, body in zip(part[_AT], part[_KIND], bodies, strict=True)])
+                change = (part[_KIND] == _CHANGE).to_numpy()
+                told = part[change]
+                if len(told):
+                    bodies = (None if pd.isna(b) else b for b in told[_BODY])
+                    self.changes.appendList([(int(at), body) for at, body in zip(told[_AT], bodies, strict=True)])
+                if not change.all():
+                    rest = part[~change]
+                    self.waiting.appendValue((_packed(pa.array(rest[_AT].to_numpy(np.int64)), pa.array(rest[_BODY], pa.string(), from_pandas=True)),))
                 begin = int(part[_AT].min())
                 first_us = begin if first_us is None else min(first_us, begin)
         if first_us is not None and (not self.due.exists() or -(-first_us // 1000) < self.due.get()[0]):
@@ -64,27 +90,36 @@ class AsOf(StatefulProcessor):
             return  # an earlier row has come since and woke the id before
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         version = self.known.get()[0] if self.known.exists() else None
-        passed, left, found = [], [], []
-        for entry in self.waiting.get():
-            (passed if entry[0] <= mark else left).append(tuple(entry))
-        # Changes of one moment are told apart by their text; the greatest is the last.
-        for _, kind, body in sorted(passed, key=lambda e: (e[0], e[1], e[2] or "")):
-            if kind == _CHANGE:
-                version = body
-            else:
-                found.append((body, version))
-        if version is None:
+        told = sorted((tuple(e) for e in self.changes.get()), key=lambda e: (e[0], e[1] or ""))
+        passed = [e for e in told if e[0] <= mark]  # of one moment, the greatest text is the last
+        runs = [_unpacked(r[0]) for r in self.waiting.get()]
+        versions = pa.array([version, *(body for _, body in passed)], pa.string())
+        since = np.array([at for at, _ in passed], np.int64)
+        if versions[-1].as_py() is None:
             self.known.clear()
         else:
-            self.known.update((version,))
-        if left:
-            self.waiting.put(left)
-            self._wake(min(e[0] for e in left))
+            self.known.update((versions[-1].as_py(),))
+        first, left, ready = [e[0] for e in told[len(passed):]][:1], [], []
+        for at, bodies in runs:
+            times = at.to_numpy()
+            due = times <= mark
+            if due.any():
+                ready.append((times[due], bodies.filter(pa.array(due))))
+            if not due.all():
+                left.append((_packed(at.filter(pa.array(~due)), bodies.filter(pa.array(~due))),))
+                first.append(int(times[~due].min()))
+        for state, entries in ((self.changes, told[len(passed):]), (self.waiting, left)):
+            if entries:
+                state.put(entries)
+            else:
+                state.clear()
+        if first:
+            self._wake(min(first))
         else:
-            self.waiting.clear()
             self.due.clear()
-        if found:
-            yield pd.DataFrame(found, columns=["body", "version"])
+        for times, bodies in ready:
+            valid = versions.take(pa.array(np.searchsorted(since, times, "right")))
+            yield pd.DataFrame({"body": bodies.to_pandas(), "version": valid.to_pandas()})
 
     def close(self) -> None:
         pass
