@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,43 @@ def test_hits_by_groups_equal_those_by_pairs(spark, monkeypatch):
     assert not stored
 
 
+def test_a_group_is_read_once_and_queries_pass_it_in_batches():
+    """A task holds its documents and one batch of queries: hits of a batch are out before the next is taken."""
+    kinds = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("terms", pa.list_(pa.int64())), ("floor", pa.int64())])
+    words = {i: [j for j in range(20) if (i * 7 + j * j) % 5 < 2 or j == i] for i in range(20)}
+    docs = [{"doc_id": i, "terms": own} for i, own in words.items()]
+    asked = [{"query_id": i, "terms": sorted({i % 20, 3, 900 - i}), "floor": 2 if i % 2 else None} for i in range(60)]
+    rows, taken = docs + asked, []
+
+    def batches():  # the second one has documents and queries
+        for a in range(0, len(rows), 15):
+            taken.append(a)
+            yield pa.RecordBatch.from_pylist(rows[a : a + 15], kinds)
+
+    got, places = [], []
+    for part in word_index._scored_group(batches(), 2):
+        got += [tuple(r.values()) for r in part.to_pylist()]
+        places.append(len(taken))
+    want = []
+    for q in asked:
+        scores = sorted((-len(set(q["terms"]) & set(own)), i) for i, own in words.items())
+        want += [(q["query_id"], i, -n) for n, i in scores[:2] if -n >= (q["floor"] or 1)]
+    assert got == want and places == [2, 3, 4, 5, 6]
+    assert not list(word_index._scored_group(iter([pa.RecordBatch.from_pylist(asked, kinds)]), 2))
+
+
+def test_queries_and_documents_are_not_grouped_together(spark, monkeypatch):
+    """Above ``pairs`` entries no task takes a whole group of queries, and documents move once."""
+    d = spark.range(50).selectExpr("id AS doc_id", "concat('some words here ', if(id % 2 = 0, 'even', 'odds')) AS text")
+    q = spark.range(20).selectExpr("id AS query_id", "array('even', 'here') AS words")
+    monkeypatch.setattr(word_index, "ENTRIES", 40)
+    got = word_index.best_hits(q, word_index.build(d), 3, pairs=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r["query_id"], r["doc_id"], r["score"], r["pos"]) for r in got.collect()) == [
+        (i, 2 * j, 2, j + 1) for i in range(20) for j in range(3)]
+
+
 def test_frequent_lists_are_not_read(spark, sf_dir):
     """Candidates are far fewer than the pairs that share a word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -206,3 +244,25 @@ def test_grounding_takes_the_newest_user_turn(spark):
     for list_rows in (1, 1000):
         got = s.web_grounding(chat, docs, list_rows=list_rows).collect()
         assert {r[0]: r[1] for r in got} == want
+
+
+def test_grounding_of_repeated_documents_and_many_answers(spark, monkeypatch):
+    """All rows of an id are shown; a document of many answers is rendered from copies; no task lists an answer's texts."""
+    monkeypatch.setattr(s, "ANSWERS_PER_COPY", 4)
+    chat = spark.createDataFrame(
+        [(i, 0, "user", "alpha beta") for i in range(30)] + [(30, 0, "user", None), (None, 0, "user", "beta"), (31, 0, "user", "gamma")],
+        "conv_id bigint, turn bigint, role string, content string")
+    docs = spark.createDataFrame(
+        [(7, "beta", "T7", "u7", "e"), (8, "alpha beta", "T8", "u8", "e"), (7, "alpha", "A7", "u7", "e"),
+         (8, None, None, "u9", None), (9, "delta", "T9", "u9", "e"), (None, "alpha beta", "T", "u", "e")],
+        "doc_id bigint, text string, title string, url string, engine string")
+    found = s.web_grounding(chat, docs, k=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[query_id" in plan and "ObjectHashAggregate(keys=[query_id" not in plan
+    body = "\n".join([
+        "**A7**\n*via e*\nalpha\nSource: u7\n", "**T7**\n*via e*\nbeta\nSource: u7\n",
+        "**No title**\n*via *\nSource: u9\n", "**T8**\n*via e*\nalpha beta\nSource: u8\n"])
+    want = {i: f"## Academic results for: alpha beta\n\n{body}" for i in range(30)}
+    want |= {30: None, None: "No academic results found for: beta", 31: "No academic results found for: gamma"}
+    rows = found.collect()
+    assert {r[0]: r[1] for r in rows} == want and len(rows) == len(want)
