@@ -256,9 +256,11 @@ def test_grounding_of_repeated_documents_and_many_answers(spark, monkeypatch):
         [(7, "beta", "T7", "u7", "e"), (8, "alpha beta", "T8", "u8", "e"), (7, "alpha", "A7", "u7", "e"),
          (8, None, None, "u9", None), (9, "delta", "T9", "u9", "e"), (None, "alpha beta", "T", "u", "e")],
         "doc_id bigint, text string, title string, url string, engine string")
+    monkeypatch.setattr(s, "ANSWER_BYTES", 500)
     found = s.web_grounding(chat, docs, k=2)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate(key=[query_id" in plan and "ObjectHashAggregate(keys=[query_id" not in plan
+    assert "REPARTITION_BY_NUM" in plan  # parts grow in number with the answers
     body = "\n".join([
         "**A7**\n*via e*\nalpha\nSource: u7\n", "**T7**\n*via e*\nbeta\nSource: u7\n",
         "**No title**\n*via *\nSource: u9\n", "**T8**\n*via e*\nalpha beta\nSource: u8\n"])
